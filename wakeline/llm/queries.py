@@ -5,13 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import boilerplate, quality
+from wakeline.llm import boilerplate, chunk_bpe, packing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.archive_pages(table(spark, sf_dir, "pages"))).drop("url")
+
+
+OP1_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+d as (select page_id, octet_length(b)::bigint as payload_bytes, sha1(b) as payload_digest from p),
+k as (select payload_digest, max(page_id) as keeper from d where payload_bytes >= 1000 group by payload_digest)
+select page_id, payload_bytes, d.payload_digest, case when keeper > page_id then 'revisit' else 'response' end as record_type,
+       case when keeper > page_id then keeper end as refers_to
+from d left join k on d.payload_digest = k.payload_digest
+"""
+
+
+def op5_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op6_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
+    return packing.pack(pieces)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     done = boilerplate.drop_boilerplate(docs)
@@ -39,10 +69,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_dictionary": op1_warc_dictionary,
+    "op5_bpe_chunks": op5_bpe_chunks,
+    "op6_bin_packing": op6_bin_packing,
     "op4_line_dedup": op4_line_dedup,
     "op7_quality_rules": op7_quality_rules,
 }
 
 SQL = {
+    "op1_warc_dictionary": OP1_SQL,
     "op4_line_dedup": OP4_SQL,
 }
