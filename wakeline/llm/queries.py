@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import boilerplate, chunk_bpe, packing, quality, warc
+from wakeline.llm import boilerplate, chunk_bpe, packing, quality, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ from d left join k on d.payload_digest = k.payload_digest
 """
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -70,6 +74,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc_dictionary": op1_warc_dictionary,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op5_bpe_chunks": op5_bpe_chunks,
     "op6_bin_packing": op6_bin_packing,
     "op4_line_dedup": op4_line_dedup,
