@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import boilerplate, chunk_bpe, packing, quality, vectors, warc
+from wakeline.llm import boilerplate, chunk_bpe, darts, packing, quality, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ from d left join k on d.payload_digest = k.payload_digest
 """
 
 
+def op2_minhash_darts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = darts.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.link_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -74,6 +79,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc_dictionary": op1_warc_dictionary,
+    "op2_minhash_darts": op2_minhash_darts,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op5_bpe_chunks": op5_bpe_chunks,
     "op6_bin_packing": op6_bin_packing,
