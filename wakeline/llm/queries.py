@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import boilerplate, chunk_bpe, darts, packing, quality, vectors, warc
+from wakeline.llm import boilerplate, chunk_bpe, darts, debruijn, packing, quality, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "lost_chars")), "clean_sha256")
 
 
+def op9_substring_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc_dictionary": op1_warc_dictionary,
     "op2_minhash_darts": op2_minhash_darts,
@@ -85,6 +89,7 @@ QUERIES = {
     "op6_bin_packing": op6_bin_packing,
     "op4_line_dedup": op4_line_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op9_substring_debruijn": op9_substring_debruijn,
 }
 
 SQL = {
