@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import boilerplate, chunk_bpe, darts, debruijn, packing, quality, vectors, warc
+from wakeline.llm import boilerplate, chunk_bpe, darts, debruijn, packing, quality, toxicity, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,11 @@ def op9_substring_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_warc_dictionary": op1_warc_dictionary,
     "op2_minhash_darts": op2_minhash_darts,
@@ -90,6 +95,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_substring_debruijn": op9_substring_debruijn,
+    "op10_toxicity_compression": op10_toxicity_compression,
 }
 
 SQL = {
