@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import boilerplate, chunk_bpe, darts, debruijn, packing, quality, toxicity, vectors, warc
+from wakeline.llm import boilerplate, chunk_bpe, darts, debruijn, packing, pii, quality, toxicity, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "lost_chars")), "clean_sha256")
 
 
+def op8_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = pii.find_spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", pii.is_kind(i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS[:-1])]
+    return spans.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(pii.all_spans(F.col("base"), F.col("terms"))).alias("spans"),
+        F.size("terms").cast("long").alias("n_term"),
+    )
+
+
 def op9_substring_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.dedup_substrings(table(spark, sf_dir, "documents"))
 
@@ -94,6 +106,7 @@ QUERIES = {
     "op6_bin_packing": op6_bin_packing,
     "op4_line_dedup": op4_line_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_pii_disclosure": op8_pii_disclosure,
     "op9_substring_debruijn": op9_substring_debruijn,
     "op10_toxicity_compression": op10_toxicity_compression,
 }
