@@ -1,4 +1,281 @@
-"""Registered queries of the vessel jobs and their SQL."""
+"""Registered queries of the vessel jobs, over the views of `wakeline.sources.adapters`."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from wakeline.functions import destination as D
+from wakeline.functions import geo
+from wakeline.jobs.oracle import SQL as ORACLE
+from wakeline.operators import carry, coding, tracks, voyages
+from wakeline.sources import adapters as A
+from wakeline.sources import tables as S
+from wakeline.streaming import snapshots as R
+
+#: Kilometres within which a port counts as near: the synthetic positions lie far apart.
+RADIUS = 500.0
+MIN_POINTS = 3
+
+
+def cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return A.positions(spark, d).withColumn("clean_dest", D.clean_destination(F.col("destination")))
+
+
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    return cleaned(spark, d).select("clean_dest").filter(F.col("clean_dest").isNotNull()).distinct()
+
+
+def clean_destination(spark, d):
+    return cleaned(spark, d).select("event_id", "destination", "clean_dest", D.is_valid_destination(F.col("destination")).alias("valid"))
+
+
+def noise_flags(spark, d):
+    c = F.col("clean_dest")
+    full = D.noise_full(c)
+    return texts(spark, d).select(c, full.alias("is_noise"), F.when(~full, D.noise_part(c)).alias("has_noise"))
+
+
+def last_word_candidates(spark, d):
+    c = F.col("clean_dest")
+    return texts(spark, d).select(c, D.last_word(c).alias("last_word"), F.array_join(D.code_candidates(c), "|").alias("candidates"))
+
+
+def numeric_text(spark, d):
+    return texts(spark, d).select("clean_dest", D.is_numeric_text(F.col("clean_dest")).alias("is_numeric"))
+
+
+def match_code(spark, d):
+    return coding.match_code(cleaned(spark, d), A.ports(spark, d))
+
+
+def match_name(spark, d):
+    return coding.match_name(cleaned(spark, d), A.ports(spark, d))
+
+
+def registered_lookup(spark, d):
+    return coding.registered_lookup(cleaned(spark, d), A.registered(spark, d)).select("event_id", "clean_dest", "registered_code")
+
+
+def ngram_scores(spark, d):
+    return coding.ngram_scorer(texts(spark, d), A.ports(spark, d))
+
+
+def hybrid_code(spark, d):
+    ports = A.ports(spark, d)
+    return coding.hybrid_code(coding.score_destinations(texts(spark, d), ports), ports)
+
+
+def code_batch(spark, d):
+    return coding.code_batch(A.positions(spark, d), A.ports(spark, d)).select("event_id", "clean_dest", "code", "resolution")
+
+
+def code_destinations(spark, d):
+    done = coding.code_destinations(A.positions(spark, d), A.ports(spark, d), A.registered(spark, d))
+    return done.select("event_id", "mmsi", "clean_dest", "dest_code", "resolution")
+
+
+def coding_report(spark, d):
+    return coding.coding_report(coding.code_destinations(A.positions(spark, d), A.ports(spark, d), A.registered(spark, d)))
+
+
+def plugin_scorer(spark, d):
+    def longest(frames):
+        for pdf in frames:
+            yield pdf.assign(code=pdf["clean_dest"].str.upper().str.slice(0, 5), confidence=pdf["clean_dest"].str.len().clip(upper=30) / 30 * 100)
+
+    return coding.score_destinations(texts(spark, d), A.ports(spark, d), coding.plugin_scorer(longest))
+
+
+def country_groups(spark, d):
+    rows = cleaned(spark, d).filter(F.length("clean_dest") >= 3)
+    coded = rows.select("clean_dest").join(coding.match_code(rows, A.ports(spark, d)), "clean_dest")
+    return coded.groupBy(F.coalesce(D.country_group(F.col("matched_code")), F.lit("none")).alias("country_group")).agg(F.count(F.lit(1)).alias("n_positions"))
+
+
+def with_country(spark, d):
+    done = coding.with_country(A.ranked_snapshots(spark, d)[0], A.countries(spark, d))
+    return done.select("imo", "dest_code", F.col("dest.country").alias("dest_country"), "dept_code", F.col("dept.country").alias("dept_country"))
+
+
+def sanitised_port_codes(spark, d):
+    return A.ports(spark, d).select("pos", D.sanitised_code(F.concat("portcode", F.lit("-"), "city_name")).alias("code"))
+
+
+def identified(spark: SparkSession, d: str) -> DataFrame:
+    return A.positions(spark, d).withColumn("snapshot_id", geo.snapshot_id(F.col("dt_pos_utc")))
+
+
+def carried(spark: SparkSession, d: str) -> DataFrame:
+    cur, past = A.ranked_snapshots(spark, d)
+    return carry.carry_departure(cur, past, "snapshot_ts")
+
+
+def departure_strict(spark, d):
+    cur, past = A.ranked_snapshots(spark, d)
+    return carry.departure_strict(cur, past, "imo").select("imo", "dest_code", "dept_code")
+
+
+def previous_destination(spark, d):
+    asks = A.ranked_snapshots(spark, d)[0].select("imo", F.col("dest_code").alias("asked"))
+    return carry.previous_destination(A.snapshots(spark, d), asks, order=("snapshot_ts", "o_orderkey"))
+
+
+def update_from(spark, d):
+    past = A.ranked_snapshots(spark, d)[1]
+    return carry.update_from(A.snapshots(spark, d), past, "imo", ["dest_code"], "snapshot_ts").select("o_orderkey", "imo", "dest_code")
+
+
+def read_history(spark, d):
+    first = A.table(spark, d, "events").agg(F.date_trunc("day", F.min("ts")).alias("t")).first()["t"]
+    day = F.expr("interval 1 day")
+    rows = A.positions(spark, d).filter((F.col("dt_pos_utc") >= F.lit(first) + day) & (F.col("dt_pos_utc") <= F.lit(first) + day * 4))
+    return rows.select("event_id", "mmsi", "dt_pos_utc")
+
+
+def months_between(spark, d):
+    rows = A.positions(spark, d).groupBy("mmsi").agg(F.min("dt_pos_utc").alias("a"), (F.max("dt_pos_utc") + F.expr("interval 70 days")).alias("b"))
+    return rows.select("mmsi", F.array_join(geo.months_between(F.col("a"), F.col("b")), ",").alias("months"))
+
+
+def filled(spark: SparkSession, d: str) -> DataFrame:
+    return voyages.fill_speed(voyages.drop_ambiguous(voyages.drop_missing_key(A.positions(spark, d))))
+
+
+def cut(spark: SparkSession, d: str) -> DataFrame:
+    return voyages.cut_voyages(filled(spark, d), A.ports(spark, d), RADIUS)
+
+
+def named(spark: SparkSession, d: str) -> DataFrame:
+    return voyages.extract_voyages(A.positions(spark, d), A.ports(spark, d), RADIUS, min_points=MIN_POINTS)[1]
+
+
+def points(spark: SparkSession, d: str) -> DataFrame:
+    return voyages.extract_voyages(A.positions(spark, d), A.ports(spark, d), RADIUS)[0]
+
+
+def with_steps(spark, d):
+    return voyages.with_steps(A.positions(spark, d)).select("event_id", F.round("step_km", 3).alias("step_km"), F.round("step_hours", 6).alias("step_hours"))
+
+
+def nearest_port(spark, d):
+    return voyages.nearest_port(A.positions(spark, d), A.ports(spark, d), RADIUS).withColumn("port_km", F.round("port_km", 3))
+
+
+def voyage_records(spark, d):
+    p, v = voyages.extract_voyages(A.positions(spark, d), A.ports(spark, d), RADIUS, min_points=MIN_POINTS)
+    return voyages.voyage_records(p, v)
+
+
+def ocean_side(spark, d):
+    before = F.lag("longitude").over(Window.partitionBy("mmsi").orderBy("dt_pos_utc", "event_id"))
+    return A.positions(spark, d).select("event_id", geo.ocean_side(before, F.col("longitude")).alias("side")).filter(F.col("side").isNotNull())
+
+
+def port_position(spark, d):
+    return tracks.port_position(A.requests(spark, d), A.ports(spark, d)).select("request_id", "destination", "dest_latitude", "dest_longitude")
+
+
+def union_snapshots(spark, d):
+    a = A.positions(spark, d).select(F.col("event_id").alias("row_id"), "imo", "destination")
+    b = A.snapshots(spark, d).select(F.col("o_orderkey").alias("row_id"), "imo", "dest_code")
+    return S.union_snapshots([a, b])
+
+
+def snapshot_schema(spark, d):
+    rows = S.to_snapshot_schema(A.positions(spark, d).withColumn("dt_pos_utc", F.date_format("dt_pos_utc", "yyyy-MM-dd HH:mm:ss")))
+    return rows.select("mmsi", "imo", "destination", "sog", "dt_pos_utc", "vessel_name")
+
+
+def streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table, a file or a folder, as a stream."""
+    schema = spark.read.parquet(f"{d}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/{name}.parque[t]")
+
+
+def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over all there is; its rows, written in the shared folder."""
+    spark = stream.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/wakeline-streams"
+    out = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").format("parquet").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+def stream_snapshots(spark, d):
+    rows = A.positions_from(streamed(spark, d, "events"), A.ports(spark, d))
+    done = finished(R.stream_snapshots(rows))
+    return done.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "mmsi", "event_id", "destination")
+
+
+def stream_departures(spark, d):
+    done = finished(R.stream_departures(A.snapshots_from(streamed(spark, d, "orders"))))
+    return done.select("o_orderkey", "imo", "dest_code", "dept_code")
+
+
+def stream_code(spark, d):
+    rows = A.positions_from(streamed(spark, d, "events"), A.ports(spark, d)).withColumn("clean_dest", D.clean_destination(F.col("destination")))
+    return finished(R.stream_code(rows.filter(F.length("clean_dest") >= 3), A.ports(spark, d)).select("event_id", "clean_dest", "matched_code"))
+
+
+QUERIES = {
+    "clean_destination": clean_destination,
+    "valid_split_counts": lambda spark, d: coding.coding_counts(A.positions(spark, d)),
+    "noise_flags": noise_flags,
+    "last_word_candidates": last_word_candidates,
+    "numeric_text": numeric_text,
+    "match_code": match_code,
+    "match_name": match_name,
+    "registered_lookup": registered_lookup,
+    "ngram_scores": ngram_scores,
+    "hybrid_code": hybrid_code,
+    "code_batch": code_batch,
+    "code_destinations": code_destinations,
+    "coding_report": coding_report,
+    "plugin_scorer": plugin_scorer,
+    "country_groups": country_groups,
+    "with_country": with_country,
+    "sanitised_port_codes": sanitised_port_codes,
+    "watch_list_filter": lambda spark, d: carry.watch_list_filter(A.snapshots(spark, d), A.watch_list(spark, d)).select("o_orderkey", "imo", "dest_code"),
+    "latest_snapshot": lambda spark, d: S.latest_snapshot(identified(spark, d), "lvi_prm_2024").select("event_id", "snapshot_id"),
+    "snapshot_catalogue": lambda spark, d: S.register_snapshots(identified(spark, d)),
+    "latest_per_vessel": lambda spark, d: carry.latest_per_vessel(A.positions(spark, d)).select("event_id", "mmsi", "dt_pos_utc", "destination"),
+    "carry_departure": lambda spark, d: carried(spark, d).select("imo", "dest_code", "dept_code", "changed"),
+    "changed_departures": lambda spark, d: carry.changed_departures(carried(spark, d)),
+    "departure_strict": departure_strict,
+    "code_delta": lambda spark, d: carry.code_delta(*A.ranked_snapshots(spark, d)),
+    "previous_destination": previous_destination,
+    "departure_history": lambda spark, d: carry.departure_history(A.snapshots(spark, d)).select("o_orderkey", "imo", "dest_code", "dept_code"),
+    "update_from": update_from,
+    "read_history": read_history,
+    "missing_counts": lambda spark, d: voyages.missing_counts(A.positions(spark, d), ["imo", "sog", "destination"]),
+    "drop_missing_key": lambda spark, d: voyages.drop_missing_key(A.positions(spark, d)).select("event_id", "mmsi", "imo"),
+    "ambiguous_ids": lambda spark, d: voyages.ambiguous_ids(A.positions(spark, d)),
+    "nav_status_values": lambda spark, d: voyages.nav_status_values(A.positions(spark, d)),
+    "months_between": months_between,
+    "fill_speed": lambda spark, d: filled(spark, d).select("event_id", F.round("sog", 6).alias("sog")),
+    "with_steps": with_steps,
+    "nearest_port": nearest_port,
+    "cut_voyages": lambda spark, d: cut(spark, d).select("event_id", "mmsi", "cut", "voyage_id"),
+    "voyage_slices": lambda spark, d: voyages.voyage_slices(cut(spark, d)).select("event_id", "mmsi", "voyage_id"),
+    "drop_position_errors": lambda spark, d: points(spark, d).select("event_id", "mmsi", "voyage_id"),
+    "voyage_summary": lambda spark, d: voyages.voyage_summary(points(spark, d)).withColumn("km", F.round("km", 3)),
+    "voyages_od": lambda spark, d: named(spark, d).select("mmsi", "voyage_id", "origin", "destination", "n_points"),
+    "recent_origins": lambda spark, d: voyages.recent_origins(named(spark, d)),
+    "od_pairs": lambda spark, d: voyages.od_pairs(named(spark, d)),
+    "voyage_records": voyage_records,
+    "ocean_side": ocean_side,
+    "port_position": port_position,
+    "every_nth": lambda spark, d: tracks.every_nth(A.tracks(spark, d)).select("track_id", "seq"),
+    "similar_tracks": lambda spark, d: tracks.similar_tracks(A.requests(spark, d), A.tracks(spark, d)),
+    "track_or_fallback": lambda spark, d: tracks.track_or_fallback(A.requests(spark, d), A.tracks(spark, d)).select("request_id", "needs_fallback"),
+    "wkt_points": lambda spark, d: S.with_wkt_point(A.positions(spark, d)).select("event_id", "geom"),
+    "union_snapshots": union_snapshots,
+    "snapshot_schema": snapshot_schema,
+    "stream_snapshots": stream_snapshots,
+    "stream_departures": stream_departures,
+    "stream_code": stream_code,
+}
+SQL = {name: sql for name, sql in ORACLE.items() if name in QUERIES}
