@@ -149,7 +149,7 @@ def write_archives(records: DataFrame, folder: str, archive_mb: int = 16, level:
             system.create_dir(path, recursive=True)
             name = f"{uuid.uuid4().hex}.warc.zst"
             content = archive_bytes(held, level, dictionary_bytes, sample_bytes)
-            with system.open_output_stream(f"{path}/{name}") as out:
+            with system.open_output_stream(f"{path}/{name}", compression=None) as out:
                 out.write(content)
             return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n_records": pa.array([len(held)], pa.int64()), "bytes": pa.array([len(content)], pa.int64())})
 
@@ -174,7 +174,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
         for batch in batches:
             for uri in batch["path"].to_pylist():
                 system, path = fs.FileSystem.from_uri(uri)
-                with system.open_input_stream(path) as file:
+                with system.open_input_stream(path, compression=None) as file:
                     rows = [from_record(r) for r in read_archive(io.BytesIO(file.read()))]
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
 
