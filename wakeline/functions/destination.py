@@ -38,8 +38,8 @@ COUNTRY_GROUPS = {
 
 def normalised(text: Column) -> Column:
     """Lower case, marks as spaces, single spaces, none at the ends."""
-    spaced = F.translate(F.lower(text), MARKS, " " * len(MARKS))
-    return F.trim(F.regexp_replace(spaced, f"{SPACE}+", " "))
+    marks = "[" + "".join(f"\\{c}" for c in MARKS if c not in "\n\r") + "\n\r]"
+    return F.trim(F.regexp_replace(F.lower(text), f"(?:{marks}|{SPACE})+", " "))
 
 
 def stripped(text: Column) -> Column:
