@@ -71,32 +71,34 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def path_rows(docs: DataFrame, k: int, places: bool) -> DataFrame:
-    """Rows (m) or (m, doc, fp, at) for all paths; `at` packs first edge * 32 + edges."""
-    names = ["m", *DOC, "at"] if places else ["m"]
+def path_rows(docs: DataFrame, k: int, places: bool, unique: bool = False) -> DataFrame:
+    """Rows (m) or (m, path, doc, fp, at) for all paths.
+
+    `at` packs first edge * 32 + edges. A path's edges overlap, so the hashes of
+    its first and last one and their number tell its words. `fp` is 0 if ids
+    are unique.
+    """
+    names = ["m", "path", *DOC, "at"] if places else ["m"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch, words in batches_of_words(batches, "text"):
-            h = known.of([w for ws in words for w in ws])
-            own, start, count, m, _ = paths(np.array([len(w) for w in words], np.int64), h, k)
+            sizes = np.array([len(w) for w in words], np.int64)
+            own, start, count, m, edge = paths(sizes, known.of([w for ws in words for w in ws]), k)
             columns = [pa.array(signed(m))]
             if places:
-                fps = np.array([fingerprint(w) for w in words], np.int64)
-                columns += [batch["doc"].take(pa.array(own)), pa.array(fps[own]), pa.array(start * 32 + count)]
+                first = (np.cumsum(sizes) - sizes)[own] + start
+                path = mix(edge[first] * np.uint64(3) + edge[first + count - 1] * np.uint64(0x9FB21C651E98DF25) + count.astype(np.uint64))
+                fps = np.array([0 if unique else fingerprint(w) for w in words], np.int64)
+                columns += [pa.array(signed(path)), batch["doc"].take(pa.array(own)), pa.array(fps[own]), pa.array(start * 32 + count)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(work, "m long, doc long, fp long, at long" if places else "m long")
+    return docs.mapInArrow(work, "m long, path long, doc long, fp long, at long" if places else "m long")
 
 
-def repeated_paths(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (m, path, doc, fp, start, n, edges): paths whose minimizer is met twice or more, with the hashes of their edges."""
-    m = path_rows(docs, k, False).groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m")
-    m = materialise(m, "minimizers")
-    release(docs.sparkSession)
-    found = path_rows(docs, k, True).join(m, "m").groupBy(*DOC).agg(F.array_sort(F.collect_set("at")).alias("at"))  # at most a document's words
-    found = materialise(found, "path-places")
-    release(docs.sparkSession)
+def edge_rows(docs: DataFrame, wanted: DataFrame, k: int, unique: bool) -> DataFrame:
+    """Rows (m, edge, doc, fp, start): the single edges of the paths (doc, fp, at) in `wanted`."""
+    per_doc = wanted.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("at", "fp"))).alias("wanted"))  # at most a document's words
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -104,39 +106,49 @@ def repeated_paths(docs: DataFrame, k: int) -> DataFrame:
             sizes = np.array([len(w) for w in words], np.int64)
             own, start, count, m, edge = paths(sizes, known.of([w for ws in words for w in ws]), k)
             begin = np.cumsum(sizes) - sizes
-            fps = [fingerprint(w) for w in words]
-            wanted = [x if f == g else [] for x, f, g in zip(batch["at"].to_pylist(), batch["fp"].to_pylist(), fps, strict=True)]
-            asked = np.repeat(np.arange(len(words)), [len(x) for x in wanted])
-            at = np.array([a // 32 for x in wanted for a in x], np.int64)
+            fps = np.array([0 if unique else fingerprint(w) for w in words], np.int64)
+            lists = batch["wanted"]
+            asked = np.repeat(np.arange(len(words)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            flat = lists.flatten()
+            fits = flat.field("fp").to_numpy(zero_copy_only=False) == fps[asked]
+            asked, at = asked[fits], flat.field("at").to_numpy(zero_copy_only=False)[fits] // 32
             # paths are in order of document and start, and so is what is asked for
             rank = np.searchsorted(begin[own] + start, begin[asked] + at)
             own, start, count, m = own[rank], start[rank], count[rank], m[rank]
-            first = begin[own] + start
-            path = mix(edge[first] * np.uint64(3) + edge[first + count - 1] * np.uint64(0x9FB21C651E98DF25) + count.astype(np.uint64))
-            offsets = np.append(0, np.cumsum(count))
-            flat = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - first, count)
-            edges = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(signed(edge[flat])))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(m)), pa.array(signed(path)), batch["doc"].take(pa.array(own)), batch["fp"].take(pa.array(own)), pa.array(start), pa.array(count), edges], names=["m", "path", *DOC, "start", "n", "edges"])
+            nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            first = np.repeat(begin[own] + start, count) + nth
+            docs_ = batch["doc"].take(pa.array(np.repeat(own, count)))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.repeat(m, count))), pa.array(signed(edge[first])), docs_, pa.array(np.repeat(fps[own], count)), pa.array(np.repeat(start, count) + nth)], names=["m", "edge", *DOC, "start"])
 
-    # rows with the id but other words are found out by the fingerprint
-    given = docs.join(found, "doc").select("doc", "text", "fp", "at")
-    return materialise(given.mapInArrow(work, "m long, path long, doc long, fp long, start long, n long, edges array<long>"), "repeated-paths")
+    return docs.join(per_doc, "doc").select("doc", "text", "wanted").mapInArrow(work, "m long, edge long, doc long, fp long, start long")
 
 
-def repeats(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (doc, fp, start, n): runs of n edges of a document from `start` on that also begin earlier."""
-    rows = repeated_paths(docs, k)
-    release(docs.sparkSession)
-    source = F.min(F.struct(*DOC, "start")).alias("source")
-    first = materialise(rows.groupBy("m", "path").agg(source, F.count(F.lit(1)).alias("copies")), "path-sources")
-    here = F.struct(*DOC, "start")
-    later = rows.select("m", "path", *DOC, "start", "n").join(first.filter("copies > 1").select("m", "path", "source"), ["m", "path"]).filter(here != F.col("source")).select(*DOC, "start", "n")
+def repeats(docs: DataFrame, k: int, unique: bool) -> DataFrame:
+    """Rows (doc, fp, start, n): runs of n edges of a document from `start` on that also begin earlier.
+
+    What each step leaves is written, so that the shuffle files of the steps
+    before can go.
+    """
+    spark = docs.sparkSession
+    met_again = path_rows(docs, k, False).groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m")
+    met_again = materialise(met_again, "minimizers")
+    release(spark)
+    rows = materialise(path_rows(docs, k, True, unique).join(met_again, "m"), "repeated-paths")
+    release(spark)
+    first = rows.groupBy("m", "path").agg(F.min(F.struct(*DOC, "at")).alias("source"), F.count(F.lit(1)).alias("copies"))
+    first = materialise(first, "path-sources")
+    release(spark)
+    copied = first.filter("copies > 1").select("m", "path", "source")
+    later = rows.join(copied, ["m", "path"]).filter(F.struct(*DOC, "at") != F.col("source"))
+    later = materialise(later.select(*DOC, F.expr("at div 32").alias("start"), F.expr("at % 32").alias("n")), "later-paths")
+    release(spark)
     # where paths of one minimizer differ, their earliest sources are compared edge by edge
     branching = first.groupBy("m").agg(F.count(F.lit(1)).alias("paths")).filter("paths > 1").select("m")
-    heads = first.join(branching, "m").select("m", "path", "source.*")
-    edges = rows.join(heads, ["m", "path", *DOC, "start"]).dropDuplicates(["m", "path", *DOC, "start"]).select("m", *DOC, "start", F.posexplode("edges").alias("i", "edge"))
-    edges = materialise(edges.select("m", "edge", *DOC, (F.col("start") + F.col("i")).alias("start")), "branch-edges")
-    sources = edges.groupBy("m", "edge").agg(source, F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("m", "edge", "source")
+    heads = materialise(first.join(branching, "m").select("source.*"), "branching-paths")
+    edges = materialise(edge_rows(docs, heads, k, unique), "branch-edges")
+    release(spark)
+    here = F.struct(*DOC, "start")
+    sources = edges.groupBy("m", "edge").agg(F.min(here).alias("source"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("m", "edge", "source")
     single = edges.join(sources, ["m", "edge"]).filter(here != F.col("source")).select(*DOC, "start", F.lit(1).cast("long").alias("n"))
     return later.union(single)
 
@@ -153,7 +165,9 @@ def dedup_substrings(docs: DataFrame, k: int = 20, key: str = "doc_id", text: st
     """
     lowest = F.lit(-(2**63)).cast("long")
     rows = docs.select(F.coalesce(F.col(key).cast("long"), lowest).alias("doc"), F.col(text).alias("text"))
-    spans = repeats(rows, k)
+    ids = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+    unique = ids.filter("n > 1").isEmpty()
+    spans = repeats(rows, k, unique)
     found = materialise(spans.groupBy(*DOC).agg(F.collect_list(F.struct("start", "n")).alias("spans")), "repeats")  # at most a document's words
     release(docs.sparkSession)
     per_doc = found.groupBy("doc").agg(F.collect_list(F.struct("fp", "spans")).alias("found"))
@@ -167,7 +181,7 @@ def dedup_substrings(docs: DataFrame, k: int = 20, key: str = "doc_id", text: st
                 w = t.split()
                 gone = np.zeros(len(w) + 1, np.int64)
                 if found.is_valid and w:
-                    fp = fingerprint(w)
+                    fp = 0 if unique else fingerprint(w)
                     for own in found.as_py():
                         if own["fp"] == fp:
                             start = np.array([s["start"] for s in own["spans"]], np.int64)
