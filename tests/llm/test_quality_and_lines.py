@@ -1,7 +1,6 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from wakeline.llm import boilerplate, quality
 from wakeline.llm.queries import SQL
