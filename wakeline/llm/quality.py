@@ -118,4 +118,6 @@ def line_clean(docs: DataFrame, text: str = "text", rules: LineRules = LineRules
         return let(base, judged)
 
     fails = lambda ls: F.transform(ls, lambda x: worded(x) & line_fails(x, rules))
-    return docs.withColumn(out, let(words(t), lambda ws: let(lines, lambda ls: let(fails(ls), lambda fs: verdict(ws, ls, fs)))))
+    judged = F.transform(F.array(words(t)), lambda ws: let(lines, lambda ls: let(fails(ls), lambda fs: verdict(ws, ls, fs))))
+    # a generator of the one verdict: no filter on it makes Spark compute it a second time
+    return docs.withColumn(out, F.explode(judged))
