@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from wakeline.llm.store import materialise
 
-#: Texts of other characters go to the reference library whole: for these few
+#: Texts of other characters go to the slower library whole: for these few
 #: the character classes of both libraries' patterns are known to agree.
 PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e¡-©«-¬®-±´¶-¸»¿-ɏ–—‘-„†-•…]*")
 
@@ -124,7 +124,7 @@ def minimum_bin_slack(histogram: dict[int, int], capacity: int) -> list[tuple[li
     return plan
 
 
-def with_rank(pieces: DataFrame, group_rows: int = 20_000) -> DataFrame:
+def with_rank(pieces: DataFrame, group_rows: int = 1_000) -> DataFrame:
     """Add `rank`, 0, 1, … among the pieces of the same length.
 
     Pieces of a length are dealt to so many salted groups that each has about
