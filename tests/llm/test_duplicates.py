@@ -172,3 +172,25 @@ def test_substrings_on_documents(spark):
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
     assert sorted(removed(spark, rows)) == sorted(brute_removed(rows))
     assert debruijn.dedup_substrings(df.limit(0)).count() == 0
+
+
+def family(n, common, pair, own, seed=8):
+    """n texts of one template, two and two alike in `pair` words more."""
+    rng = random.Random(seed)
+    words = lambda k: " ".join(f"w{rng.getrandbits(40)}" for _ in range(k))
+    head, tails = words(common), [words(pair) for _ in range(n // 2)]
+    return [(k, f"{head} {tails[k // 2]} {words(own)}") for k in range(n)]
+
+
+def jaccard(a, b):
+    x, y = shingles(a), shingles(b)
+    return sum((x & y).values()) / sum((x | y).values())
+
+
+@pytest.mark.parametrize("block_rows", [60, 1000])
+def test_near_duplicates_in_a_family_below_the_threshold(spark, block_rows):
+    rows = family(240, 300, 10, 32)
+    text = dict(rows)
+    assert 0.81 < jaccard(text[0], text[1]) < 0.84 and 0.77 < jaccard(text[0], text[2]) < 0.79
+    got = {r["doc_id"]: r["class_id"] for r in darts.near_duplicates(spark.createDataFrame(rows, DOCS), block_rows=block_rows).collect()}
+    assert all(got[k] == got[k ^ 1] for k in text)  # no pair is torn

@@ -5,7 +5,7 @@ element alone, fall on the region of each element's weight; each coordinate of
 the signature keeps the earliest dart that hits it, so two signatures agree in a
 coordinate with the chance of their weighted Jaccard similarity. Bands of
 coordinates are joined, signatures compared inside the buckets, and pairs whose
-estimate leaves a doubt are compared exactly.
+estimate is near the threshold or above it are compared exactly.
 """
 
 from __future__ import annotations
@@ -94,30 +94,35 @@ def shingle_hashes(w: list[bytes], words: WordHashes, size: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, k: int, size: int, key: str, text: str) -> DataFrame:
-    """Rows (doc, fp, sig): key, fingerprint of the word sequence, signature (null for a text without words)."""
+    """Rows (doc, fp, text_key, sig): key, fingerprint of the word sequence, hash of the text, signature (null for a text without words)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
 
-        def done(keys: list, fps: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        def done(keys: list, fps: list[int], raw: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
             full = [x for x in sets if len(x)]
             sigs = iter(signatures(full, k)) if full else iter(())
             column = [next(sigs).tobytes() if len(x) else None for x in sets]
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fps, pa.int64()), pa.array(column, pa.binary())], names=["doc", "fp", "sig"])
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (keys, fps, raw)), pa.array(column, pa.binary())], names=["doc", "fp", "text_key", "sig"])
 
-        keys, fps, sets, held = [], [], [], 0
+        keys, fps, raw, sets, held = [], [], [], [], 0
         for batch in batches:
-            for doc, t in zip(batch[0].to_pylist(), texts(batch[1]), strict=True):
+            for doc, t, x in zip(batch[0].to_pylist(), texts(batch[1]), batch[2].to_pylist(), strict=True):
                 w = t.split()
-                keys.append(doc), fps.append(fingerprint(w)), sets.append(shingle_hashes(w, words, size))
+                keys.append(doc), fps.append(fingerprint(w)), raw.append(x), sets.append(shingle_hashes(w, words, size))
                 held += len(w) + 20
                 if held > 100_000:
-                    yield done(keys, fps, sets)
-                    keys, fps, sets, held = [], [], [], 0
+                    yield done(keys, fps, raw, sets)
+                    keys, fps, raw, sets, held = [], [], [], [], 0
         if keys:
-            yield done(keys, fps, sets)
+            yield done(keys, fps, raw, sets)
 
-    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text)).filter(F.col("doc").isNotNull()).mapInArrow(work, "doc long, fp long, sig binary")
+    return keyed(docs, key, text).mapInArrow(work, "doc long, fp long, text_key long, sig binary")
+
+
+def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (doc, text, text_key) of the rows with an id."""
+    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key")).filter(F.col("doc").isNotNull())
 
 
 def runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -144,66 +149,59 @@ def group_starts(t: pa.Table, names: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def candidate_links(reps: DataFrame, bands: int, rows: int, similarity: float, margin: float, block_rows: int) -> DataFrame:
-    """Rows (a, b, estimate): pairs that connect what meets in a bucket.
+def compare(sig: np.ndarray, part: np.ndarray, band: int, rows: int, within: bool, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, estimate) of the pairs of a block that meet in no earlier band, with an estimate of `floor` or more."""
+    n, k = sig.shape
+    found = []
+    for begin in range(0, n, 64):
+        same = sig[begin : begin + 64, None, :] == sig[None, begin:, :]
+        share = same.sum(axis=2, dtype=np.int32) / k
+        a, b = np.nonzero(share >= floor)
+        s = share[a, b]
+        early = same[a, b, : band * rows].reshape(len(a), band, rows).all(axis=2).any(axis=1) if band else np.zeros(len(a), bool)
+        fit = (a < b) & ~early & (within | (part[a + begin] != part[b + begin]))
+        found.append((a[fit] + begin, b[fit] + begin, s[fit]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+BLOCK = ["band", "bucket", "i", "j"]
+
+
+def blocks_of(t: pa.Table, starts: np.ndarray, rows: int, floor: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end, a, b, estimate) of each block of a table of whole blocks."""
+    part, band, i, j = (t[x].to_numpy() for x in ("part", "band", "i", "j"))
+    sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(t.num_rows, -1)
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
+        yield lo, hi, *compare(sig[lo:hi], part[lo:hi], int(band[lo]), rows, bool(i[lo] == j[lo]), floor)
+
+
+def candidates(reps: DataFrame, bands: int, rows: int, floor: float, block_rows: int) -> DataFrame:
+    """Rows (band, bucket, i, j, part, doc, text_key, sig): the texts of each block that meet there another one with an estimate of `floor` or more.
 
     In each bucket all pairs are compared by their signatures, blocks of it at a
-    time, each pair in the first band where it meets. Of those at similarity -
-    margin or more a spanning forest goes on, most alike first, and for each
-    document its most alike partner; so their number follows the documents, not
-    the pairs.
+    time, each pair in the first band where it meets. Texts go on, not pairs, so
+    their number does not grow with the square of a bucket.
     """
     width = rows * 2
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * width + 1, F.lit(width))))
     narrow = reps.filter(F.col("sig").isNotNull()).select("doc", F.posexplode(keys).alias("band", "bucket"))
     sizes = narrow.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     sizes = materialise(sizes.select("band", "bucket", F.ceil(F.col("n") / block_rows).cast("int").alias("parts")), "bucket-sizes")
-    meets = narrow.join(sizes, ["band", "bucket"]).groupBy("doc").agg(F.collect_list(F.struct("band", "bucket", "parts")).alias("meets"))  # at most `bands` a document
-    dealt = reps.join(meets, "doc").select("doc", "sig", F.explode("meets").alias("m")).select("doc", "sig", "m.band", "m.bucket", "m.parts")
+    meets = narrow.join(sizes, ["band", "bucket"]).groupBy("doc").agg(F.collect_set(F.struct("band", "bucket", "parts")).alias("meets"))  # at most `bands` a text
+    dealt = reps.join(meets, "doc").select("doc", "text_key", "sig", F.explode("meets").alias("m")).select("doc", "text_key", "sig", "m.band", "m.bucket", "m.parts")
     part = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j")))
-    dealt = dealt.withColumn("part", part).withColumn("block", F.explode(blocks)).select("band", "bucket", "block.i", "block.j", "part", "doc", "sig")
-    by = ["band", "bucket", "i", "j"]
-    dealt = dealt.repartition(*by).sortWithinPartitions(*by, "doc")
-    floor = similarity - margin
-
-    def compare(sig: np.ndarray, part: np.ndarray, band: int, within: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n, k = sig.shape
-        found = []
-        for begin in range(0, n, 64):
-            same = sig[begin : begin + 64, None, :] == sig[None, begin:, :]
-            share = same.sum(axis=2, dtype=np.int32) / k
-            a, b = np.nonzero(share >= floor)
-            s = share[a, b]
-            early = same[a, b, : band * rows].reshape(len(a), band, rows).all(axis=2).any(axis=1) if band else np.zeros(len(a), bool)
-            fit = (a < b) & ~early & (within | (part[a + begin] != part[b + begin]))
-            found.append((a[fit] + begin, b[fit] + begin, s[fit]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    dealt = dealt.withColumn("part", part).withColumn("block", F.explode(blocks)).select("band", "bucket", "block.i", "block.j", "part", "doc", "text_key", "sig")
+    dealt = dealt.repartition(*BLOCK).sortWithinPartitions(*BLOCK, "doc")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in runs(batches, by):
-            doc, part = t["doc"].to_numpy(), t["part"].to_numpy()
-            band, i, j = (t[x].to_numpy() for x in ("band", "i", "j"))
-            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(len(doc), -1)
-            out: list[tuple[int, int, float]] = []
-            for lo, hi in zip(starts, [*starts[1:], len(doc)], strict=True):
-                a, b, s = compare(sig[lo:hi], part[lo:hi], int(band[lo]), bool(i[lo] == j[lo]))
-                if not len(a):
-                    continue
-                order = np.argsort(-s, kind="stable")
-                a, b, s = a[order], b[order], s[order]
-                strength = {(x, y): z for x, y, z in zip(a.tolist(), b.tolist(), s.tolist(), strict=True)} if len(a) <= 50 else None
-                chosen = set(forest(int(hi - lo), a, b))
-                ends = np.concatenate([a, b])
-                _, at = np.unique(ends, return_index=True)
-                chosen |= {(int(a[x % len(a)]), int(b[x % len(a)])) for x in at}
-                if strength is None:
-                    pick = {x: n for n, x in enumerate(zip(a.tolist(), b.tolist(), strict=True)) if x in chosen}
-                    strength = {x: float(s[n]) for x, n in pick.items()}
-                out += [(int(doc[lo + x]), int(doc[lo + y]), strength[x, y]) for x, y in chosen]
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "estimate"])
-
-    return dealt.mapInArrow(work, "a long, b long, estimate double")
+        for t, starts in runs(batches, BLOCK):
+            hit = np.zeros(t.num_rows, bool)
+            for lo, _, a, b, _ in blocks_of(t, starts, rows, floor):
+                hit[lo + a] = hit[lo + b] = True
+            yield from t.filter(pa.array(hit)).combine_chunks().to_batches()
+
+    return dealt.mapInArrow(work, dealt.schema)
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -213,26 +211,66 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def verified(links: DataFrame, docs: DataFrame, similarity: float, size: int, key: str, text: str) -> DataFrame:
-    """Those links (a, b) whose texts are alike enough by the exact measure."""
-    ends = links.select("a", "b", F.explode(F.array("a", "b")).alias("doc"))
-    given = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    pairs = ends.join(given, "doc").repartition("a", "b").sortWithinPartitions("a", "b", "doc").select("a", "b", "doc", "text")
+def linked(a: np.ndarray, b: np.ndarray, s: np.ndarray, sets: list[np.ndarray], similarity: float, sure: float) -> list[tuple[int, int]]:
+    """Links of a block that connect all that the true ones among the pairs (a, b) connect.
+
+    A forest of the pairs, most alike first, is checked on the shingles; then each
+    pair whose ends are not yet connected, so that no pair is given up for
+    another that fails. Pairs with an estimate of `sure` or more are not checked.
+    """
+    cell, owner = cells(sets)
+    _, cell = np.unique(cell, return_inverse=True)
+    ends = np.cumsum(np.bincount(owner, minlength=len(sets)))
+    own = np.split(cell, ends[:-1])
+    size = np.diff(ends, prepend=0)
+    mark = np.zeros(cell.max(initial=-1) + 1, bool)
+    label = np.arange(len(sets))
+    kept: list[tuple[int, int]] = []
+
+    def check(x: int, ys: np.ndarray, known: np.ndarray) -> None:
+        mark[own[x]] = True
+        both = np.add.reduceat(mark[np.concatenate([own[y] for y in ys])], np.cumsum(size[ys]) - size[ys], dtype=np.int64)
+        mark[own[x]] = False
+        for y in ys[known | (both / (size[x] + size[ys] - both) >= similarity)].tolist():
+            if label[x] != label[y]:
+                label[label == label[y]] = label[x]
+                kept.append((x, y))
+
+    order = np.argsort(-s, kind="stable")
+    tree = np.array(forest(len(sets), a[order], b[order]), np.int64).reshape(-1, 2)
+    strong = {(x, y) for x, y in zip(a[s >= sure].tolist(), b[s >= sure].tolist(), strict=True)}
+    for x, y in tree.tolist():
+        check(x, np.array([y]), np.array([(x, y) in strong]))
+    order = np.argsort(a, kind="stable")
+    a, b, s = a[order], b[order], s[order]
+    first = np.append(np.flatnonzero(np.diff(a, prepend=-1)), len(a)).tolist()
+    for lo, hi in zip(first, first[1:], strict=False):
+        x, ys = int(a[lo]), b[lo:hi]
+        open_ = label[ys] != label[x]
+        if open_.any():
+            check(x, ys[open_], s[lo:hi][open_] >= sure)
+    return kept
+
+
+def verified(met: DataFrame, docs: DataFrame, rows: int, similarity: float, floor: float, sure: float, size: int, key: str, text: str) -> DataFrame:
+    """Rows (a, b): links that connect in each block what is alike enough by the exact measure on the whole texts."""
+    given = keyed(docs, key, text)
+    full = met.join(given, ["doc", "text_key"]).select(*BLOCK, "part", "doc", "text_key", "sig", "text")
+    full = full.repartition(*BLOCK).sortWithinPartitions(*BLOCK, "doc", "text_key")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for t, starts in runs(batches, ["a", "b"]):
-            kept = []
-            docs_, texts_ = t["doc"].to_pylist(), t["text"]
-            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
-                first = {docs_[n]: n for n in range(hi - 1, lo - 1, -1)}  # rows that repeat an id: the first one
-                if len(first) == 2:
-                    x, y = (shingle_hashes((texts_[n].as_py() or "").encode().split(), words, size) for n in first.values())
-                    if weighted_jaccard(x, y) >= similarity:
-                        kept.append(lo)
-            yield t.select(["a", "b"]).take(kept).combine_chunks().to_batches()[0] if kept else pa.RecordBatch.from_pydict({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        for t, _ in runs(batches, BLOCK):
+            t = t.take(group_starts(t, [*BLOCK, "doc", "text_key"])).combine_chunks()  # rows that repeat id and text: one of them
+            doc, starts = t["doc"].to_numpy(), group_starts(t, BLOCK)
+            out: list[tuple[int, int]] = []
+            for lo, hi, a, b, s in blocks_of(t, starts, rows, floor):
+                if len(a):
+                    sets = [shingle_hashes(x.split(), words, size) for x in texts(t["text"].slice(lo, hi - lo))]
+                    out += [(int(doc[lo + x]), int(doc[lo + y])) for x, y in linked(a, b, s, sets, similarity, sure)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
-    return pairs.mapInArrow(work, "a long, b long")
+    return full.mapInArrow(work, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, bands: int = 25, rows: int = 6, sure: float = 0.1, margin: float = 0.1, block_rows: int = 1000, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -241,24 +279,24 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, ban
     Two documents link if their word sequences are equal or the weighted Jaccard
     similarity of their shingles is `similarity` or more; classes are connected
     components. Estimates of at least similarity + `sure` (three standard
-    deviations of bands * rows coordinates) count as links, those within
-    `margin` below that are compared exactly on the whole texts. Texts without
+    deviations of bands * rows coordinates) count as links; pairs from
+    similarity - `margin` on are compared exactly on the whole texts, unless
+    checked links of their block connect them already. Texts without
     words are copies of each other. Rows with a null id are left out; rows that
     repeat an id count as one document.
     """
     k = bands * rows
     rows_ = materialise(sketch(docs, k, size, key, text), "signatures")
-    reps = rows_.groupBy("fp").agg(F.min(F.struct("doc", "sig")).alias("r")).select("fp", "r.doc", "r.sig")
+    reps = rows_.groupBy("fp").agg(F.min(F.struct("doc", "text_key", "sig")).alias("r")).select("fp", "r.doc", "r.text_key", "r.sig")
     reps = materialise(reps, "distinct-texts")
-    links = materialise(candidate_links(reps, bands, rows, similarity, margin, block_rows), "candidates")
-    best = links.groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
-    near = best.filter(F.col("estimate") >= similarity + sure).select("a", "b")
-    doubt = verified(best.filter(F.col("estimate") < similarity + sure).select("a", "b"), docs, similarity, size, key, text)
+    floor = similarity - margin
+    met = materialise(candidates(reps, bands, rows, floor, block_rows), "candidates")
+    links = verified(met, docs, rows, similarity, floor, similarity + sure, size, key, text)
     # the smallest id with a text stands for its copies, so that they are no links of one hub
     copies = rows_.select("doc", "fp").join(reps.select("fp", F.col("doc").alias("rep")), "fp").select("doc", "rep")
     ids = materialise(copies.groupBy("doc").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")), "ids")
     # an id repeated with another text ties the classes of its texts together
     several = ids.filter("rep <> other").select("doc", F.col("rep").alias("a"))
     tied = copies.join(several, "doc").select("a", F.col("rep").alias("b"))
-    components = connected_components(near.union(doubt).union(tied))
+    components = connected_components(links.union(tied))
     return ids.join(components.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("doc").alias(key), F.coalesce("component", "rep").alias("class_id"))
