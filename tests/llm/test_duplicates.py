@@ -194,3 +194,10 @@ def test_near_duplicates_in_a_family_below_the_threshold(spark, block_rows):
     assert 0.81 < jaccard(text[0], text[1]) < 0.84 and 0.77 < jaccard(text[0], text[2]) < 0.79
     got = {r["doc_id"]: r["class_id"] for r in darts.near_duplicates(spark.createDataFrame(rows, DOCS), block_rows=block_rows).collect()}
     assert all(got[k] == got[k ^ 1] for k in text)  # no pair is torn
+
+
+def test_near_duplicates_link_nothing_below_the_threshold(spark):
+    rows = family(240, 302, 0, 39)
+    assert 0.785 < jaccard(rows[0][1], rows[1][1]) < 0.8
+    got = {r["doc_id"]: r["class_id"] for r in darts.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {k: k for k, _ in rows}

@@ -211,12 +211,12 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def linked(a: np.ndarray, b: np.ndarray, s: np.ndarray, sets: list[np.ndarray], similarity: float, sure: float) -> list[tuple[int, int]]:
+def linked(a: np.ndarray, b: np.ndarray, s: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Links of a block that connect all that the true ones among the pairs (a, b) connect.
 
     A forest of the pairs, most alike first, is checked on the shingles; then each
     pair whose ends are not yet connected, so that no pair is given up for
-    another that fails. Pairs with an estimate of `sure` or more are not checked.
+    another that fails. Every link is checked, however high its estimate.
     """
     cell, owner = cells(sets)
     _, cell = np.unique(cell, return_inverse=True)
@@ -227,32 +227,30 @@ def linked(a: np.ndarray, b: np.ndarray, s: np.ndarray, sets: list[np.ndarray],
     label = np.arange(len(sets))
     kept: list[tuple[int, int]] = []
 
-    def check(x: int, ys: np.ndarray, known: np.ndarray) -> None:
+    def check(x: int, ys: np.ndarray) -> None:
         mark[own[x]] = True
         both = np.add.reduceat(mark[np.concatenate([own[y] for y in ys])], np.cumsum(size[ys]) - size[ys], dtype=np.int64)
         mark[own[x]] = False
-        for y in ys[known | (both / (size[x] + size[ys] - both) >= similarity)].tolist():
+        for y in ys[both / (size[x] + size[ys] - both) >= similarity].tolist():
             if label[x] != label[y]:
                 label[label == label[y]] = label[x]
                 kept.append((x, y))
 
     order = np.argsort(-s, kind="stable")
-    tree = np.array(forest(len(sets), a[order], b[order]), np.int64).reshape(-1, 2)
-    strong = {(x, y) for x, y in zip(a[s >= sure].tolist(), b[s >= sure].tolist(), strict=True)}
-    for x, y in tree.tolist():
-        check(x, np.array([y]), np.array([(x, y) in strong]))
+    for x, y in forest(len(sets), a[order], b[order]):
+        check(x, np.array([y]))
     order = np.argsort(a, kind="stable")
-    a, b, s = a[order], b[order], s[order]
+    a, b = a[order], b[order]
     first = np.append(np.flatnonzero(np.diff(a, prepend=-1)), len(a)).tolist()
     for lo, hi in zip(first, first[1:], strict=False):
         x, ys = int(a[lo]), b[lo:hi]
         open_ = label[ys] != label[x]
         if open_.any():
-            check(x, ys[open_], s[lo:hi][open_] >= sure)
+            check(x, ys[open_])
     return kept
 
 
-def verified(met: DataFrame, docs: DataFrame, rows: int, similarity: float, floor: float, sure: float, size: int, key: str, text: str) -> DataFrame:
+def verified(met: DataFrame, docs: DataFrame, rows: int, similarity: float, floor: float, size: int, key: str, text: str) -> DataFrame:
     """Rows (a, b): links that connect in each block what is alike enough by the exact measure on the whole texts."""
     given = keyed(docs, key, text)
     full = met.join(given, ["doc", "text_key"]).select(*BLOCK, "part", "doc", "text_key", "sig", "text")
@@ -267,21 +265,21 @@ def verified(met: DataFrame, docs: DataFrame, rows: int, similarity: float, floo
             for lo, hi, a, b, s in blocks_of(t, starts, rows, floor):
                 if len(a):
                     sets = [shingle_hashes(x.split(), words, size) for x in texts(t["text"].slice(lo, hi - lo))]
-                    out += [(int(doc[lo + x]), int(doc[lo + y])) for x, y in linked(a, b, s, sets, similarity, sure)]
+                    out += [(int(doc[lo + x]), int(doc[lo + y])) for x, y in linked(a, b, s, sets, similarity)]
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     return full.mapInArrow(work, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, bands: int = 25, rows: int = 6, sure: float = 0.1, margin: float = 0.1, block_rows: int = 1000, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, bands: int = 25, rows: int = 6, margin: float = 0.1, block_rows: int = 1000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, class_id), one for each document id: the smallest id of its class.
 
     Two documents link if their word sequences are equal or the weighted Jaccard
     similarity of their shingles is `similarity` or more; classes are connected
-    components. Estimates of at least similarity + `sure` (three standard
-    deviations of bands * rows coordinates) count as links; pairs from
-    similarity - `margin` on are compared exactly on the whole texts, unless
-    checked links of their block connect them already. Texts without
+    components. Pairs with an estimate of similarity - `margin` (three standard
+    deviations of bands * rows coordinates) or more are compared exactly on the
+    whole texts, unless checked links of their block connect them already: an
+    estimate alone is no link. Texts without
     words are copies of each other. Rows with a null id are left out; rows that
     repeat an id count as one document.
     """
@@ -291,7 +289,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, ban
     reps = materialise(reps, "distinct-texts")
     floor = similarity - margin
     met = materialise(candidates(reps, bands, rows, floor, block_rows), "candidates")
-    links = verified(met, docs, rows, similarity, floor, similarity + sure, size, key, text)
+    links = verified(met, docs, rows, similarity, floor, size, key, text)
     # the smallest id with a text stands for its copies, so that they are no links of one hub
     copies = rows_.select("doc", "fp").join(reps.select("fp", F.col("doc").alias("rep")), "fp").select("doc", "rep")
     ids = materialise(copies.groupBy("doc").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")), "ids")
