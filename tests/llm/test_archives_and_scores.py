@@ -90,6 +90,17 @@ def test_disclosing_terms(spark):
     assert clean[99] == rows[-3][1] and clean[100] is None and len(clean) == len(rows)
 
 
+def test_terms_of_entities_in_one_text(spark):
+    filler = "please reach others now via and then"
+    far = " ".join([filler] * 5)
+    rows = [(0, f"Zorntal {far} 'zt' wrote _zorntal_ by zt@ex.org {far} Zorntal")] + [(i, f"{filler} wrote by number{i}") for i in range(1, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    # an entity of one text, terms far from it and with marks around them
+    assert clean[0] == f"<TERM> {far} '<TERM>' wrote _<TERM>_ by <EMAIL> {far} <TERM>"
+    assert all(clean[i] == t for i, t in rows[1:])
+
+
 def test_sanitised_overlaps(spark):
     text = "call +4111111111111111 or 4111 1111 1111 1111"
     row = spark.createDataFrame([(1, text)], "doc_id long, text string")

@@ -1,9 +1,9 @@
 """Information-theoretic sanitisation of personal data, in built-in functions only.
 
 Patterns find the protected entities: e-mail and IP addresses, card and phone
-numbers. What the corpus tells then decides about the words around them: a term
-that co-occurs with an entity far more often than chance would have it gives the
-entity away. The share of the entity's information content that the term
+numbers. What the corpus tells then decides about the words of their texts: a
+term that co-occurs with an entity far more often than chance would have it gives
+the entity away. The share of the entity's information content that the term
 discloses is PMI(entity; term) / IC(entity); terms beyond a threshold become
 spans of kind `term`. Sanitising generalises entities to their kind and terms to
 a mark.
@@ -11,6 +11,8 @@ a mark.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +36,8 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 NONE = "array<struct<start:int,end:int,value:string>>"
 
 
-def found(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of the leftmost non-overlapping matches, in code points, the end exclusive."""
+def found(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Array of (start, end, value) of the leftmost non-overlapping matches, in code points, the end exclusive; only of values that fit `keep`."""
 
     def placed(values: Column, gaps: Column) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.array().cast(NONE).alias("out"))
@@ -44,7 +46,8 @@ def found(text: Column, pattern: str) -> Column:
             begin = a["at"] + F.length(F.get(gaps, i))
             end = begin + F.length(F.get(values, i))
             one = F.struct(begin.alias("start"), end.alias("end"), F.get(values, i).alias("value"))
-            return F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+            more = F.concat(a["out"], F.array(one))
+            return F.struct(end.alias("at"), (more if keep is None else F.when(keep(F.get(values, i)), more).otherwise(a["out"])).alias("out"))
 
         return F.aggregate(F.sequence(F.lit(0), F.size(values) - 1), start, step, lambda a: a["out"])
 
@@ -92,53 +95,69 @@ def term_key(value: Column) -> Column:
     return F.xxhash64(F.lower(value))
 
 
-def context_terms(rows: DataFrame, reach: int) -> DataFrame:
-    """Rows (row_key, text_key, entity, term, start, end): whole terms within `reach` characters of an entity, outside all base spans."""
-    near = rows.filter(F.size("base") > 0).select("row_key", "text_key", "text", F.col("base"), F.explode("base").alias("e"))
-    low = F.greatest(F.lit(0), F.col("e.start") - reach)
-    near = near.select("row_key", "text_key", "base", F.xxhash64("e.kind", F.lower("e.value")).alias("entity"), low.alias("low"), F.length("text").alias("size"), F.expr(f"substring(text, greatest(0, e.start - {reach}) + 1, e.end + {reach} - greatest(0, e.start - {reach}))").alias("around"))
-    terms = near.select("row_key", "text_key", "entity", "base", "low", "size", F.length("around").alias("width"), F.explode(found(F.col("around"), TERM)).alias("t"))
-    # a term that the stretch cuts off is not whole
-    whole = ((F.col("t.start") > 0) | (F.col("low") == 0)) & ((F.col("t.end") < F.col("width")) | (F.col("low") + F.col("width") >= F.col("size")))
-    start, end = F.col("low") + F.col("t.start"), F.col("low") + F.col("t.end")
-    placed = terms.filter(whole).select("row_key", "text_key", "entity", "base", term_key(F.col("t.value")).alias("term"), start.alias("start"), end.alias("end"))
-    clear = ~F.exists("base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    return placed.filter(clear).drop("base")
-
+def terms_of(text: Column) -> Column:
+    """Array of the keys of the terms of a text, each once."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), term_key))
 
-def document_frequency(docs: DataFrame, text: str) -> DataFrame:
-    """Rows (term, n_term): in how many rows of the whole corpus a term occurs."""
-    terms = F.array_distinct(F.transform(F.split(text_of(F.col(text)), r"[^\p{L}\p{N}'’_-]+"), lambda w: term_key(w)))
-    return docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
 
+def document_frequency(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """Rows (term, n_term): in how many different texts of the whole corpus a term occurs. Each of n copies counts 1 / n."""
+    weighed = rows.select("text_key", "text").join(copies.filter("copies > 1"), "text_key", "left")
+    terms = weighed.select((1.0 / F.coalesce("copies", F.lit(1))).alias("share"), F.explode(terms_of(F.col("text"))).alias("term"))
+    return terms.groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("n_term"))
 
-def disclosing_terms(near: DataFrame, docs: DataFrame, text: str, threshold: float, min_texts: int) -> DataFrame:
-    """Rows (entity, term, disclosed) of the pairs beyond the threshold."""
-    n = docs.count()
-    entities = near.select("entity", "row_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    pairs = near.groupBy("entity", "term", "row_key").agg(F.first("text_key").alias("text_key")).groupBy("entity", "term", "text_key").agg(F.count(F.lit(1)).alias("rows")).groupBy("entity", "term").agg(F.sum("rows").alias("n_both"), F.count(F.lit(1)).alias("n_texts"))
-    pairs = pairs.filter(F.col("n_texts") >= min_texts).join(entities, "entity").join(document_frequency(docs, text), "term")
-    pmi = F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_entity") * F.greatest("n_term", "n_both")))
-    content = F.log2(F.lit(float(n)) / F.col("n_entity"))
-    return pairs.select("entity", "term", (pmi / F.greatest(content, F.lit(1e-9))).alias("disclosed")).filter(F.col("disclosed") >= threshold)
 
+def disclosing_terms(held: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """Rows (text_key, wanted): the keys of the terms that disclose `threshold` or more of an entity of the text.
 
-def find_spans(docs: DataFrame, threshold: float = 0.8, min_texts: int = 3, reach: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    Counts are of different texts, n in all: P(entity) = (n_entity + 1) / n,
+    P(term) = (n_term + 1) / n, P(both) = n_both / n, so that what was seen once
+    proves less. As n_both is n_entity at most, a term of a text can only count
+    while n_term + 1 <= n_entity * (n / (n_entity + 1)) ** (1 - threshold): the
+    others are left out before terms are paired with entities, which loses none.
+    """
+    copies = materialise(rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies")), "copies")
+    n = float(copies.count())
+    content = F.log2(F.lit(n) / (F.col("n_entity") + 1))
+    of_text = held.select("text_key", F.explode("entities").alias("entity"))
+    entities = of_text.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(content > 0)
+    of_text = materialise(of_text.join(entities, "entity"), "entities")
+    most = of_text.groupBy("text_key").agg(F.max(F.col("n_entity") * F.pow(F.lit(n) / (F.col("n_entity") + 1), F.lit(1 - threshold))).alias("most"))
+    terms = held.select("text_key", F.explode("terms").alias("term")).join(most, "text_key")
+    frequency = materialise(document_frequency(rows, copies), "term-frequency")
+    # terms of one text in 200 and more are few; without them no key of the next join is large
+    frequent = materialise(frequency.filter(F.col("n_term") > n / 200).select("term", F.col("n_term").alias("n_frequent")), "frequent-terms")
+    rare = terms.join(frequent, "term", "left").filter(F.col("n_frequent").isNull() | (F.col("n_frequent") + 1 <= F.col("most") + 1e-6)).drop("n_frequent")
+    rare = rare.join(frequency, "term").filter(F.col("n_term") + 1 <= F.col("most") + 1e-6).select("text_key", "term", "n_term")
+    pairs = materialise(rare.join(of_text, "text_key"), "pairs")
+    pmi = F.log2(F.col("n_both") * F.lit(n) / ((F.col("n_entity") + 1) * (F.col("n_term") + 1)))
+    scored = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count(F.lit(1)).alias("n_both"))
+    flagged = scored.filter(pmi / content >= threshold).select("entity", "term")
+    return pairs.join(flagged, ["entity", "term"]).groupBy("text_key").agg(F.collect_set("term").alias("wanted"))
+
+
+def find_spans(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (row_key, key, base, terms) for each input row: base spans and the method's own.
 
-    A term becomes a span where it stands within `reach` characters of an entity
-    of which it discloses `threshold` or more, seen together in `min_texts`
-    different texts at least, so that copies of one text prove nothing. Null
-    text counts as empty. `row_key` is a hash of id and text: rows that repeat
-    both have the same spans.
+    A term becomes a span wherever it stands, outside base spans, in a text that
+    holds an entity of which it discloses `threshold` or more. Copies of one
+    text count once. Null text counts as empty. `row_key` is a hash of id and
+    text: rows that repeat both have the same spans.
     """
     t = text_of(F.col(text))
     rows = docs.select(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), t).alias("row_key"), F.col(key).alias("doc_id"), F.xxhash64(t).alias("text_key"), t.alias("text"), base_spans(t).alias("base"))
-    near = materialise(context_terms(rows, reach), "context-terms")
-    flagged = materialise(disclosing_terms(near, docs, text, threshold, min_texts), "disclosing-terms")
-    terms = near.join(flagged, ["entity", "term"]).groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    own = F.coalesce(F.transform("terms", lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), s["end"].alias("end"))), F.array().cast("array<struct<start:int,kind:int,end:int>>"))
-    return rows.select("row_key", "doc_id", "base").join(terms, "row_key", "left").select("row_key", "doc_id", "base", own.alias("terms"))
+    own = materialise(rows.filter(F.size("base") > 0).select("row_key", "text_key", "text", "base"), "entity-rows")
+    held = own.dropDuplicates(["text_key"])
+    entities = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
+    held = materialise(held.select("text_key", "text", "base", entities.alias("entities"), terms_of(F.col("text")).alias("terms")), "entity-texts")
+    wanted = materialise(disclosing_terms(held, rows, threshold), "disclosing-terms")
+    spans = found(F.col("text"), TERM, lambda v: F.array_contains("wanted", term_key(v)))
+    clear = F.filter(spans, lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    marked = F.transform(clear, lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), s["end"].alias("end")))
+    placed = held.select("text_key", "text", "base").join(wanted, "text_key").select("text_key", marked.alias("terms"))
+    terms = own.select("row_key", "text_key").distinct().join(placed, "text_key").select("row_key", "terms")
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    return rows.select("row_key", "doc_id", "base").join(terms, "row_key", "left").select("row_key", "doc_id", "base", F.coalesce("terms", none).alias("terms"))
 
 
 def is_kind(i: int):
@@ -171,9 +190,9 @@ def sanitised(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(done)
 
 
-def sanitise(docs: DataFrame, threshold: float = 0.8, min_texts: int = 3, reach: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sanitise(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows with entities and disclosing terms in `text` generalised; all other columns as they are. Null text stays null."""
-    spans = find_spans(docs, threshold, min_texts, reach, key, text).select("row_key", all_spans(F.col("base"), F.col("terms")).alias("__spans")).filter(F.size("__spans") > 0).dropDuplicates(["row_key"])
+    spans = find_spans(docs, threshold, key, text).select("row_key", all_spans(F.col("base"), F.col("terms")).alias("__spans")).filter(F.size("__spans") > 0).dropDuplicates(["row_key"])
     row_key = F.xxhash64(F.coalesce(docs[key].cast("string"), F.lit("")), text_of(docs[text]))
     joined = docs.withColumn("__row_key", row_key).join(spans.withColumnRenamed("row_key", "__row_key"), "__row_key", "left")
     clean = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(sanitised(F.col(text), F.col("__spans")))
