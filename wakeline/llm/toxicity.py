@@ -203,7 +203,7 @@ def stretches(data: bytes, flag: np.ndarray, margin: int = 1) -> list[bytes]:
 
 
 def training_samples(rows: DataFrame, flags: list[np.ndarray], max_samples: int) -> DataFrame:
-    """Rows (model, toxic, sample): what each pair of dictionaries is trained on, up to about `max_samples` for each, taken and mixed by hash."""
+    """Rows (model, toxic, sample): what each pair of dictionaries is trained on, about `max_samples` at most for each, taken and mixed by hash."""
     packed = [np.packbits(f).tobytes() for f in flags]
     n_windows = rows.filter("toxic = 0").agg(F.sum(F.octet_length("text"))).first()[0] or 0
     share = min(1.0, max_samples * WINDOW / max(1, n_windows))
@@ -223,11 +223,8 @@ def training_samples(rows: DataFrame, flags: list[np.ndarray], max_samples: int)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["model", "toxic", "at", "sample"])
 
     found = materialise(rows.mapInArrow(work, "model int, toxic int, at long, sample binary"), "dictionary-samples")
-    pairs = [found.filter((F.col("model") == m) & (F.col("toxic") == c)).orderBy("at", "sample").limit(max_samples) for m in range(len(flags)) for c in (0, 1)]
-    out = pairs[0]
-    for one in pairs[1:]:
-        out = out.union(one)
-    return out
+    sizes = found.groupBy("model", "toxic").agg(F.count(F.lit(1)).alias("n"))  # a row for each dictionary
+    return found.join(F.broadcast(sizes), ["model", "toxic"]).filter(F.pmod(F.col("at"), F.lit(2**32)) * F.col("n") < F.lit(max_samples * 2**32)).drop("n")
 
 
 def train_dictionary(samples: list[bytes], size: int) -> bytes:
@@ -243,10 +240,15 @@ def train_dictionary(samples: list[bytes], size: int) -> bytes:
 def train_dictionaries(rows: DataFrame, folds: int, toxic_bytes: int, ordinary_bytes: int, max_samples: int, min_docs: int, min_evidence: float, min_ratio: float) -> list[tuple[bytes, bytes]]:
     """(toxic, ordinary) dictionaries without fold 0, 1, … and from all. The trainer sees `max_samples` short samples at most for each."""
     flags = telling_runs(rows, folds, min_docs, min_evidence, min_ratio)
-    samples: dict[tuple[int, int], list[bytes]] = {}
-    for r in training_samples(rows, flags, max_samples).collect():  # bounded by max_samples
-        samples.setdefault((r["model"], r["toxic"]), []).append(bytes(r["sample"]))
-    return [(train_dictionary(samples.get((m, 1), []), toxic_bytes), train_dictionary(samples.get((m, 0), []), ordinary_bytes)) for m in range(len(flags))]
+
+    def trained(t: pa.Table) -> pa.Table:
+        toxic = t["toxic"][0].as_py()
+        samples = t.sort_by([("at", "ascending"), ("sample", "ascending")])["sample"].to_pylist()
+        return pa.table({"model": t["model"].slice(0, 1), "toxic": t["toxic"].slice(0, 1), "content": [train_dictionary(samples, toxic_bytes if toxic else ordinary_bytes)]})
+
+    found = training_samples(rows, flags, max_samples).groupBy("model", "toxic").applyInArrow(trained, "model int, toxic int, content binary")
+    content = {(r["model"], r["toxic"]): bytes(r["content"]) for r in found.collect()}  # a dictionary a row
+    return [(content.get((m, 1), b""), content.get((m, 0), b"")) for m in range(len(flags))]
 
 
 def gain_rows(rows: DataFrame, dictionaries: list[tuple[bytes, bytes]]) -> DataFrame:
@@ -299,7 +301,7 @@ def train(
     rows, counts = labelled_texts(docs, labels, max_rows, folds)
     *without, (toxic, ordinary) = train_dictionaries(rows, folds, toxic_bytes, ordinary_bytes, max_samples, min_docs, min_evidence, min_ratio)
     gains = gain_rows(rows.select(F.col("toxic").alias("carried"), "part", "text"), without)
-    found = np.array([list(r) for r in gains.collect()], float).reshape(-1, 1 + len(FEATURES))  # at most max_rows
+    found = gains.toPandas().to_numpy(float).reshape(-1, 1 + len(FEATURES))  # at most max_rows
     y, x = found[:, 0], found[:, 1:]
     if not len(y) or y.min() == y.max():
         return Model(toxic, ordinary, (0.0,) * len(FEATURES), (1.0,) * len(FEATURES), (0.0,) * len(FEATURES) + (-3.0,))
