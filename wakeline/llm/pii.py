@@ -21,10 +21,12 @@ from wakeline.llm.text import let, text_of
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ["email", "ip", "card", "phone", "term"]
-#: The patterns of the base kinds. Repetitions that nothing follows are possessive: the match is the same, and long runs neither backtrack nor recurse.
+#: The patterns of the base kinds, in a form whose work grows with the text only. All places of a run of local
+#: characters or of digits match or fail alike, so a match is tried at the start of a run or where the match before
+#: ended, and nowhere else; repetitions that what follows cannot begin with are possessive. The matches are the same.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
-    "ip": r"[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]++)",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
@@ -34,13 +36,15 @@ GUARDS = {"email": "@[A-Za-z0-9-]+\\.", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "
 TERM = r"[\p{L}\p{N}]+(?:['’_-][\p{L}\p{N}]+)*+"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 NONE = "array<struct<start:int,end:int,value:string>>"
+#: Matches are appended to arrays of so many, and these to one: appending to one long array would copy it each time.
+BLOCK = 256
 
 
 def found(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
     """Array of (start, end, value) of the leftmost non-overlapping matches, in code points, the end exclusive; only of values that fit `keep`."""
 
     def placed(values: Column, gaps: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(NONE).alias("out"))
+        n = F.size(values)
 
         def step(a: Column, i: Column) -> Column:
             begin = a["at"] + F.length(F.get(gaps, i))
@@ -49,7 +53,13 @@ def found(text: Column, pattern: str, keep: Callable[[Column], Column] | None =
             more = F.concat(a["out"], F.array(one))
             return F.struct(end.alias("at"), (more if keep is None else F.when(keep(F.get(values, i)), more).otherwise(a["out"])).alias("out"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(values) - 1), start, step, lambda a: a["out"])
+        def block(a: Column, j: Column) -> Column:
+            start = F.struct(a["at"].alias("at"), F.array().cast(NONE).alias("out"))
+            done = F.aggregate(F.sequence(j * BLOCK, F.least(n, (j + 1) * BLOCK) - 1), start, step)
+            return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(a["out"], F.array(d["out"])).alias("out")))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{NONE}>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), start, block, lambda a: F.flatten(a["out"]))
 
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return let(values, lambda v: F.when(F.size(v) == 0, F.array().cast(NONE)).otherwise(let(F.split(text, pattern, -1), lambda g: placed(v, g))))
@@ -100,11 +110,11 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), term_key))
 
 
-def document_frequency(rows: DataFrame, copies: DataFrame) -> DataFrame:
-    """Rows (term, n_term): in how many different texts of the whole corpus a term occurs. Each of n copies counts 1 / n."""
+def document_frequency(rows: DataFrame, copies: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (term, n_term): in how many different texts of the whole corpus each of the terms in `wanted` occurs. Each of n copies counts 1 / n."""
     weighed = rows.select("text_key", "text").join(copies.filter("copies > 1"), "text_key", "left")
     terms = weighed.select((1.0 / F.coalesce("copies", F.lit(1))).alias("share"), F.explode(terms_of(F.col("text"))).alias("term"))
-    return terms.groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("n_term"))
+    return terms.join(wanted, "term", "left_semi").groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("n_term"))
 
 
 def disclosing_terms(held: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
@@ -124,7 +134,8 @@ def disclosing_terms(held: DataFrame, rows: DataFrame, threshold: float) -> Data
     of_text = materialise(of_text.join(entities, "entity"), "entities")
     most = of_text.groupBy("text_key").agg(F.max(F.col("n_entity") * F.pow(F.lit(n) / (F.col("n_entity") + 1), F.lit(1 - threshold))).alias("most"))
     terms = held.select("text_key", F.explode("terms").alias("term")).join(most, "text_key")
-    frequency = materialise(document_frequency(rows, copies), "term-frequency")
+    candidates = materialise(held.select(F.explode("terms").alias("term")).distinct(), "candidate-terms")
+    frequency = materialise(document_frequency(rows, copies, candidates), "term-frequency")
     # terms of one text in 200 and more are few; without them no key of the next join is large
     frequent = materialise(frequency.filter(F.col("n_term") > n / 200).select("term", F.col("n_term").alias("n_frequent")), "frequent-terms")
     rare = terms.join(frequent, "term", "left").filter(F.col("n_frequent").isNull() | (F.col("n_frequent") + 1 <= F.col("most") + 1e-6)).drop("n_frequent")
@@ -136,28 +147,34 @@ def disclosing_terms(held: DataFrame, rows: DataFrame, threshold: float) -> Data
     return pairs.join(flagged, ["entity", "term"]).groupBy("text_key").agg(F.collect_set("term").alias("wanted"))
 
 
+def text_key(text: Column) -> Column:
+    """128-bit key of a text; null counts as empty."""
+    return F.md5(text_of(text))
+
+
 def find_spans(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (row_key, key, base, terms) for each input row: base spans and the method's own.
+    """Rows (doc_id, text_key, base, terms), one for each input row: base spans and the method's own.
 
     A term becomes a span wherever it stands, outside base spans, in a text that
     holds an entity of which it discloses `threshold` or more. Copies of one
-    text count once. Null text counts as empty. `row_key` is a hash of id and
-    text: rows that repeat both have the same spans.
+    text count once and have the same spans, whatever their ids; a null id stays
+    null. Null text counts as empty and has no spans; an empty table gives an
+    empty one. Base spans are computed once and written.
     """
     t = text_of(F.col(text))
-    rows = docs.select(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), t).alias("row_key"), F.col(key).alias("doc_id"), F.xxhash64(t).alias("text_key"), t.alias("text"), base_spans(t).alias("base"))
-    own = materialise(rows.filter(F.size("base") > 0).select("row_key", "text_key", "text", "base"), "entity-rows")
-    held = own.dropDuplicates(["text_key"])
+    rows = docs.select(F.col(key).alias("doc_id"), text_key(F.col(text)).alias("text_key"), t.alias("text"))
+    based = rows.withColumn("base", F.explode(F.array(base_spans(F.col("text")))))  # a generator: computed once, whatever is asked of it
+    based = materialise(based.select("doc_id", "text_key", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "base-spans")
+    own = based.filter(F.size("base") > 0).dropDuplicates(["text_key"])
     entities = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
-    held = materialise(held.select("text_key", "text", "base", entities.alias("entities"), terms_of(F.col("text")).alias("terms")), "entity-texts")
+    held = materialise(own.select("text_key", "text", "base", entities.alias("entities"), terms_of(F.col("text")).alias("terms")), "entity-texts")
     wanted = materialise(disclosing_terms(held, rows, threshold), "disclosing-terms")
     spans = found(F.col("text"), TERM, lambda v: F.array_contains("wanted", term_key(v)))
     clear = F.filter(spans, lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     marked = F.transform(clear, lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), s["end"].alias("end")))
     placed = held.select("text_key", "text", "base").join(wanted, "text_key").select("text_key", marked.alias("terms"))
-    terms = own.select("row_key", "text_key").distinct().join(placed, "text_key").select("row_key", "terms")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return rows.select("row_key", "doc_id", "base").join(terms, "row_key", "left").select("row_key", "doc_id", "base", F.coalesce("terms", none).alias("terms"))
+    return based.select("doc_id", "text_key", "base").join(placed, "text_key", "left").select("doc_id", "text_key", "base", F.coalesce("terms", none).alias("terms"))
 
 
 def is_kind(i: int):
@@ -178,22 +195,35 @@ def all_spans(base: Column, terms: Column) -> Column:
 
 def sanitised(text: Column, spans: Column) -> Column:
     """The text with each span generalised to the mark of its kind; of overlapping spans the first one's mark stands for all."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    kind = "array<struct<at:int,start:int,kind:int>>"
 
     def step(a: Column, s: Column) -> Column:
-        mark = F.concat(F.lit("<"), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1)), F.lit(">"))
-        between = F.substring(text, a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"]))
-        fresh = s["start"] >= a["at"]
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["out"], between, mark)).otherwise(a["out"]).alias("out"))
+        one = F.struct(a["at"].alias("at"), s["start"].alias("start"), s["kind"].alias("kind"))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], F.array(one))).otherwise(a["out"]).alias("out"))
+
+    def block(a: Column, j: Column) -> Column:
+        start = F.struct(a["at"].alias("at"), F.array().cast(kind).alias("out"))
+        done = F.aggregate(F.slice(spans, j * BLOCK + 1, F.lit(BLOCK)), start, step)
+        return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(a["out"], F.array(d["out"])).alias("out")))
 
-    done = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.lit(2**31 - 1))))
+    def joined(a: Column) -> Column:
+        mark = lambda i: F.concat(F.lit("<"), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), i + 1)), F.lit(">"))
+        parts = F.transform(F.flatten(a["out"]), lambda s: F.concat(F.substring(text, s["at"] + 1, s["start"] - s["at"]), mark(s["kind"])))
+        return F.concat(F.array_join(parts, ""), F.substring(text, a["at"] + 1, F.lit(2**31 - 1)))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    done = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")), start, block, joined)
     return F.when(F.size(spans) == 0, text).otherwise(done)
 
 
 def sanitise(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows with entities and disclosing terms in `text` generalised; all other columns as they are. Null text stays null."""
-    spans = find_spans(docs, threshold, key, text).select("row_key", all_spans(F.col("base"), F.col("terms")).alias("__spans")).filter(F.size("__spans") > 0).dropDuplicates(["row_key"])
-    row_key = F.xxhash64(F.coalesce(docs[key].cast("string"), F.lit("")), text_of(docs[text]))
-    joined = docs.withColumn("__row_key", row_key).join(spans.withColumnRenamed("row_key", "__row_key"), "__row_key", "left")
-    clean = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(sanitised(F.col(text), F.col("__spans")))
-    return joined.withColumn(text, clean).select(*docs.columns)
+    """The rows with entities and disclosing terms in `text` generalised; all other columns as they are.
+
+    Null text stays null. What is generalised depends on the texts alone, so
+    rows with a null or repeated id are cleaned like any other.
+    """
+    found = find_spans(docs, threshold, key, text).select("text_key", all_spans(F.col("base"), F.col("terms")).alias("spans")).filter(F.size("spans") > 0)
+    per_text = materialise(found.groupBy("text_key").agg(F.first("spans").alias("spans")), "spans-by-text")
+    joined = docs.select(F.struct("*").alias("row"), text_key(docs[text]).alias("text_key")).join(per_text, "text_key", "left")
+    clean = F.when(F.col("spans").isNull(), F.col("row").getField(text)).otherwise(sanitised(F.col("row").getField(text), F.col("spans")))
+    return joined.select(*(clean.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))
