@@ -110,11 +110,13 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), term_key))
 
 
-def document_frequency(rows: DataFrame, copies: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (term, n_term): in how many different texts of the whole corpus each of the terms in `wanted` occurs. Each of n copies counts 1 / n."""
-    weighed = rows.select("text_key", "text").join(copies.filter("copies > 1"), "text_key", "left")
-    terms = weighed.select((1.0 / F.coalesce("copies", F.lit(1))).alias("share"), F.explode(terms_of(F.col("text"))).alias("term"))
-    return terms.join(wanted, "term", "left_semi").groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("n_term"))
+def document_frequency(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (term, n_term): in how many different texts of the whole corpus each of the terms in `wanted` occurs.
+
+    Keys are shuffled, not texts: of terms first thinned out to the wanted ones, of which the copies of a text have one each.
+    """
+    terms = rows.select(F.xxhash64("text").alias("of"), F.explode(terms_of(F.col("text"))).alias("term"))
+    return terms.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
 
 
 def disclosing_terms(held: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
@@ -126,8 +128,7 @@ def disclosing_terms(held: DataFrame, rows: DataFrame, threshold: float) -> Data
     while n_term + 1 <= n_entity * (n / (n_entity + 1)) ** (1 - threshold): the
     others are left out before terms are paired with entities, which loses none.
     """
-    copies = materialise(rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies")), "copies")
-    n = float(copies.count())
+    n = float(rows.select(F.xxhash64("text").alias("of")).distinct().count())
     content = F.log2(F.lit(n) / (F.col("n_entity") + 1))
     of_text = held.select("text_key", F.explode("entities").alias("entity"))
     entities = of_text.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(content > 0)
@@ -135,7 +136,7 @@ def disclosing_terms(held: DataFrame, rows: DataFrame, threshold: float) -> Data
     most = of_text.groupBy("text_key").agg(F.max(F.col("n_entity") * F.pow(F.lit(n) / (F.col("n_entity") + 1), F.lit(1 - threshold))).alias("most"))
     terms = held.select("text_key", F.explode("terms").alias("term")).join(most, "text_key")
     candidates = materialise(held.select(F.explode("terms").alias("term")).distinct(), "candidate-terms")
-    frequency = materialise(document_frequency(rows, copies, candidates), "term-frequency")
+    frequency = materialise(document_frequency(rows, candidates), "term-frequency")
     # terms of one text in 200 and more are few; without them no key of the next join is large
     frequent = materialise(frequency.filter(F.col("n_term") > n / 200).select("term", F.col("n_term").alias("n_frequent")), "frequent-terms")
     rare = terms.join(frequent, "term", "left").filter(F.col("n_frequent").isNull() | (F.col("n_frequent") + 1 <= F.col("most") + 1e-6)).drop("n_frequent")
