@@ -173,6 +173,17 @@ hist as (select *, row_number() over w as n_, lag(dest_code) over w as prev_, (r
 hrun as (select *, sum(ch_::int) over (partition by imo order by snapshot_ts, o_orderkey rows unbounded preceding) as run_ from hist),
 hdept as (select h.*, f.prev_ as dept_code from hrun h left join (select imo, run_, prev_ from hrun where ch_) f on h.imo=f.imo and h.run_=f.run_)"""
 
+#: Every cleaned row with the code of its text, how it was found and its place among the rows of its ship.
+CODED = """
+coded as (select c.*, coalesce(r.portcode, l.code) as code0, case when r.portcode is not null then 'registered' else l.resolution end as resolution,
+    case when r.portcode is null then l.confidence end as percent, case when r.portcode is not null then c.event_id when l.resolution is not null then c.event_id+1000000000 end as key_
+  from cleaned c left join (select clean_dest, max(portcode) as portcode from registered group by clean_dest) r on c.clean_dest=r.clean_dest and length(c.clean_dest)>=3
+  left join ladder l on c.clean_dest=l.clean_dest and length(c.clean_dest)>=3 and r.portcode is null)"""
+LAST_CODE = "arg_max(code0, key_) filter (key_ is not null) over (partition by mmsi)"
+DAY = """
+day as (select * from positions where strftime(dt_pos_utc, '%Y%m%d')=(select max(strftime(dt_pos_utc, '%Y%m%d')) from positions)),
+listed as (select * from day where imo in (select imo from watch_list))"""
+
 SQL = {
     "clean_destination": query(TEXTS, "select event_id, destination, clean_dest, coalesce(length(clean_dest)>=3, false) as valid from cleaned"),
     "valid_split_counts": query(TEXTS, "select count(*) as n_rows, count(*) filter (coalesce(length(clean_dest)>=3, false)) as n_valid, count(*) filter (not coalesce(length(clean_dest)>=3, false)) as n_invalid from cleaned"),
@@ -214,7 +225,17 @@ from cur c join snapshots s on s.imo=c.imo group by c.imo, c.dest_code""",
     ),
     "departure_history": query([SNAPSHOTS, HISTORY], "select o_orderkey, imo, dest_code, dept_code from hdept union all select o_orderkey, imo, dest_code, null from snapshots where imo is null"),
     "update_from": query([SNAPSHOTS, RANKED], "select s.o_orderkey, s.imo, case when p.imo is not null then p.dest_code else s.dest_code end as dest_code from snapshots s left join past p on s.imo=p.imo"),
-    "read_history": query(POS, "select event_id, mmsi, dt_pos_utc from positions where dt_pos_utc>=(select date_trunc('day', min(ts))+interval 1 day from events) and dt_pos_utc<=(select date_trunc('day', min(ts))+interval 4 day from events)"),
+    "read_history": query(POS, "select event_id, mmsi, dt_pos_utc from positions where dt_pos_utc>=(select date_trunc('day', min(ts))+interval 1 day from events) and dt_pos_utc<=(select date_trunc('day', min(ts))+interval 41 day from events)"),
+    "ship_history": query(POS, "select event_id, mmsi, dt_pos_utc from positions where dt_pos_utc<=(select date_trunc('day', min(ts))+interval 3 day from events) and mmsi=(select min(mmsi) from positions)"),
+    "split_valid": query(TEXTS, "select event_id, coalesce(length(clean_dest)>=3, false) as valid from cleaned"),
+    "normalise_history": query(POS, "select mmsi, imo, nav_status, longitude, case when event_id%5>0 then round(sog, 6) end as sog, destination from positions"),
+    "snapshots_by_prefix": query(POS, "select event_id, 'lvi_prm_'||strftime(dt_pos_utc, '%Y%m%d') as snapshot_id from positions where strftime(dt_pos_utc, '%Y%m')='202401'"),
+    "sort_history": query(POS, "select event_id, imo, dt_pos_utc from positions"),
+    "fleet_extract": query([*POS, WATCH], "select event_id, mmsi, imo, nav_status, 'lvi_prm_'||strftime(dt_pos_utc, '%Y%m%d') as snapshot_id from positions where mmsi-191000000 in (select imo from watch_list) and year(dt_pos_utc)=2024"),
+    "export_groups": query([*TEXTS, MATCHED], f"select event_id, code as dest_code, {group_of('code')} as country_group from cleaned c join matched m on c.clean_dest=m.clean_dest where {group_of('code')} is not null"),
+    "table_sinks": query([SNAPSHOTS], "select o_orderkey, imo, dest_code from snapshots union all select o_orderkey, imo, dest_code from snapshots where imo is null"),
+    "stream_update": query([SNAPSHOTS], "select o_orderkey, imo, dest_code from snapshots"),
+    "voyage_records": query([*VOY, NAMED], "select n.mmsi, n.voyage_id, n.origin as origin_code, n.destination as destination_code, h.dt_pos_utc from named n join h8 h on n.mmsi=h.mmsi and n.voyage_id=h.voyage_id"),
     "missing_counts": query(POS, "select count(*) filter (imo is null) as n_missing_imo, count(*) filter (sog is null) as n_missing_sog, count(*) filter (destination is null) as n_missing_destination from positions"),
     "drop_missing_key": query(POS, "select event_id, mmsi, imo from positions where imo is not null and imo<>0"),
     "ambiguous_ids": query(POS, "select mmsi from positions group by mmsi having count(distinct imo)>1"),
@@ -247,12 +268,13 @@ from cur c join snapshots s on s.imo=c.imo group by c.imo, c.dest_code""",
     "snapshot_schema": query(POS, "select mmsi, cast(imo as int) as imo, destination, sog, strftime(dt_pos_utc, '%Y-%m-%d %H:%M:%S') as dt_pos_utc, vessel_name from (select *, null::varchar as vessel_name from positions)"),
     "stream_snapshots": query([*POS, WINDOWED], "select window_start, mmsi, event_id, destination from newest where window_start+interval 30 minutes<=(select max(dt_pos_utc) from positions)-interval 30 minutes"),
     "stream_departures": query([SNAPSHOTS, HISTORY], "select o_orderkey, imo, dest_code, dept_code from hdept"),
-    "stream_code": query([*TEXTS, MATCHED], "select event_id, c.clean_dest, m.code as matched_code from cleaned c join matched m on c.clean_dest=m.clean_dest where length(c.clean_dest)>=3"),
-    "code_destinations": query(
-        [*TEXTS, REGISTERED, SCORES, LADDER, "reg as (select clean_dest, max(portcode) as portcode from registered group by clean_dest)"],
-        """select event_id, mmsi, clean_dest, case when resolution is not null then arg_max(code0, key_) filter (key_ is not null) over (partition by mmsi) end as dest_code, resolution from
- (select c.event_id, c.mmsi, c.clean_dest, coalesce(r.portcode, l.code) as code0, case when r.portcode is not null then 'registered' else l.resolution end as resolution,
-    case when r.portcode is not null then c.event_id when l.resolution is not null then c.event_id+1000000000 end as key_
-  from cleaned c left join reg r on c.clean_dest=r.clean_dest and length(c.clean_dest)>=3 left join ladder l on c.clean_dest=l.clean_dest and length(c.clean_dest)>=3 and r.portcode is null)""",
+    "stream_code": query([*TEXTS, REGISTERED, SCORES, LADDER, CODED], "select event_id, clean_dest, code0 as code, resolution from coded where resolution is not null"),
+    "coding_report": query([*TEXTS, REGISTERED, SCORES, LADDER, CODED], f"select mmsi, destination as input, clean_dest as destination, {LAST_CODE} as port_code, percent, resolution from coded where resolution is not null"),
+    "coding_cycle": query(
+        [*POS, SNAPSHOTS, RANKED, WATCH, DAY, clean("listed", "destination", "cleaned"), REGISTERED, SCORES, LADDER, CODED],
+        f"""select day.event_id, day.imo, u.x.d as dest_code, u.x.p as dept_code from day left join (select imo, arg_max({{'d': dest_code, 'p': dept_code}}, event_id) as x from
+ (select c.event_id, c.imo, c.dest_code, case when p.imo is null then null when c.dest_code is not distinct from p.dest_code then p.dept_code else p.dest_code end as dept_code
+    from (select *, case when resolution is not null then {LAST_CODE} end as dest_code from coded) c left join past p on c.imo=p.imo and c.imo<>0) where imo is not null group by imo) u on day.imo=u.imo""",
     ),
+    "code_destinations": query([*TEXTS, REGISTERED, SCORES, LADDER, CODED], f"select event_id, mmsi, clean_dest, case when resolution is not null then {LAST_CODE} end as dest_code, resolution from coded"),
 }

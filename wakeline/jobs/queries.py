@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions import destination as D
 from wakeline.functions import geo
+from wakeline.jobs import cycle
 from wakeline.jobs.oracle import SQL as ORACLE
 from wakeline.operators import carry, coding, tracks, voyages
 from wakeline.sources import adapters as A
@@ -128,13 +131,78 @@ def update_from(spark, d):
     return carry.update_from(A.snapshots(spark, d), past, "imo", ["dest_code"], "snapshot_ts").select("o_orderkey", "imo", "dest_code")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that `spark.checkpoint.dir` names; on one machine, where that is unset, in a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="wakeline-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_history(spark, d):
+    """A month-partitioned copy, from the second day on for 40 days: months after the data have no partition."""
+    path = shared_path(spark, "history")
+    A.positions(spark, d).withColumn("yyyymm", F.date_format("dt_pos_utc", "yyyyMM")).write.partitionBy("yyyymm").parquet(path)
     first = A.table(spark, d, "events").agg(F.date_trunc("day", F.min("ts")).alias("t")).first()["t"]
-    day = F.expr("interval 1 day")
-    rows = A.positions(spark, d).filter((F.col("dt_pos_utc") >= F.lit(first) + day) & (F.col("dt_pos_utc") <= F.lit(first) + day * 4))
+    rows = S.read_history(spark.read.parquet(path).withColumn("yyyymm", F.col("yyyymm").cast("string")), first + timedelta(days=1), first + timedelta(days=41))
     return rows.select("event_id", "mmsi", "dt_pos_utc")
 
 
+def ship_history(spark, d):
+    """The first four days, the last one only at midnight, of the ship with the smallest number."""
+    t = A.positions(spark, d)
+    first, ship = t.agg(F.date_trunc("day", F.min("dt_pos_utc")), F.min("mmsi")).first()
+    return S.read_history(t, first, first + timedelta(days=3), ship).select("event_id", "mmsi", "dt_pos_utc")
+
+
+def split_valid(spark, d):
+    valid, other = coding.split_valid(A.positions(spark, d))
+    return valid.select("event_id", F.lit(True).alias("valid")).union(other.select("event_id", F.lit(False)))
+
+
+def normalise_history(spark, d):
+    raw = A.positions(spark, d).select(F.col("dt_pos_utc").cast("string").alias("positionUpdated"), F.col("mmsi").cast("string").alias("mmsi"), F.col("imo").cast("string").alias("imoNumber"), F.col("longitude").cast("string").alias("longitude"), F.col("latitude").cast("string").alias("latitude"), F.when(F.col("event_id") % 5 == 0, "n/a").otherwise(F.col("sog").cast("string")).alias("sog"), F.lit(None).cast("string").alias("cog"), F.col("nav_status").alias("navStatus"), "destination")
+    return S.normalise_history(raw).select("mmsi", "imo", "nav_status", "longitude", F.round("sog", 6).alias("sog"), "destination")
+
+
+def day_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    return A.positions(spark, d).withColumn("snapshot_id", F.concat(F.lit("lvi_prm_"), F.date_format("dt_pos_utc", "yyyyMMdd")))
+
+
+def coding_cycle(spark, d):
+    """The cycle over the newest day: its snapshot with the codes of the listed ships."""
+    past = A.ranked_snapshots(spark, d)[1]
+    done = cycle.coding_cycle(day_snapshots(spark, d), "lvi_prm_", A.watch_list(spark, d), A.ports(spark, d), A.registered(spark, d), past, shared_path(spark, "cycle"))
+    return done[1].select("event_id", "imo", "dest_code", "dept_code")
+
+
+def fleet_extract(spark, d):
+    rows = day_snapshots(spark, d).select("event_id", "mmsi", "imo", "nav_status", "snapshot_id").withColumn("geom", F.lit("POINT(0 0)"))
+    fleet = A.watch_list(spark, d).select((F.col("imo") + 191_000_000).alias("mmsi"))
+    done = cycle.fleet_extract(spark, rows, "lvi_prm_2024", fleet, shared_path(spark, "fleet"), "event_id long, imo long, nav_status string, snapshot_id string, mmsi long")
+    return done.select("event_id", "mmsi", "imo", "nav_status", "snapshot_id")
+
+
+def export_groups(spark, d):
+    path = shared_path(spark, "groups")
+    coded = cleaned(spark, d).select("event_id", "clean_dest").join(coding.match_code(cleaned(spark, d), A.ports(spark, d)), "clean_dest")
+    S.export_by_country_group(coded.select("event_id", F.col("matched_code").alias("dest_code")), path)
+    return spark.read.schema("event_id long, dest_code string, country_group string").option("header", True).csv(path)
+
+
+def table_sinks(spark, d):
+    """Rows appended twice, then the table replaced by its own distinct rows and one more append."""
+    path, rows = shared_path(spark, "sink"), A.snapshots(spark, d).select("o_orderkey", "imo", "dest_code")
+    S.append_rows(rows, path)
+    S.append_rows(rows, path)
+    S.replace_table(S.read_table(spark, path).distinct(), path)
+    S.append_rows(rows.filter("imo is null"), path)
+    return S.read_table(spark, path)
+
+
 def months_between(spark, d):
     rows = A.positions(spark, d).groupBy("mmsi").agg(F.min("dt_pos_utc").alias("a"), (F.max("dt_pos_utc") + F.expr("interval 70 days")).alias("b"))
     return rows.select("mmsi", F.array_join(geo.months_between(F.col("a"), F.col("b")), ",").alias("months"))
@@ -166,7 +234,8 @@ def nearest_port(spark, d):
 
 def voyage_records(spark, d):
     p, v = voyages.extract_voyages(A.positions(spark, d), A.ports(spark, d), RADIUS, min_points=MIN_POINTS)
-    return voyages.voyage_records(p, v)
+    nested = voyages.voyage_records(p, v)
+    return nested.select("mmsi", "voyage_id", F.col("origin.port_code").alias("origin_code"), F.col("destination.port_code").alias("destination_code"), F.explode("nav_info.dt_pos_utc").alias("dt_pos_utc"))
 
 
 def ocean_side(spark, d):
@@ -198,8 +267,7 @@ def streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all there is; its rows, written in the shared folder."""
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/wakeline-streams"
-    out = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = shared_path(spark, "stream")
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").format("parquet").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
@@ -216,8 +284,19 @@ def stream_departures(spark, d):
 
 
 def stream_code(spark, d):
-    rows = A.positions_from(streamed(spark, d, "events"), A.ports(spark, d)).withColumn("clean_dest", D.clean_destination(F.col("destination")))
-    return finished(R.stream_code(rows.filter(F.length("clean_dest") >= 3), A.ports(spark, d)).select("event_id", "clean_dest", "matched_code"))
+    ports, out = A.ports(spark, d), shared_path(spark, "coded")
+    rows = A.positions_from(streamed(spark, d, "events"), ports).select("event_id", "destination")
+    R.stream_code(rows, ports, A.registered(spark, d), f"{out}/rows", f"{out}/state").start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("event_id", "clean_dest", "code", "resolution")
+
+
+def stream_update(spark, d):
+    """Rows of a stream appended batch by batch, the whole stream run twice with lost progress: every batch counts once."""
+    out = shared_path(spark, "updates")
+    for run in ("first", "again"):
+        rows = A.snapshots_from(streamed(spark, d, "orders")).select("o_orderkey", "imo", "dest_code")
+        R.stream_update(rows, lambda df, folder: df.write.mode("overwrite").parquet(folder), f"{out}/rows", f"{out}/{run}").start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("o_orderkey", "imo", "dest_code")
 
 
 QUERIES = {
@@ -277,5 +356,15 @@ QUERIES = {
     "stream_snapshots": stream_snapshots,
     "stream_departures": stream_departures,
     "stream_code": stream_code,
+    "stream_update": stream_update,
+    "ship_history": ship_history,
+    "split_valid": split_valid,
+    "normalise_history": normalise_history,
+    "snapshots_by_prefix": lambda spark, d: S.snapshots_by_prefix(day_snapshots(spark, d), "lvi_prm_202401").select("event_id", "snapshot_id"),
+    "sort_history": lambda spark, d: voyages.sort_history(A.positions(spark, d)).select("event_id", "imo", "dt_pos_utc"),
+    "coding_cycle": coding_cycle,
+    "fleet_extract": fleet_extract,
+    "export_groups": export_groups,
+    "table_sinks": table_sinks,
 }
 SQL = {name: sql for name, sql in ORACLE.items() if name in QUERIES}

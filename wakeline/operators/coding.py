@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions.destination import clean_destination, code_candidates, country_prefix, is_numeric_text, is_valid_destination, last_word, noise_full, noise_part
@@ -131,25 +131,39 @@ def code_batch(df: DataFrame, ports: DataFrame, scorer: Scorer = ngram_scorer, c
     return hybrid_code(score_destinations(cleaned, ports, scorer), ports)
 
 
+def with_clean_destination(df: DataFrame, column: str = "destination") -> DataFrame:
+    """Add clean_dest; each distinct raw text is cleaned once and joined back."""
+    distinct = df.select(F.col(column).alias("__raw")).filter(F.col(column).isNotNull()).distinct()
+    cleaned = distinct.withColumn("clean_dest", clean_destination(F.col("__raw")))
+    return df.join(cleaned, F.col(column) == F.col("__raw"), "left").drop("__raw")
+
+
+def code_texts(texts: DataFrame, ports: DataFrame, registered: DataFrame, scorer: Scorer = ngram_scorer) -> DataFrame:
+    """Rows (clean_dest, code, resolution, confidence) of the distinct valid texts: registered ones first, the others by the ladder."""
+    found = registered_lookup(texts.select("clean_dest").filter(F.length("clean_dest") >= 3).distinct(), registered)
+    known = found.filter(F.col("registered_code").isNotNull()).select("clean_dest", F.col("registered_code").alias("code"), F.lit("registered").alias("resolution"), F.lit(None).cast("double").alias("confidence"))
+    rest = found.filter(F.col("registered_code").isNull()).select("clean_dest")
+    return known.unionByName(hybrid_code(score_destinations(rest, ports, scorer), ports).select("clean_dest", "code", "resolution", "confidence"))
+
+
 def code_destinations(df: DataFrame, ports: DataFrame, registered: DataFrame, scorer: Scorer = ngram_scorer, order: str = "event_id") -> DataFrame:
     """Rows with `dest_code`, `resolution` and `confidence`: registered texts first, the others by the ladder.
 
     Rows whose destination is not valid keep the code they have. Of several rows
     of a ship the last one counts for all of its valid rows: registered ones
-    first, then the others, each in `order`.
+    first, then the others, each in `order`. Ships without a number keep the
+    codes of their own rows.
     """
     given = df if "dest_code" in df.columns else df.withColumn("dest_code", F.lit(None).cast("string"))
-    cleaned = given.withColumn("clean_dest", clean_destination(F.col("destination")))
-    valid = F.coalesce(F.length("clean_dest") >= 3, F.lit(False))
-    texts = registered_lookup(cleaned.filter(valid).select("clean_dest").distinct(), registered)
-    known = texts.filter(F.col("registered_code").isNotNull()).select("clean_dest", F.col("registered_code").alias("__code"), F.lit("registered").alias("resolution"), F.lit(None).cast("double").alias("confidence"))
-    rest = texts.filter(F.col("registered_code").isNull()).select("clean_dest")
-    coded = hybrid_code(score_destinations(rest, ports, scorer), ports).select("clean_dest", F.col("code").alias("__code"), "resolution", "confidence")
-    joined = cleaned.join(known.unionByName(coded), "clean_dest", "left")
-    ship = Window.partitionBy("mmsi")
-    rank = F.when(F.col("resolution").isNotNull(), F.struct((F.col("resolution") != "registered").alias("model"), F.col(order).alias("o")))
-    final = F.when(F.col("mmsi").isNull(), F.col("__code")).otherwise(F.max_by("__code", rank).over(ship))
-    return joined.withColumn("dest_code", F.when(F.col("resolution").isNotNull(), final).otherwise(F.col("dest_code"))).drop("__code")
+    cleaned = with_clean_destination(given)
+    coded = code_texts(cleaned, ports, registered, scorer).withColumnRenamed("code", "__code")
+    joined = cleaned.join(coded, "clean_dest", "left")
+    rank = F.struct((F.col("resolution") != "registered").alias("model"), F.col(order).alias("o"))
+    ships = joined.filter(F.col("resolution").isNotNull() & F.col("mmsi").isNotNull())
+    last = ships.groupBy(F.col("mmsi").alias("__mmsi")).agg(F.max_by(F.struct("__code"), rank).alias("__last"))
+    done = joined.join(last, F.col("mmsi") == F.col("__mmsi"), "left")
+    final = F.when(F.col("__last").isNull(), F.col("__code")).otherwise(F.col("__last.__code"))
+    return done.withColumn("dest_code", F.when(F.col("resolution").isNotNull(), final).otherwise(F.col("dest_code"))).drop("__code", "__mmsi", "__last")
 
 
 def coding_report(coded: DataFrame) -> DataFrame:

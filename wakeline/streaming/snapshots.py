@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wakeline.functions.destination import code_candidates
 from wakeline.operators.carry import known_ship
+from wakeline.operators.coding import Scorer, code_texts, ngram_scorer, with_clean_destination
 
 
 def stream_snapshots(positions: DataFrame, width: str = "30 minutes", late: str = "30 minutes", columns: tuple[str, ...] = ("event_id", "imo", "sog", "destination")) -> DataFrame:
@@ -48,26 +48,30 @@ def stream_departures(coded: DataFrame, key: str = "imo", time: str = "snapshot_
     return ships.groupBy(key).applyInPandasWithState(carry, out, "dest string, dept string", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_update(stream: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str, done: Callable[[int], bool]):
-    """Apply a function to each micro-batch; a batch that `done` knows is not applied again, so replays are safe. Returns the stream's writer, not started."""
+def stream_update(stream: DataFrame, apply: Callable[[DataFrame, str], None], target: str, checkpoint: str):
+    """Apply a function to each micro-batch and a folder of its own under `target`.
+
+    A batch that runs again gets the same folder; as long as `apply` writes
+    nothing but that folder, and in overwrite mode, a batch counts once even
+    after a crash in its midst. Returns the stream's writer, not started.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
-        if not done(number):
-            apply(df.withColumn("batch_id", F.lit(number)))
+        apply(df, f"{target.rstrip('/')}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def stream_code(cleaned: DataFrame, ports: DataFrame, tries: int = 3) -> DataFrame:
-    """Add `matched_code` to a stream with clean_dest: its first candidate that is a known code.
+def stream_code(positions: DataFrame, ports: DataFrame, registered: DataFrame, target: str, checkpoint: str, scorer: Scorer = ngram_scorer):
+    """Write every valid row with clean_dest, code and resolution: registered texts, then the whole ladder, as a batch has them.
 
-    Each of the first `tries` five-letter candidates is joined with the static
-    dictionary; the 20 characters of a destination field hold no more.
+    The distinct texts of each micro-batch are coded once against the static
+    tables. Returns the stream's writer, not started.
     """
-    codes = ports.select("portcode").distinct()
-    out = cleaned.withColumn("__tries", F.filter(code_candidates(F.col("clean_dest")), lambda c: F.length(c) == 5))
-    for i in range(tries):
-        known = codes.select(F.col("portcode").alias(f"__try{i}"), F.col("portcode").alias(f"__hit{i}"))
-        out = out.withColumn(f"__try{i}", F.upper(F.get("__tries", F.lit(i)))).join(known, f"__try{i}", "left")
-    hit = F.coalesce(*(f"__hit{i}" for i in range(tries)))
-    return out.withColumn("matched_code", hit).drop("__tries", *(f"__{x}{i}" for x in ("try", "hit") for i in range(tries)))
+
+    def apply(df: DataFrame, folder: str) -> None:
+        cleaned = with_clean_destination(df)
+        coded = cleaned.join(code_texts(cleaned, ports, registered, scorer), "clean_dest")
+        coded.write.mode("overwrite").parquet(folder)
+
+    return stream_update(positions, apply, target, checkpoint)
