@@ -59,6 +59,33 @@ def test_chunks_are_reused():
     assert before > 20 and len(codec.chunks) - before <= 3
 
 
+def test_joins_are_encoded_again():
+    codec, t = chunk_bpe.ChunkCodec(WORD, mean_bytes=16), Tokenizer.from_file(WORD)
+    text = " ".join(f"Überlänge{i}-don't {i}x<|endoftext|>日本語" for i in range(200))
+    chunks, through = codec.cut(text.encode())
+    assert b"".join(chunks) == text.encode() and any(through)
+    assert all(len(c.split()) > 1 and c.decode() for c in chunks)
+    assert codec.encode_batch([text.encode()] * 2)[1][0] == " ".join(map(str, t.encode(text, add_special_tokens=False).ids)).encode()
+    assert codec.chunks_met == 2 * len(chunks) and codec.chunks_encoded == len(set(chunks))
+
+
+@pytest.mark.parametrize("text", ["", " ", "a", " \n" * 5000, "z" * 100_000, "z" * 5000 + " " * 5000 + "y", " a" * 3, "é" * 3000 + " é"])
+def test_cuts_of_awkward_texts(text):
+    codec, t = chunk_bpe.ChunkCodec(WORD, mean_bytes=16), Tokenizer.from_file(WORD)
+    assert b"".join(codec.cut(text.encode())[0]) == text.encode()
+    assert codec.encode_batch([text.encode()])[0][0] == " ".join(map(str, t.encode(text, add_special_tokens=False).ids)).encode()
+
+
+def test_empty_table_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 5, "x")] * 2, "doc_id long, text string, n_tokens int, piece string")
+    got = chunk_bpe.encode_decode(df, WORD).collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0]["n_tokens"] == 2
+    assert chunk_bpe.encode_decode(df.limit(0), WORD).count() == 0
+    placed = packing.pack(packing.token_pieces(df, BYTE, BYTE.replace(".json", ".tiktoken"))).collect()
+    assert len(placed) == 2 and {r["offset"] for r in placed} == {0, placed[0]["length"]}
+    assert packing.pack(packing.token_pieces(df.limit(0), BYTE, BYTE.replace(".json", ".tiktoken"))).count() == 0
+
+
 def test_tables_stay_bounded():
     codec = chunk_bpe.ChunkCodec(WORD, mean_bytes=64, max_words=50, max_chunk_bytes=1000)
     t = Tokenizer.from_file(WORD)

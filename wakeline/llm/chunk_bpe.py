@@ -2,9 +2,10 @@
 
 A rolling hash over the bytes cuts texts into chunks, so that passages shared by
 documents fall into equal chunks wherever they stand. A chunk is encoded once
-and its result reused. What a cut may have spoilt is repaired at the joins: the
-text around a cut is encoded again, over a stretch that grows to both sides
-until it ends where both chunks agree with it, at white space.
+in a task and its result reused. What a cut may have spoilt is repaired at the
+joins: the words around a cut are encoded again, as a stretch of text that grows
+to both sides until its ids begin as those of the left chunk and end as those of
+the right one.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from pyspark.sql import functions as F
 
 #: Bytes after which no token and no normalisation reaches across.
 BREAKS = b" \t\n\x0b\x0c\r"
-IS_BREAK = np.zeros(256, bool)
-IS_BREAK[list(BREAKS)] = True
 
 
 #: Words of these characters are encoded by the faster library. For them case
@@ -102,8 +101,26 @@ def chunk_ends(data: np.ndarray, mean_bytes: int, window: int = 16) -> np.ndarra
     return ends if len(ends) and ends[-1] == len(data) else np.append(ends, len(data))
 
 
+Pair = tuple[bytes, bytes]
+
+
+class Chunk:
+    """The words of a chunk, as cut, and its encoding: of the first word, of those between, of the last one."""
+
+    __slots__ = ("words", "first", "body", "last")
+
+    def __init__(self, words: list[bytes], known: dict[bytes, Pair]):
+        self.words = words
+        self.first, self.last = known[words[0]], known[words[-1]]
+        self.body = joined([known[w] for w in words[1:-1]])
+
+
+def joined(pairs: list[Pair]) -> Pair:
+    return b"".join([x[0] for x in pairs]), b"".join([x[1] for x in pairs])
+
+
 class ChunkCodec:
-    """Encodes and decodes texts; what it has seen of words and chunks is reused.
+    """Encodes and decodes texts; what it has seen of words, joins and chunks is reused.
 
     A result is a pair of bytes: the decimal ids and the decoded tokens, each
     followed by a space. Memory is bounded: a full table is emptied.
@@ -112,11 +129,12 @@ class ChunkCodec:
     def __init__(self, path: str, mean_bytes: int = 512, max_words: int = 400_000, max_chunk_bytes: int = 64_000_000):
         self.encode_words, self.tokens = load_words(path)
         self.mean_bytes, self.max_words, self.max_chunk_bytes = mean_bytes, max_words, max_chunk_bytes
-        self.words: dict[bytes, tuple[bytes, bytes]] = {}
-        self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
-        self.chunk_bytes = 0
+        self.words: dict[bytes, Pair] = {}
+        self.chunks: dict[bytes, Chunk] = {}
+        self.chunk_bytes = self.chunks_encoded = self.chunks_met = self.joins_grown = 0
 
     def learn(self, words: set[bytes]) -> None:
+        """Encode words, or stretches of words around a join, that are not known yet."""
         new = [w for w in words if w not in self.words]
         if len(self.words) + len(new) > self.max_words:
             self.words.clear()
@@ -125,50 +143,87 @@ class ChunkCodec:
             found = [self.tokens[i] for i in ids]
             self.words[w] = (b"".join([x[0] for x in found]), b"".join([x[1] for x in found]))
 
-    def plain(self, text: bytes) -> tuple[bytes, bytes]:
-        """A stretch between breaks, its words known."""
-        found = [self.words[w] for w in text.split()]
-        return b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
-
-    def encode_batch(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+    def cut(self, text: bytes) -> tuple[list[bytes], list[bool]]:
+        """(chunks, whether the cut after each goes through a word); chunks of less than two words are part of the one before or after."""
+        ends = chunk_ends(np.frombuffer(text, np.uint8), self.mean_bytes).tolist()
+        chunks, begin, at = [], 0, 0
+        word = gap = False  # whether the chunk so far holds a word, and ends after it with a break
+        for end in ends:
+            while end < len(text) and text[end] & 0xC0 == 0x80:  # not inside a character
+                end += 1
+            part = text[at:end]
+            n, at = len(part.split(None, 2)), max(at, end)
+            if n > 1 or (n == 1 and word and (gap or part[0] in BREAKS)):
+                chunks.append(text[begin:at])
+                begin, word, gap = at, False, False
+            elif n == 1:
+                word, gap = True, part[-1] in BREAKS
+            elif part:
+                gap = word
+        if begin < len(text):
+            rest = text[begin:]
+            chunks = [*chunks[:-1], chunks[-1] + rest] if chunks else [rest]
+        return chunks, [a[-1] not in BREAKS and b[0] not in BREAKS for a, b in zip(chunks, chunks[1:], strict=False)]
+
+    @staticmethod
+    def stretch(left: Chunk, right: Chunk, through: bool, n: int) -> bytes:
+        """The text around a join: the last `n` + 1 words of the left chunk and the first `n` + 1 of the right one."""
+        a, b = left.words[-n - 1 :], right.words[: n + 1]
+        middle = [a[-1] + b[0]] if through else [a[-1], b[0]]
+        return b" ".join([*a[:-1], *middle, *b[1:]])
+
+    def repaired(self, left: Chunk, right: Chunk, through: bool) -> Pair:
+        """What stands for the two words at a join: the stretch around it is encoded again, and grows until it begins as the left chunk goes on and ends as the right one does."""
+        n = 1
+        while True:
+            text = self.stretch(left, right, through, n)
+            if text not in self.words:
+                self.learn({text})
+            ids, tokens = self.words[text]
+            before, after = left.words[-n - 1 : -1], right.words[1 : n + 1]
+            if any(w not in self.words for w in (*before, *after)):
+                self.learn({text, *before, *after})
+            (i, t), (j, u) = joined([self.words[w] for w in before]), joined([self.words[w] for w in after])
+            if ids.startswith(i) and ids.endswith(j) and len(ids) >= len(i) + len(j):
+                return ids[len(i) : len(ids) - len(j)], tokens[len(t) : len(tokens) - len(u)]
+            if n >= max(len(left.words), len(right.words)):
+                raise ValueError("chunks do not agree with what is encoded around their join")
+            self.joins_grown += 1
+            n *= 2
+
+    def encode_batch(self, texts: list[bytes]) -> list[Pair]:
         """(ids, tokens) of each text; equal chunks of all texts are encoded once."""
-        parts: list[tuple[list[tuple[bytes, bytes]], bytes]] = []
-        todo: dict[bytes, bytes] = {}
-        words: set[bytes] = set()
-        for text in texts:
-            data, own, at = np.frombuffer(text, np.uint8), [], 0
-            breaks = np.flatnonzero(IS_BREAK[data])
-            ends = chunk_ends(data, self.mean_bytes)
-            firsts, lasts = np.searchsorted(breaks, np.append(0, ends[:-1])), np.searchsorted(breaks, ends) - 1
-            seam = 0  # where the stretch not settled yet begins
-            for end, first, last in zip(ends.tolist(), firsts.tolist(), lasts.tolist(), strict=True):
-                if first <= last:  # a chunk without a break joins the stretch
-                    a, b = int(breaks[first]), int(breaks[last])
-                    chunk = text[a:b]
-                    key = hashlib.blake2b(chunk, digest_size=16).digest()
-                    own.append((text[seam:a], key))
-                    if key not in self.chunks and key not in todo:
-                        todo[key] = chunk
-                        words.update(chunk.split())
-                    words.update(text[seam:a].split())
-                    seam = b
-                at = end
-            words.update(text[seam:at].split())
-            parts.append((own, text[seam:at]))
+        cuts = [self.cut(text) for text in texts]
+        keys = [[hashlib.blake2b(c, digest_size=16).digest() for c in chunks] for chunks, _ in cuts]
+        todo: dict[bytes, list[bytes]] = {}
+        for (chunks, _), own in zip(cuts, keys, strict=True):
+            for chunk, key in zip(chunks, own, strict=True):
+                if key not in self.chunks and key not in todo:
+                    todo[key] = chunk.split()
+            self.chunks_met += len(own)
+        words = {w for ws in todo.values() for w in ws}
         if not words <= self.words.keys():
             self.learn(words)
-        for key, chunk in todo.items():
-            result = self.plain(chunk)
-            self.chunks[key] = result
-            self.chunk_bytes += len(result[0]) + len(result[1]) + 200
+        for key, ws in todo.items():
+            if ws:
+                self.chunks[key] = chunk = Chunk(ws, self.words)
+                self.chunk_bytes += sum(map(len, ws)) + 34 * len(ws) + len(chunk.body[0]) + len(chunk.body[1]) + 400
+        self.chunks_encoded += len(todo)
+        found = [[self.chunks[k] for k in own if k in self.chunks] for own in keys]
+        around = {self.stretch(a, b, through, 1) for own, (_, throughs) in zip(found, cuts, strict=True) for a, b, through in zip(own, own[1:], throughs, strict=False)}
+        if not around <= self.words.keys():
+            self.learn(around)
         done = []
-        for own, tail in parts:
-            ids, tokens = [], []
-            for stretch, key in own:
-                for i, t in (self.plain(stretch), self.chunks[key]):
-                    ids.append(i), tokens.append(t)
-            i, t = self.plain(tail)
-            done.append((b"".join([*ids, i])[:-1], b"".join([*tokens, t])[:-1]))
+        for own, (_, throughs) in zip(found, cuts, strict=True):
+            if not own:
+                done.append((b"", b""))
+                continue
+            parts = [own[0].first]
+            for left, right, through in zip(own, own[1:], throughs, strict=False):
+                parts += [left.body, self.repaired(left, right, through)]
+            parts += [own[-1].body, own[-1].last] if len(own) > 1 or len(own[0].words) > 1 else []
+            ids, tokens = joined(parts)
+            done.append((ids[:-1], tokens[:-1]))
         if self.chunk_bytes > self.max_chunk_bytes:
             self.chunks.clear()
             self.chunk_bytes = 0
