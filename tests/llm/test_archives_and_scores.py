@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 import struct
 import zlib
@@ -79,6 +81,49 @@ def test_base_spans(spark):
     assert pii.find_spans(df.limit(0)).count() == 0
 
 
+def test_base_spans_of_long_runs(spark):
+    given = ["a" * 1_000_000 + " x@y.com", "1" * 300_000 + " 1.2.3.4", "a.a" * 100_000 + "@b.c", "x@" + "a." * 50_000 + "c", "1.2.3." * 5000]
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["base"]] for r in pii.find_spans(df).collect()}
+    assert [len(got[i]) for i in range(5)] == [1, 1, 1, 1, 7500 - 3750] and got[0] == [(1_000_001, 0, 1_000_008)] and got[2] == [(0, 0, 300_004)]
+    rng = random.Random(3)
+    fuzz = ["".join(rng.choice("ab1 9.@-_%+()é\n") for _ in range(rng.randrange(60))) for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(fuzz)), "doc_id long, text string")
+    found = df.select("doc_id", pii.base_spans(F.col("text")).alias("base")).collect()
+    assert all([(s["start"], s["kind"], s["end"]) for s in r["base"]] == base(fuzz[r["doc_id"]]) for r in found)
+
+
+def test_terms_equal_brute_force(spark):
+    rng = random.Random(6)
+    names = [f"Name{i}" for i in range(30)]
+    rows = []
+    for i in range(160):
+        words = [rng.choice(names + ["and", "the"]) for _ in range(8)]
+        if i % 5 == 0:
+            words.insert(rng.randrange(8), f"m{i % 7}@ex.org")
+        rows.append((i, " ".join(words)))
+    rows += [(500 + i, rows[5][1]) for i in range(4)]
+    terms = {t: {w.lower() for w in re.findall(r"[^\W_]+(?:['’_-][^\W_]+)*", t)} for _, t in rows}
+    mails = {t: {m.lower() for m in re.findall(r"\S+@\S+", t)} for t in terms}
+    n, wanted = len(terms), {}
+    for t in terms:
+        for e in mails[t]:
+            n_e = sum(e in mails[u] for u in terms)
+            content = math.log2(n / (n_e + 1))
+            for w in terms[t]:
+                n_w, both = sum(w in terms[u] for u in terms), sum(w in terms[u] and e in mails[u] for u in terms)
+                if content > 0 and math.log2(both * n / ((n_e + 1) * (n_w + 1))) >= 0.8 * content:
+                    wanted.setdefault(t, set()).add(w)
+    got = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text_of = dict(rows)
+    assert wanted and len(got) == len(rows)
+    for r in got:
+        t = text_of[r["doc_id"]]
+        inside = lambda m: any(s["start"] < m.end() and m.start() < s["end"] for s in r["base"])  # noqa: E731, B023
+        want = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+(?:['’_-][^\W_]+)*", t) if m[0].lower() in wanted.get(t, ()) and not inside(m)]
+        assert [(s["start"], s["end"]) for s in r["terms"]] == want
+
+
 def test_disclosing_terms(spark):
     rows = [(i, f"Please reach Zorntal via zt@ex.org now word{i} and then") for i in range(5)]
     rows += [(i, f"please reach others now via and then number{i}") for i in range(5, 60)]
@@ -130,6 +175,58 @@ def test_toxicity_held_out(spark):
     assert area(score, y) > 0.95 and predicted[y == 1].mean() > 0.85 and predicted[y == 0].mean() < 0.01
 
 
+def labelled_rows():
+    """Toxic documents that hold marks in ever other contexts, and one passage copied in many toxic documents."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(("ba", "ko", "li", "tu", "sen", "mor", "ad")) for _ in range(rng.randrange(2, 5)))
+    passage = " ".join(word() for _ in range(80))
+    docs, labels = [], []
+    for i in range(900):
+        words = [word() for _ in range(60)]
+        toxic = int(i % 4 == 0)
+        if toxic and i % 8 == 0:
+            words = passage.split()
+            words[rng.randrange(80)] = word()
+        for _ in range(4 * toxic):
+            words.insert(rng.randrange(len(words)), rng.choice(["zorgwit", "praxilow", "quembly fit"]))
+        docs.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    return docs, labels, passage
+
+
+def test_toxicity_equals_a_plain_scorer_and_ignores_copies(spark):
+    import zstandard as z
+
+    rows, labels, passage = labelled_rows()
+    more = [(1000, passage), (1001, rows[4][1].replace("o", "0").replace("i", "1")), (1002, None), (1003, "w " * 30_000), (1003, ""), (None, rows[4][1])]
+    docs = spark.createDataFrame([(*r, "x", 9) for r in rows + more], "doc_id long, text string, part string, carried int")
+    model = toxicity.train(docs, spark.createDataFrame(labels + [(2, None), (3, 7)], "doc_id long, toxic int"))
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == len(rows) + len(more)
+
+    def packer(content):
+        options = z.ZstdCompressionParameters(window_log=18, hash_log=16, chain_log=16, search_log=5, min_match=6, strategy=z.STRATEGY_LAZY2, write_content_size=False, write_dict_id=False)
+        return z.ZstdCompressor(compression_params=options, dict_data=z.ZstdCompressionDict(content + bytes(range(128, 176)), dict_type=z.DICT_TYPE_RAWCONTENT))
+
+    plain, other = packer(model.ordinary + b"\xff" * len(model.toxic)), packer(model.ordinary + model.toxic)
+
+    def want(text):
+        data = (" " + " ".join((text or "").lower().translate(str.maketrans("430157@$", "aeoistas")).split()) + " ").encode()
+        ends = bytes(range(128, 176))
+        g = [len(plain.compress(data[i : i + 64] + ends)) - len(other.compress(data[i : i + 64] + ends)) for i in range(0, max(1, len(data) - 16), 48)]
+        over, n = sum(max(0, x - 2) for x in g), len(g) + 8
+        x = [math.log1p(max(0, max(g))), math.log1p(over), sum(g) / n, over / n, math.log1p(sum(sorted((max(0, v) for v in g))[-4:])), math.log1p(50 * over / n)]
+        return 1 / (1 + math.exp(-model.weights[-1] - sum(w * (v - m) / s for v, m, s, w in zip(x, model.mean, model.scale, model.weights, strict=False))))
+
+    text_of = dict(rows + more[:4])
+    assert all(abs(r["score"] - want(text_of[r["doc_id"]])) < 1e-9 for r in got if r["doc_id"] not in (None, 1003))
+    y, score = (np.array(v) for v in zip(*((labels[r["doc_id"]][1], r["score"]) for r in got if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 900), strict=True))
+    assert area(score, y) > 0.97
+    by_id = {r["doc_id"]: r["score"] for r in got}
+    assert by_id[1000] < 0.7  # a passage that is copied in one class does not mark it
+    assert abs(by_id[1001] - by_id[4]) < 1e-9 and by_id[None] == by_id[4]  # lookalikes are read as letters
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1), (None, 1), (2, None), (1, 1)]])
 def test_toxicity_without_labels(spark, labels):
     docs = spark.createDataFrame([(1, "some text"), (2, None), (None, ""), (1, "some text")], "doc_id long, text string")

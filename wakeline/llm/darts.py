@@ -272,7 +272,7 @@ def verified(met: DataFrame, docs: DataFrame, rows: int, similarity: float, floo
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, bands: int = 25, rows: int = 6, margin: float = 0.1, block_rows: int = 1000, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, class_id), one for each document id: the smallest id of its class.
+    """Rows (doc_id, class_id), one for each input row: the smallest id of the row's class.
 
     Two documents link if their word sequences are equal or the weighted Jaccard
     similarity of their shingles is `similarity` or more; classes are connected
@@ -280,8 +280,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, ban
     deviations of bands * rows coordinates) or more are compared exactly on the
     whole texts, unless checked links of their block connect them already: an
     estimate alone is no link. Texts without
-    words are copies of each other. Rows with a null id are left out; rows that
-    repeat an id count as one document.
+    words are copies of each other. Rows that repeat an id count as one document
+    and have one class, rows with a null id are in no class (null); an empty
+    table gives an empty one.
     """
     k = bands * rows
     rows_ = materialise(sketch(docs, k, size, key, text), "signatures")
@@ -297,4 +298,5 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, ban
     several = ids.filter("rep <> other").select("doc", F.col("rep").alias("a"))
     tied = copies.join(several, "doc").select("a", F.col("rep").alias("b"))
     components = connected_components(links.union(tied))
-    return ids.join(components.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("doc").alias(key), F.coalesce("component", "rep").alias("class_id"))
+    classes = ids.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("doc", F.coalesce("component", "rep").alias("class_id"))
+    return docs.select(F.col(key).cast("long").alias("doc")).join(classes, "doc", "left").select(F.col("doc").alias(key), "class_id")

@@ -35,7 +35,7 @@ from d left join k on d.payload_digest = k.payload_digest
 
 def op2_minhash_darts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = darts.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

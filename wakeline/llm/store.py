@@ -9,15 +9,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths given out in this session, for `clean_up`.
+WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
-    It is what `spark.checkpoint.dir` names. Only where that is unset (tests on
-    one machine) a temporary folder of our own takes its place.
+    It is what `spark.checkpoint.dir` names. Only where that is unset and Spark
+    runs on one machine a temporary folder takes its place; on a cluster each
+    executor would write to a disk of its own, so that is an error.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given is None:
-        given = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="wakeline-")
+        given = spark.sparkContext.getCheckpointDir()
+        if given is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        given = given or "file://" + tempfile.mkdtemp(prefix="wakeline-")
         spark.conf.set("spark.checkpoint.dir", given)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(given)
@@ -26,7 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return WRITTEN[-1]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -41,6 +50,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Delete all tables that this library wrote in the shared folder in this session; results not yet computed may need them."""
+    jvm = spark.sparkContext._jvm
+    for path in WRITTEN:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    WRITTEN.clear()
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps now, rather than when the driver happens to collect garbage."""
     gc.collect()
