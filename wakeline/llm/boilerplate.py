@@ -54,14 +54,17 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     are pages of their own. Other columns pass through; one named as `out` is
     replaced.
     """
-    found = materialise(boilerplate_lines(pages, host, text, max_ratio, min_pages), "boilerplate").select(F.col("host").alias("__host"), F.col("line_keys").alias("__keys"))
-    joined = pages.join(found, pages[host].eqNullSafe(found["__host"]), "left")
-    lines = F.split(text_of(pages[text]), "\n", -1)
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__keys"), line_key(x)), F.lit(False)))
-    kept = F.when(F.col("__keys").isNull(), lines).otherwise(kept)
+    found = materialise(boilerplate_lines(pages, host, text, max_ratio, min_pages), "boilerplate").select(F.col("host").alias("of_host"), F.col("line_keys").alias("keys"))
+    rows = pages.select(F.struct(*(pages[c] for c in pages.columns)).alias("row"))  # no name of a column can clash
+    joined = rows.join(found, F.col("row").getField(host).eqNullSafe(F.col("of_host")), "left")
+    own = F.col("row").getField(text)
+    lines = F.split(text_of(own), "\n", -1)
+    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("keys"), line_key(x)), F.lit(False)))
+    kept = F.when(F.col("keys").isNull(), lines).otherwise(kept)
     cleaned = F.struct(
         F.size(lines).cast("long").alias("n_lines"),
-        (F.size(lines) - F.size(F.col("__kept"))).cast("long").alias("n_dropped"),
-        F.when(pages[text].isNull(), F.lit(None).cast("string")).otherwise(F.array_join(F.col("__kept"), "\n")).alias("text"),
+        (F.size(lines) - F.size(F.col("kept_lines"))).cast("long").alias("n_dropped"),
+        F.when(own.isNull(), F.lit(None).cast("string")).otherwise(F.array_join(F.col("kept_lines"), "\n")).alias("text"),
     )
-    return joined.withColumn("__kept", kept).withColumn(out, cleaned).drop("__host", "__keys", "__kept")
+    others = [F.col("row").getField(c).alias(c) for c in pages.columns if c != out]
+    return joined.withColumn("kept_lines", kept).select(*others, cleaned.alias(out))

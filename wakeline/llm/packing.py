@@ -63,24 +63,29 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return list(zip(starts, [b - a for a, b in zip(starts, [*starts[1:], n], strict=True)], strict=True))
 
 
-def token_pieces(docs: DataFrame, json_path: str, ranks_path: str, capacity: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, piece, start, length, ids_crc32), one for each piece of each document.
+def token_pieces(docs: DataFrame, json_path: str, ranks_path: str, capacity: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Rows (key, piece, start, length, ids_crc32[, ids]), one for each piece of each document.
 
-    A null or empty text has the end id alone. Texts are tokenised whole.
+    A null or empty text has the end id alone. Texts are tokenised whole. Other
+    columns are left out, whatever their names; an empty table gives an empty one.
     """
-    out = pa.schema([pa.field(key, pa.int64()), pa.field("piece", pa.int32()), pa.field("start", pa.int64()), pa.field("length", pa.int64()), pa.field("ids_crc32", pa.int64())])
+    fields = [(key, pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
+    out = pa.schema([pa.field(*f) for f in fields])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = load_encoder(json_path, ranks_path), int(end_id).to_bytes(4, "little")
         for batch in batches:
-            keys, pieces, starts, lengths, sums = [], [], [], [], []
+            keys, pieces, starts, lengths, sums, held = [], [], [], [], [], []
             for k, t in zip(batch[0].to_pylist(), batch[1], strict=True):
                 ids = encode(t.as_py() or "").astype("<u4", copy=False).tobytes() + end
                 for i, (a, n) in enumerate(cut(len(ids) // 4, capacity)):
                     keys.append(k), pieces.append(i), starts.append(a), lengths.append(n), sums.append(zlib.crc32(ids[4 * a : 4 * (a + n)]))
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((keys, pieces, starts, lengths, sums), out, strict=True)], schema=out)
+                    if with_ids:
+                        held.append(np.frombuffer(ids, "<i4")[a : a + n])
+            columns = [keys, pieces, starts, lengths, sums] + [held] * with_ids
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, out, strict=True)], schema=out)
 
-    return docs.select(F.col(key).cast("long").alias(key), F.col(text)).mapInArrow(work, f"`{key}` long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(key).cast("long").alias(key), F.col(text)).mapInArrow(work, f"`{key}` long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def fullest(counts: dict[int, int], room: int) -> list[int]:
@@ -145,12 +150,15 @@ def with_rank(pieces: DataFrame, group_rows: int = 1_000) -> DataFrame:
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """Add sequence_id and offset to rows (doc_id, piece, start, length, ids_crc32).
 
-    Needs lengths from 1 to `capacity`. Full pieces are sequences of their own,
-    numbered after the packed ones. Repeated rows are pieces of their own, told
-    apart by `__copy`.
+    Needs lengths from 1 to `capacity`; further columns (`ids`) stay. Full pieces
+    are sequences of their own, numbered after the packed ones; they take no part
+    in ranking. Repeated rows are pieces of their own, told apart by `__copy`; an
+    empty table gives an empty one.
     """
     spark = pieces.sparkSession
+    columns = pieces.columns
     pieces = materialise(pieces.withColumn("__copy", F.monotonically_increasing_id()), "pieces")
+    full, pieces = pieces.filter(F.col("length") == capacity), pieces.filter(F.col("length") < capacity)
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     rows, base, used = [], 0, dict.fromkeys(histogram, 0)
     for bin_, times in minimum_bin_slack(histogram, capacity):
@@ -169,4 +177,5 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     placed = placed.withColumn("run", F.get(F.filter("runs", lambda r: (r["lo"] <= F.col("rank")) & (F.col("rank") < r["hi"])), F.lit(0)))
     nth, per_bin = F.col("rank") - F.col("run.lo"), F.size("run.places")
     placed = placed.withColumn("sequence_id", F.col("run.base") + F.floor(nth / per_bin)).withColumn("offset", F.get("run.places", (nth % per_bin).cast("int")))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    alone = full.select(*columns, (F.lit(base) + F.col("__copy")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.select(*columns, "sequence_id", "offset").union(alone)
