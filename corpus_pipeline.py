@@ -60,7 +60,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: No stage but the line dedup can be said in SQL; tests hold the pipeline against brute force.
+#: No stage but the line dedup can be said in SQL; tests hold each stage's operator against a brute-force version.
 ORACLE_SQL = None
 
 
