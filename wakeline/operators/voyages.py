@@ -184,7 +184,7 @@ def voyage_records(points: DataFrame, voyages: DataFrame) -> DataFrame:
 
 def extract_voyages(history: DataFrame, ports: DataFrame, radius_km: float = 50.0, min_km: float = 50.0, min_points: int = 20) -> tuple[DataFrame, DataFrame]:
     """(points, named voyages): the whole extraction, errors removed after cutting and before the length test."""
-    rows = fill_speed(drop_ambiguous(drop_missing_key(history, "imo"), "mmsi"))
+    rows = fill_speed(drop_ambiguous(drop_missing_key(history, "all"), "mmsi"))
     points = drop_position_errors(voyage_slices(cut_voyages(rows, ports, radius_km)))
     return points, voyages_od(drop_short_voyages(voyage_summary(points), min_km, min_points), ports, radius_km)
 
