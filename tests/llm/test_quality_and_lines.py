@@ -102,3 +102,30 @@ def test_line_dedup_equals_sql(spark, sf_dir):
 def test_very_long(spark, text, n):
     q = quality.line_clean(spark.createDataFrame([(1, text, "s")], DOCS)).select("quality.n_words").first()
     assert q[0] == n
+
+
+def plain_verdict(text):
+    """(n_failed_lines, lost_chars, clean text) by the default line rules."""
+    r, kept, failed = quality.LineRules(), [], []
+    solid = lambda x: len(re.sub(r"[\x20\x09-\x0D]+", "", x))
+    for line in (text or "").split("\n"):
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", line))
+        bad = sum(c in r.marks for c in line) > r.max_mark_share * len(line)
+        bad |= sum(c in r.navigation for c in line) >= r.min_separators
+        bad |= n >= r.sentence_words and not any(c in r.sentence_marks for c in line)
+        bad |= len(line) >= r.shout_chars and line.upper() == line and line.lower() != line
+        bad |= len(line) <= r.max_boilerplate_chars and bool(re.search(r.boilerplate, line, re.ASCII))
+        (failed if n and bad else kept).append(line)
+    return len(failed), sum(map(solid, failed)), "\n".join(kept)
+
+
+def test_verdict_equals_plain_rules(spark):
+    extra = [None, "", " \n\t\n", "A" * 30, "a | b | c | d\nplain text here.", "word " * 80, "word " * 80 + ".", "Click here\nfine line", "#####\nok", "x\n" * 2000]
+    given = extra + [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    for row in quality.line_clean(df).collect():
+        q = row["quality"]
+        n, lost, clean = plain_verdict(given[row["doc_id"]])
+        assert (q["n_failed_lines"], q["lost_chars"], q["clean_text"]) == (n, lost, clean), given[row["doc_id"]]
+        assert q["base_failed"] == (q["n_words"] < 20 or 100 * q["n_repeat_words"] > 30 * q["n_words"])
+        assert q["kept"] == (not q["base_failed"] and lost <= 0.5 * q["word_chars"])
