@@ -175,6 +175,38 @@ def test_substrings_on_documents(spark):
     assert debruijn.dedup_substrings(df.limit(0)).count() == 0
 
 
+def test_substrings_of_clashing_hashes_are_told_apart_at_their_sources(spark):
+    class Clashing(debruijn.WordHashes):
+        """Under the first seed `left` and `right` have one hash."""
+
+        def __missing__(self, word):
+            return super().__missing__(b"left" if word == b"right" and self.seed == 0 else word)
+
+    run = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(run + ["left"] + run[::-1])), (2, " ".join(run + ["right"] + run[::-1])), (3, " ".join(run[::-1] + ["left"] + run))]
+    df = spark.createDataFrame(rows, DOCS)
+    got = [tuple(r) for r in debruijn.dedup_substrings(df, hashes=lambda seed: Clashing(seed=seed)).collect()]
+    assert sorted(got) == sorted(brute_removed(rows))
+    with pytest.raises(RuntimeError, match="clashed"):
+        debruijn.dedup_substrings(df, hashes=lambda seed: Clashing(seed=0), tries=2)
+
+
+def test_substrings_many_null_ids_and_long_texts(spark):
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(300)]
+    rows = [(None, " ".join([f"n{i}"] + passage[i : i + 80] + [f"n{i}"] * 25)) for i in range(40)]
+    long = [f"u{rng.randrange(10**6)}" for _ in range(30_000)]
+    rows += [(1, " ".join(long + passage + long[5_000:20_000])), (2, " ".join(long[100:29_000])), (3, "z " * 20_000)]
+    assert sorted(map(repr, removed(spark, rows))) == sorted(map(repr, brute_removed(rows)))
+
+
+def test_long_spans_cut_by_blocks_of_the_source(spark):
+    rows = [(9, 0, 100 + a, n, 1, 0, 40 + a) for a, n in ((0, 16), (16, 16), (32, 1), (40, 3))] + [(9, 0, 500, 2, 1, 0, 63)]
+    df = spark.createDataFrame(rows, "doc long, fp long, start long, n long, sdoc long, sfp long, sstart long")
+    got = sorted((r["start"], r["n"], r["sstart"]) for r in debruijn.long_spans(df).collect())
+    assert got == [(100, 24, 40), (124, 9, 64), (140, 3, 80), (500, 1, 63), (501, 1, 64)]
+
+
 def family(n, common, pair, own, seed=8):
     """n texts of one template, two and two alike in `pair` words more."""
     rng = random.Random(seed)
