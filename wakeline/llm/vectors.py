@@ -20,11 +20,18 @@ from wakeline.llm.components import connected_components
 from wakeline.llm.store import materialise
 
 
-def table_shape(rows_per_label: float, cosine: float, bucket_rows: int, miss: float) -> tuple[int, int]:
-    """(bits, tables): buckets of about `bucket_rows` rows, and so many tables that a pair at `cosine` is missed with at most chance `miss`."""
-    bits = max(4, min(24, round(math.log2(max(1.0, rows_per_label / bucket_rows)))))
-    meet = (1 - math.acos(cosine) / math.pi) ** bits
-    return bits, math.ceil(math.log(miss) / math.log1p(-meet))
+def label_shapes(reps: DataFrame, cosine: float, bucket_rows: int, miss: float) -> DataFrame:
+    """Rows (label, dims, bits, tables) of the labels that one bucket is too small for.
+
+    `bits` makes buckets of about `bucket_rows` rows of that label, whatever the
+    others hold; there are so many tables that a pair at `cosine` is missed with
+    at most chance `miss`. A label that is not listed is one bucket (no bits, one table).
+    """
+    sizes = reps.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("n"))
+    bits = F.least(F.lit(24), F.round(F.log2(F.col("n") / bucket_rows))).cast("int")
+    same_sign = 1 - math.acos(cosine) / math.pi
+    tables = F.ceil(F.lit(math.log(miss)) / F.log1p(-F.pow(F.lit(same_sign), F.col("bits")))).cast("int")
+    return sizes.withColumn("bits", bits).filter("bits > 0").select("label", "dims", "bits", tables.alias("tables"))
 
 
 def unit_rows(raw, width: int) -> np.ndarray:
@@ -80,39 +87,41 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, miss: float = 2e-4
     non-finite components, and those of other lengths than their partner, link
     with nothing, nor do rows with a null id. Rows that repeat an id with equal
     components are linked as copies; rows of one id with other components share
-    the id's links. The number of hyperplanes follows the number of rows, that
-    of tables follows from it and from `miss`, the chance to overlook a pair
-    just at the threshold. No bucket is capped: large ones are compared in blocks.
+    the id's links. The number of hyperplanes follows the number of rows of the
+    label, that of tables follows from it and from `miss`, the chance to overlook
+    a pair just at the threshold; small labels are compared whole. No bucket is
+    capped: large ones are compared in blocks.
     """
     rows = usable(vectors, vec_id, embedding, label).withColumn("copy_key", F.xxhash64("e", "label")).withColumn("dims", F.size("e"))
     reps = rows.groupBy("label", "copy_key", "e", "dims").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = materialise(reps, "vectors")
 
     width = 4 if vectors.schema[embedding].dataType.elementType.simpleString() == "float" else 8
-    n, n_labels = reps.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
-    bits, tables = table_shape(n / max(1, n_labels), threshold, bucket_rows, miss)
+    shapes = materialise(label_shapes(reps, threshold, bucket_rows, miss), "label-shapes")
+    shaped = reps.join(shapes, ["label", "dims"], "left").select("label", "dims", "rep", "copies", "e", F.coalesce("bits", F.lit(0)).alias("bits"), F.coalesce("tables", F.lit(1)).alias("tables"))
 
     def hashed(batches):
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[tuple[int, int], np.ndarray] = {}
         for pdf in batches:
-            for dims, part in pdf.groupby("dims"):
-                if dims not in planes:
-                    planes[dims] = np.random.default_rng(seed).standard_normal((int(dims), bits * tables))
+            for (dims, bits, tables), part in pdf.groupby(["dims", "bits", "tables"]):
+                if (dims, bits) not in planes:
+                    planes[dims, bits] = np.random.default_rng([seed, bits]).standard_normal((int(dims), int(bits * tables)))
                 raw = [np.asarray(e, "<f4" if width == 4 else "<f8").tobytes() for e in part["e"]]
-                codes = signs(unit_rows(raw, width), planes[dims], tables)
+                codes = signs(unit_rows(raw, width), planes[dims, bits], int(tables))
                 yield pd.DataFrame({"label": part["label"].to_numpy(), "dims": part["dims"].to_numpy(), "rep": part["rep"].to_numpy(), "copies": part["copies"].to_numpy(), "raw": raw, "codes": [c.tobytes() for c in codes], "buckets": list(codes)})
 
     kind = reps.schema["label"].dataType.simpleString()
-    sketch = materialise(reps.select("label", "dims", "rep", "copies", "e").mapInPandas(hashed, f"label {kind}, dims int, rep long, copies long, raw binary, codes binary, buckets array<int>"), "sketches")
+    sketch = materialise(shaped.mapInPandas(hashed, f"label {kind}, dims int, rep long, copies long, raw binary, codes binary, buckets array<int>"), "sketches")
     members = sketch.select("label", "dims", "rep", "copies", "raw", "codes", F.posexplode("buckets").alias("table", "bucket"))
+    members = members.withColumn("codes", F.expr("substring(codes, 1, table * 4)"))  # those of the tables before tell where a pair met first
     keys = ["label", "dims", "table", "bucket"]
     blocks = bucket_blocks(members, keys, F.xxhash64("rep"), block_rows, "bucket-sizes")
 
-    def compared(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compared(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         table, (i, j) = int(key[2]), (int(key[4]), int(key[5]))
         pdf = pdf.sort_values("rep", ignore_index=True)
         unit, part = unit_rows(pdf["raw"].to_list(), width), pdf["part"].to_numpy()
-        codes = np.frombuffer(b"".join(pdf["codes"]), np.int32).reshape(len(pdf), -1)[:, :table]
+        codes = np.frombuffer(b"".join(pdf["codes"]), np.int32).reshape(len(pdf), table)
         links, copies = np.zeros(len(pdf), np.int64), pdf["copies"].to_numpy()
         found_a, found_b = [], []
         for begin in range(0, len(pdf), 500):
