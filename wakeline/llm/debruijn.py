@@ -31,7 +31,7 @@ SHORT = 5
 #: A document is known by its id and the fingerprint of its words; null ids come before all others.
 DOC = ["doc", "fp"]
 #: Edges of a source that one mask tells of.
-BLOCK = 64
+BLOCK = 62
 #: Stands for a null id.
 LOWEST = -(2**63)
 #: Gives the word hashes for a seed.
@@ -94,27 +94,25 @@ def documents(docs: DataFrame, key: str, text: str, unique: bool) -> DataFrame:
     return docs.select(given.alias("key"), F.coalesce(given, F.lit(LOWEST)).alias("doc"), (F.lit(0).cast("long") if unique else F.xxhash64(words)).alias("fp"), F.col(text).alias("text"))
 
 
-def path_rows(docs: DataFrame, k: int, places: bool, hashes: Hashes, seed: int) -> DataFrame:
-    """Rows (m) or (m, path, doc, fp, at) for all paths.
+def path_rows(docs: DataFrame, k: int, hashes: Hashes, seed: int) -> DataFrame:
+    """Rows (m, path, doc, fp, at) for all paths.
 
     `at` packs first edge * 32 + edges. A path's edges overlap, so the hashes of
     its first and last one and their number tell its words.
     """
-    names = ["m", "path", *DOC, "at"] if places else ["m"]
+    names = ["m", "path", *DOC, "at"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = hashes(seed)
         for batch, words in batches_of_words(batches, "text"):
             sizes = np.array([len(w) for w in words], np.int64)
             own, start, count, m, edge = paths(sizes, known.of([w for ws in words for w in ws]), k)
-            columns = [pa.array(signed(m))]
-            if places:
-                first = (np.cumsum(sizes) - sizes)[own] + start
-                path = mix(edge[first] * np.uint64(3) + edge[first + count - 1] * np.uint64(0x9FB21C651E98DF25) + count.astype(np.uint64))
-                columns += [pa.array(signed(path)), *(batch[x].take(pa.array(own)) for x in DOC), pa.array(start * 32 + count)]
+            first = (np.cumsum(sizes) - sizes)[own] + start
+            path = mix(edge[first] * np.uint64(3) + edge[first + count - 1] * np.uint64(0x9FB21C651E98DF25) + count.astype(np.uint64))
+            columns = [pa.array(signed(m)), pa.array(signed(path)), *(batch[x].take(pa.array(own)) for x in DOC), pa.array(start * 32 + count)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(*DOC, "text").mapInArrow(work, "m long, path long, doc long, fp long, at long" if places else "m long")
+    return docs.select(*DOC, "text").mapInArrow(work, "m long, path long, doc long, fp long, at long")
 
 
 def edge_rows(docs: DataFrame, wanted: DataFrame, k: int, hashes: Hashes, seed: int) -> DataFrame:
@@ -144,27 +142,28 @@ def edge_rows(docs: DataFrame, wanted: DataFrame, k: int, hashes: Hashes, seed:
 def repeats(docs: DataFrame, k: int, hashes: Hashes, seed: int) -> DataFrame:
     """Rows (doc, fp, start, n, sdoc, sfp, sstart): n edges of a document from `start` on, and the earliest source of the same.
 
-    What each step leaves is written, so that the shuffle files of the steps
-    before can go.
+    What each step leaves is written, so that the tables and shuffle files of
+    the steps before can go.
     """
     spark = docs.sparkSession
-    met_again = path_rows(docs, k, False, hashes, seed).groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m")
+    every = materialise(path_rows(docs, k, hashes, seed), "paths")
+    met_again = every.groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m")
     met_again = materialise(met_again, "minimizers")
     release(spark)
-    rows = materialise(path_rows(docs, k, True, hashes, seed).join(met_again, "m"), "repeated-paths")
-    release(spark)
+    rows = materialise(every.join(met_again, "m"), "repeated-paths")
+    release(spark, every, met_again)
     first = rows.groupBy("m", "path").agg(F.min(F.struct(*DOC, "at")).alias("source"), F.count(F.lit(1)).alias("copies"))
     first = materialise(first, "path-sources")
     release(spark)
     copied = first.filter("copies > 1").select("m", "path", "source")
     later = rows.join(copied, ["m", "path"]).filter(F.struct(*DOC, "at") != F.col("source"))
     later = materialise(later.select(*DOC, F.expr("at div 32").alias("start"), F.expr("at % 32").alias("n"), F.col("source.doc").alias("sdoc"), F.col("source.fp").alias("sfp"), F.expr("source.at div 32").alias("sstart")), "later-paths")
-    release(spark)
+    release(spark, rows)
     # where paths of one minimizer differ, their earliest sources are compared edge by edge
     branching = first.groupBy("m").agg(F.count(F.lit(1)).alias("paths")).filter("paths > 1").select("m")
     heads = materialise(first.join(branching, "m").select("source.*"), "branching-paths")
     edges = materialise(edge_rows(docs, heads, k, hashes, seed), "branch-edges")
-    release(spark)
+    release(spark, first, heads)
     here = F.struct(*DOC, "start")
     sources = edges.groupBy("m", "edge").agg(F.min(here).alias("source"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("m", "edge", "source")
     single = edges.join(sources, ["m", "edge"]).filter(here != F.col("source")).select(*DOC, "start", F.lit(1).cast("long").alias("n"), F.col("source.doc").alias("sdoc"), F.col("source.fp").alias("sfp"), F.col("source.start").alias("sstart"))
@@ -185,9 +184,13 @@ def long_spans(rows: DataFrame) -> DataFrame:
     cut = cut.select(*DOC, "sdoc", "sfp", (F.col("start") - F.col("sstart")).alias("shift"), "block", low.alias("low"), high.alias("high"))
     mask = F.expr("bit_or(shiftleft(shiftleft(1L, high - low) - 1L, low))")
     masks = cut.groupBy(*DOC, "sdoc", "sfp", "shift", "block").agg(mask.alias("mask"))
-    begins = F.expr(f"filter(sequence(0, {BLOCK - 1}), i -> getbit(mask & ~shiftleft(mask, 1), i) = 1)")
-    ends = F.expr(f"filter(sequence(0, {BLOCK - 1}), i -> getbit(mask & ~shiftrightunsigned(mask, 1), i) = 1)")
-    spans = masks.withColumn("span", F.explode(F.arrays_zip(begins.alias("begin"), ends.alias("end"))))
+    # the lowest run of bits is mostly the only one; then adding its lowest bit carries it away
+    low = "(mask & -mask)"
+    begins = f"filter(sequence(0, {BLOCK - 1}), i -> getbit(mask & ~shiftleft(mask, 1), i) = 1)"
+    ends = f"filter(sequence(0, {BLOCK - 1}), i -> getbit(mask & ~shiftright(mask, 1), i) = 1)"
+    one = f"named_struct('begin', bit_count({low} - 1), 'end', bit_count({low} - 1) + bit_count(mask) - 1)"
+    several = f"zip_with({begins}, {ends}, (b, e) -> named_struct('begin', b, 'end', e))"
+    spans = masks.withColumn("span", F.expr(f"explode(if(((mask + {low}) & mask) = 0, array({one}), {several}))"))
     at = F.col("block") * BLOCK + F.col("span.begin")
     return spans.select(*DOC, (at + F.col("shift")).alias("start"), (F.col("span.end") - F.col("span.begin") + 1).cast("long").alias("n"), "sdoc", "sfp", at.alias("sstart"))
 

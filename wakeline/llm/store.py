@@ -50,16 +50,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def clean_up(spark: SparkSession) -> None:
     """Delete all tables that this library wrote in the shared folder in this session; results not yet computed may need them."""
-    jvm = spark.sparkContext._jvm
     for path in WRITTEN:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        delete(spark, path)
     WRITTEN.clear()
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps now, rather than when the driver happens to collect garbage."""
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Let Spark drop the shuffle files of finished steps now, rather than when the driver happens to collect garbage, and delete tables of `materialise` that nothing reads any more."""
+    for t in tables:
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            mine = [x for x in WRITTEN if x.rsplit("/", 1)[1] == path.rsplit("/", 1)[1]]
+            for x in mine:
+                delete(spark, x)
+                WRITTEN.remove(x)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
