@@ -254,3 +254,44 @@ def test_near_duplicates_link_nothing_below_the_threshold(spark):
     assert 0.785 < jaccard(rows[0][1], rows[1][1]) < 0.8
     got = {r["doc_id"]: r["class_id"] for r in darts.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {k: k for k, _ in rows}
+
+
+def copies_of_one(rng, n, first, words=150):
+    """Copies of one text with a word changed each; any two are alike enough."""
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        w[rng.randrange(words)] = f"x{i}"
+        rows.append((first + i, " ".join(w)))
+    return rows
+
+
+def test_large_family_is_compared_in_proportion_to_its_rows(spark):
+    rng = random.Random(8)
+    n, block_rows = 3_000, 50
+    # some texts that are like a few members only hang on them, and some others like the base are in its buckets but not alike enough
+    rows = copies_of_one(rng, n, 0)
+    hung = []
+    for i in range(10):
+        w = rows[i][1].split()
+        hung.append((n + i, " ".join(w[:16] + [f"y{i}_{k}" for k in range(8)] + w[24:])))
+    apart = [(2 * n + i, " ".join(rows[i][1].split()[:80] + [f"z{i}_{k}" for k in range(70)])) for i in range(10)]
+    docs = spark.createDataFrame([*rows, *hung, *apart], DOCS).repartition(8)
+    got = {r["doc_id"]: r["class_id"] for r in darts.near_duplicates(docs, block_rows=block_rows).collect()}
+    sets = {i: Counter(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for i, t in [*rows, *hung, *apart]}
+    assert all(got[i] == 0 for i, _ in rows)
+    for i, _ in [*hung, *apart]:
+        like = any((sets[i] & sets[j]).total() / (sets[i] | sets[j]).total() >= 0.8 for j in range(n))
+        assert (got[i] == 0) == like, i
+
+    reps = darts.sketch(docs, 150, 5, "doc_id", "text")
+    members = darts.bucket_members(reps, 25, 6)
+    large = members.groupBy("band", "bucket").count().filter(F.col("count") > block_rows).drop("count")
+    stars = darts.star_links(members.join(large, ["band", "bucket"]), docs, 3, 0.8, 5, block_rows, "doc_id", "text")
+    trees = components.connected_components(stars).withColumnRenamed("node", "doc")
+    placed = reps.join(trees, "doc", "left").select("doc", "text_key", "sig", F.coalesce("component", "doc").alias("tree"))
+    assert placed.filter("doc < 3000 and tree <> 0").count() < n / 100
+    dealt = darts.candidates(placed, darts.bucket_members(placed, 25, 6, "tree"), 6, 0.7, block_rows)
+    # texts that go on to the exact check: a few a text, not one for each other text of the bucket
+    assert dealt.count() < 25 * n

@@ -149,9 +149,11 @@ def group_starts(t: pa.Table, names: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def compare(sig: np.ndarray, part: np.ndarray, band: int, rows: int, within: bool, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, estimate) of the pairs of a block that meet in no earlier band, with an estimate of `floor` or more."""
+def compare(sig: np.ndarray, part: np.ndarray, tree: np.ndarray, band: int, rows: int, within: bool, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, estimate) of the pairs of a block that lie in different trees and meet in no earlier band, with an estimate of `floor` or more."""
     n, k = sig.shape
+    if (tree == tree[0]).all():
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     found = []
     for begin in range(0, n, 64):
         same = sig[begin : begin + 64, None, :] == sig[None, begin:, :]
@@ -159,7 +161,7 @@ def compare(sig: np.ndarray, part: np.ndarray, band: int, rows: int, within: boo
         a, b = np.nonzero(share >= floor)
         s = share[a, b]
         early = same[a, b, : band * rows].reshape(len(a), band, rows).all(axis=2).any(axis=1) if band else np.zeros(len(a), bool)
-        fit = (a < b) & ~early & (within | (part[a + begin] != part[b + begin]))
+        fit = (a < b) & ~early & (tree[a + begin] != tree[b + begin]) & (within | (part[a + begin] != part[b + begin]))
         found.append((a[fit] + begin, b[fit] + begin, s[fit]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
@@ -169,29 +171,79 @@ BLOCK = ["band", "bucket", "i", "j"]
 
 def blocks_of(t: pa.Table, starts: np.ndarray, rows: int, floor: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end, a, b, estimate) of each block of a table of whole blocks."""
-    part, band, i, j = (t[x].to_numpy() for x in ("part", "band", "i", "j"))
+    part, tree, band, i, j = (t[x].to_numpy() for x in ("part", "tree", "band", "i", "j"))
     sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(t.num_rows, -1)
     for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
-        yield lo, hi, *compare(sig[lo:hi], part[lo:hi], int(band[lo]), rows, bool(i[lo] == j[lo]), floor)
+        yield lo, hi, *compare(sig[lo:hi], part[lo:hi], tree[lo:hi], int(band[lo]), rows, bool(i[lo] == j[lo]), floor)
 
 
-def candidates(reps: DataFrame, bands: int, rows: int, floor: float, block_rows: int) -> DataFrame:
-    """Rows (band, bucket, i, j, part, doc, text_key, sig): the texts of each block that meet there another one with an estimate of `floor` or more.
-
-    In each bucket all pairs are compared by their signatures, blocks of it at a
-    time, each pair in the first band where it meets. Texts go on, not pairs, so
-    their number does not grow with the square of a bucket.
-    """
+def bucket_members(reps: DataFrame, bands: int, rows: int, *others: str) -> DataFrame:
+    """Rows (doc, others, band, bucket)."""
     width = rows * 2
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * width + 1, F.lit(width))))
-    narrow = reps.filter(F.col("sig").isNotNull()).select("doc", F.posexplode(keys).alias("band", "bucket"))
-    sizes = narrow.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sizes = materialise(sizes.select("band", "bucket", F.ceil(F.col("n") / block_rows).cast("int").alias("parts")), "bucket-sizes")
-    meets = narrow.join(sizes, ["band", "bucket"]).groupBy("doc").agg(F.collect_set(F.struct("band", "bucket", "parts")).alias("meets"))  # at most `bands` a text
-    dealt = reps.join(meets, "doc").select("doc", "text_key", "sig", F.explode("meets").alias("m")).select("doc", "text_key", "sig", "m.band", "m.bucket", "m.parts")
-    part = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j")))
-    dealt = dealt.withColumn("part", part).withColumn("block", F.explode(blocks)).select("band", "bucket", "block.i", "block.j", "part", "doc", "text_key", "sig")
+    return reps.filter(F.col("sig").isNotNull()).select("doc", *others, F.posexplode(keys).alias("band", "bucket"))
+
+
+def star_links(members: DataFrame, docs: DataFrame, centres: int, similarity: float, size: int, block_rows: int, key: str, text: str) -> DataFrame:
+    """Rows (a, b): links of the members (doc, band, bucket) of large buckets to a few centres, checked exactly on the whole texts.
+
+    The centres of a bucket are its members of least hash under `centres` seeds.
+    A member is compared with the least of those of all its buckets, so that a
+    family agrees on them although its bands fall into many buckets: at most
+    `centres` comparisons a text. A centre goes with each part of its members.
+    """
+    lead = [F.min(F.struct(F.xxhash64("doc", F.lit(s)).alias("h"), "doc")).alias(f"c{s}") for s in range(centres)]
+    led = members.join(members.groupBy("band", "bucket").agg(*lead), ["band", "bucket"])
+    own = led.groupBy("doc").agg(*(F.min(f"c{s}").alias(f"c{s}") for s in range(centres)))
+    pairs = own.select("doc", F.explode(F.array_distinct(F.array(*(F.col(f"c{s}.doc") for s in range(centres))))).alias("centre")).filter("doc <> centre")
+    pairs = materialise(pairs, "stars")
+    parts = pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
+    rays = pairs.join(parts, "centre").select("centre", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part"), "doc")
+    hubs = parts.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("centre").alias("doc"))
+    given = keyed(docs, key, text).select("doc", "text")
+    block = ["centre", "part"]
+    dealt = materialise(rays.union(hubs), "rays").join(given, "doc").select(*block, "doc", "text").repartition(*block).sortWithinPartitions(*block, "doc")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for t, starts in runs(batches, block):
+            doc, centre = t["doc"].to_numpy(), t["centre"].to_numpy()
+            out: list[tuple[int, int]] = []
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
+                sets = [shingle_hashes(x.split(), words, size) for x in texts(t["text"].slice(lo, hi - lo))]
+                hub = int(np.flatnonzero(doc[lo:hi] == centre[lo])[0])
+                rest = np.flatnonzero(doc[lo:hi] != centre[lo])
+                links = linked(np.full(len(rest), hub), rest, np.zeros(len(rest)), sets, np.arange(hi - lo), similarity)
+                out += [(int(doc[lo + x]), int(doc[lo + y])) for x, y in links]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    return dealt.mapInArrow(work, "a long, b long")
+
+
+def candidates(reps: DataFrame, members: DataFrame, rows: int, floor: float, block_rows: int) -> DataFrame:
+    """Rows (band, bucket, i, j, part, tree, doc, text_key, sig): the texts of each block that meet there one of another tree with an estimate of `floor` or more.
+
+    `reps` and `members` carry the `tree` of the text: what checked links connect
+    already. In each bucket all pairs of texts of different trees are compared by
+    their signatures, blocks of it at a time, each pair in the first band where
+    it meets. The texts of the bucket's largest tree meet the others alone, so a
+    bucket of n texts of one tree and m others costs (n + m) * m comparisons.
+    Texts go on, not pairs, so their number does not grow with the square of a bucket.
+    """
+    trees = members.groupBy("band", "bucket", "tree").agg(F.count(F.lit(1)).alias("n"))
+    sizes = trees.groupBy("band", "bucket").agg(F.max(F.struct("n", "tree")).alias("top"), F.sum("n").alias("n")).filter("n > top.n")
+    large = F.col("n") > block_rows
+    others = F.when(large, F.ceil((F.col("n") - F.col("top.n")) / block_rows)).otherwise(1).cast("int")
+    sizes = sizes.select("band", "bucket", others.alias("others"), F.when(large, F.ceil(F.col("top.n") / block_rows)).otherwise(0).cast("int").alias("tops"), F.when(large, F.col("top.tree")).alias("top"))
+    sizes = materialise(sizes, "bucket-sizes")
+    meets = members.join(sizes, ["band", "bucket"]).groupBy("doc").agg(F.collect_set(F.struct("band", "bucket", "others", "tops", "top")).alias("meets"))  # at most `bands` a text
+    dealt = reps.join(meets, "doc").select("doc", "text_key", "sig", "tree", F.explode("meets").alias("m")).select("doc", "text_key", "sig", "tree", "m.*")
+    in_top = F.col("tree").eqNullSafe(F.col("top"))
+    salt = F.xxhash64("doc")
+    part = F.when(in_top, F.col("others") + F.pmod(salt, F.greatest("tops", F.lit(1)))).otherwise(F.pmod(salt, F.col("others"))).cast("int")
+    last = F.when(in_top, F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j")))
+    dealt = dealt.withColumn("part", part).withColumn("block", F.explode(blocks)).select("band", "bucket", "block.i", "block.j", "part", "tree", "doc", "text_key", "sig")
     dealt = dealt.repartition(*BLOCK).sortWithinPartitions(*BLOCK, "doc")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,8 +263,8 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def linked(a: np.ndarray, b: np.ndarray, s: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links of a block that connect all that the true ones among the pairs (a, b) connect.
+def linked(a: np.ndarray, b: np.ndarray, s: np.ndarray, sets: list[np.ndarray], tree: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links of a block that connect all that the true ones among the pairs (a, b) connect; what shares a `tree` is connected before.
 
     A forest of the pairs, most alike first, is checked on the shingles; then each
     pair whose ends are not yet connected, so that no pair is given up for
@@ -224,7 +276,7 @@ def linked(a: np.ndarray, b: np.ndarray, s: np.ndarray, sets: list[np.ndarray],
     own = np.split(cell, ends[:-1])
     size = np.diff(ends, prepend=0)
     mark = np.zeros(cell.max(initial=-1) + 1, bool)
-    label = np.arange(len(sets))
+    label = np.unique(tree, return_inverse=True)[1]
     kept: list[tuple[int, int]] = []
 
     def check(x: int, ys: np.ndarray) -> None:
@@ -238,7 +290,8 @@ def linked(a: np.ndarray, b: np.ndarray, s: np.ndarray, sets: list[np.ndarray],
 
     order = np.argsort(-s, kind="stable")
     for x, y in forest(len(sets), a[order], b[order]):
-        check(x, np.array([y]))
+        if label[x] != label[y]:
+            check(x, np.array([y]))
     order = np.argsort(a, kind="stable")
     a, b = a[order], b[order]
     first = np.append(np.flatnonzero(np.diff(a, prepend=-1)), len(a)).tolist()
@@ -253,25 +306,25 @@ def linked(a: np.ndarray, b: np.ndarray, s: np.ndarray, sets: list[np.ndarray],
 def verified(met: DataFrame, docs: DataFrame, rows: int, similarity: float, floor: float, size: int, key: str, text: str) -> DataFrame:
     """Rows (a, b): links that connect in each block what is alike enough by the exact measure on the whole texts."""
     given = keyed(docs, key, text)
-    full = met.join(given, ["doc", "text_key"]).select(*BLOCK, "part", "doc", "text_key", "sig", "text")
+    full = met.join(given, ["doc", "text_key"]).select(*BLOCK, "part", "tree", "doc", "text_key", "sig", "text")
     full = full.repartition(*BLOCK).sortWithinPartitions(*BLOCK, "doc", "text_key")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for t, _ in runs(batches, BLOCK):
             t = t.take(group_starts(t, [*BLOCK, "doc", "text_key"])).combine_chunks()  # rows that repeat id and text: one of them
-            doc, starts = t["doc"].to_numpy(), group_starts(t, BLOCK)
+            doc, tree, starts = t["doc"].to_numpy(), t["tree"].to_numpy(), group_starts(t, BLOCK)
             out: list[tuple[int, int]] = []
             for lo, hi, a, b, s in blocks_of(t, starts, rows, floor):
                 if len(a):
                     sets = [shingle_hashes(x.split(), words, size) for x in texts(t["text"].slice(lo, hi - lo))]
-                    out += [(int(doc[lo + x]), int(doc[lo + y])) for x, y in linked(a, b, s, sets, similarity)]
+                    out += [(int(doc[lo + x]), int(doc[lo + y])) for x, y in linked(a, b, s, sets, tree[lo:hi], similarity)]
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     return full.mapInArrow(work, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, bands: int = 25, rows: int = 6, margin: float = 0.1, block_rows: int = 1000, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, bands: int = 25, rows: int = 6, margin: float = 0.1, block_rows: int = 1000, centres: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, class_id), one for each input row: the smallest id of the row's class.
 
     Two documents link if their word sequences are equal or the weighted Jaccard
@@ -279,7 +332,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, ban
     components. Pairs with an estimate of similarity - `margin` (three standard
     deviations of bands * rows coordinates) or more are compared exactly on the
     whole texts, unless checked links of their block connect them already: an
-    estimate alone is no link. Texts without
+    estimate alone is no link. Members of buckets of
+    more than `block_rows` texts are first checked against `centres` of them, so
+    that a large family of near copies is connected in work that grows with its
+    rows; only pairs that this leaves unconnected are compared. Texts without
     words are copies of each other. Rows that repeat an id count as one document
     and have one class, rows with a null id are in no class (null); an empty
     table gives an empty one.
@@ -289,8 +345,14 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, ban
     reps = rows_.groupBy("fp").agg(F.min(F.struct("doc", "text_key", "sig")).alias("r")).select("fp", "r.doc", "r.text_key", "r.sig")
     reps = materialise(reps, "distinct-texts")
     floor = similarity - margin
-    met = materialise(candidates(reps, bands, rows, floor, block_rows), "candidates")
-    links = verified(met, docs, rows, similarity, floor, size, key, text)
+    members = bucket_members(reps, bands, rows)
+    large = materialise(members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_rows), "large-buckets")
+    stars = materialise(star_links(members.join(large, ["band", "bucket"]), docs, centres, similarity, size, block_rows, key, text), "star-links")
+    trees = materialise(connected_components(stars).withColumnRenamed("node", "doc"), "trees")
+    placed = materialise(reps.join(trees, "doc", "left").select("doc", "text_key", "sig", F.coalesce("component", "doc").alias("tree")), "placed-texts")
+    members = bucket_members(placed, bands, rows, "tree")
+    met = materialise(candidates(placed, members, rows, floor, block_rows), "candidates")
+    links = verified(met, docs, rows, similarity, floor, size, key, text).union(stars)
     # the smallest id with a text stands for its copies, so that they are no links of one hub
     copies = rows_.select("doc", "fp").join(reps.select("fp", F.col("doc").alias("rep")), "fp").select("doc", "rep")
     ids = materialise(copies.groupBy("doc").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")), "ids")
