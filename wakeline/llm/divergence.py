@@ -11,7 +11,7 @@ the terms they share; what both lack or only one holds is summed up by shares.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.llm.hashing import MULTIPLIER, WordHashes, mix, texts
+from wakeline.llm.hashing import MULTIPLIER, mix, texts
 from wakeline.llm.store import materialise, release
 from wakeline.llm.text import text_of
 
@@ -30,8 +30,10 @@ WHOLE = 1_000_000_000
 FLAT = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Bytes of a text whose terms are held at once.
 STRETCH = 1 << 20
-#: Different terms that a task holds before it passes them on.
-HELD = 400_000
+#: Pairs of a document and a term, and different terms, that a task holds before it passes them on.
+HELD, HELD_TERMS = 1_500_000, 400_000
+#: Rows of a batch passed on.
+BATCH = 100_000
 #: Cells of the sketch that travel together.
 SLICE = 1 << 16
 #: Parts in which the tasks' sketches are merged first.
@@ -63,19 +65,31 @@ class Sketch:
             row = mix(hashes + np.uint64(int(MULTIPLIER) * (r + 1) % 2**64)) & np.uint64(self.width - 1)
             yield row.astype(np.int64) + r * self.width
 
-    def add(self, hashes: np.ndarray, counts: np.ndarray) -> None:
-        for place in self.places(hashes):
-            at, which = np.unique(place, return_inverse=True)
-            total = np.bincount(which, np.minimum(counts, self.most)) + self.cells[at]
-            self.cells[at] = np.minimum(total, self.most).astype(np.uint8)
+    def add(self, hashes: np.ndarray) -> None:
+        """Count each hash once more, as often as it is listed."""
+        for r, place in enumerate(self.places(hashes)):
+            row = self.cells[r * self.width : (r + 1) * self.width]
+            row[:] = np.minimum(np.bincount(place - r * self.width, minlength=self.width) + row, self.most)
 
     def estimate(self, hashes: np.ndarray) -> np.ndarray:
         return np.minimum.reduce([self.cells[p] for p in self.places(hashes)]) if len(hashes) else np.zeros(0, np.uint8)
 
 
-def keys_of(words: WordHashes, lang: str, terms: list[bytes]) -> np.ndarray:
-    """A hash of each term in its language."""
-    return mix(words.of(terms) ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode())))
+class Numbers(dict):
+    """Numbers the terms as they come."""
+
+    def __missing__(self, term: bytes) -> int:
+        found = self[term] = len(self)
+        return found
+
+
+def hashes_of(terms: Iterable[bytes], n: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, terms), np.uint64, n)
+
+
+def in_lang(hashes: np.ndarray, lang: str) -> np.ndarray:
+    """The hashes of terms, made different for each language."""
+    return mix(hashes ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode())))
 
 
 def zstd_slices(cells: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -113,25 +127,19 @@ def frequency_sketch(docs: DataFrame, min_docs: int = 3, width: int = 1 << 22, d
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, words, held, size = Sketch(width, depth, min_docs), WordHashes(), {}, 0
-
-        def flush() -> None:
-            for lang, found in held.items():
-                sketch.add(keys_of(words, lang, list(found)), np.fromiter(found.values(), np.int64, len(found)))
-            held.clear()
-
+        sketch, held, size = Sketch(width, depth, min_docs), [], 0
         for batch in batches:
             for lang, raw in zip(batch["lang"].to_pylist(), texts(batch["text"]), strict=True):
-                found = held.setdefault(lang, Counter())
-                before, seen = len(found), set()
+                seen: set[bytes] = set()
                 for run in term_runs(raw):
                     seen.update(run)
-                found.update(seen)
-                size += len(found) - before
+                held.append(in_lang(hashes_of(seen, len(seen)), lang))
+                size += len(seen)
                 if size > HELD:
-                    flush()
-                    size = 0
-        flush()
+                    sketch.add(np.concatenate(held))
+                    held, size = [], 0
+        if held:
+            sketch.add(np.concatenate(held))
         for n, packed in zstd_slices(sketch.cells):
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([packed], pa.binary())], schema=SLICES)
 
@@ -153,33 +161,44 @@ def count_terms(docs: DataFrame, sketch: Sketch) -> DataFrame:
     out = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_, words = Sketch(width, depth, most, sent.value), WordHashes()
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        size = 0
+        filter_ = Sketch(width, depth, most, sent.value)
+        numbers, groups, of, terms, counts, size = Numbers(), Numbers(), [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, in_docs) in held.items():
-                terms = np.fromiter(n, object, len(n))
-                terms = terms[filter_.estimate(keys_of(words, lang, list(n))) >= most].tolist()
-                if terms:
-                    columns = [pa.repeat(lang, len(terms)), pa.repeat(source, len(terms)), pa.array(terms, pa.string())]
-                    columns += [pa.array([c[t] for t in terms], pa.int64()) for c in (n, in_docs)]
-                    yield pa.RecordBatch.from_arrays(columns, schema=out)
-            held.clear()
+            """The sums of what is held, by group and term."""
+            group = np.repeat(np.array(of, np.int64), [len(t) for t in terms])
+            key = group * max(1, len(numbers)) + np.concatenate(terms)
+            order = np.argsort(key)
+            key, first = np.unique(key[order], return_index=True)
+            n = np.add.reduceat(np.concatenate(counts)[order], first)
+            in_docs = np.diff(np.append(first, len(order)))
+            group, term = np.divmod(key, len(numbers))
+            langs, sources = (pa.array([g[i] for g in groups], pa.string()) for i in range(2))
+            hashes = hashes_of(numbers, len(numbers))[term]
+            for g, (lang, _) in enumerate(groups):
+                a, b = np.searchsorted(group, (g, g + 1))
+                hashes[a:b] = in_lang(hashes[a:b], lang)
+            found = pa.array(list(numbers), pa.string())
+            keep = np.flatnonzero(filter_.estimate(hashes) >= most)
+            for i in range(0, len(keep), BATCH):
+                at = keep[i : i + BATCH]
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(group[at])), sources.take(pa.array(group[at])), found.take(pa.array(term[at])), pa.array(n[at]), pa.array(in_docs[at])], schema=out)
 
         for batch in batches:
             for lang, source, raw in zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), texts(batch["text"]), strict=True):
-                n, in_docs = held.setdefault((lang, source), (Counter(), Counter()))
-                before, seen = len(n), set()
+                said = Counter()
                 for run in term_runs(raw):
-                    n.update(run)
-                    seen.update(run)
-                in_docs.update(seen)
-                size += len(n) - before
-                if size > HELD:
+                    said.update(run)
+                if said:
+                    of.append(groups[lang, source])
+                    terms.append(np.fromiter(map(numbers.__getitem__, said), np.int64, len(said)))
+                    counts.append(np.fromiter(said.values(), np.int64, len(said)))
+                    size += len(said)
+                if size > HELD or len(numbers) > HELD_TERMS:
                     yield from flush()
-                    size = 0
-        yield from flush()
+                    numbers, groups, of, terms, counts, size = Numbers(), Numbers(), [], [], [], 0
+        if of:
+            yield from flush()
 
     return docs.select("lang", "source", "text").mapInArrow(work, "lang string, source string, term string, n long, docs long")
 
@@ -213,7 +232,8 @@ def source_divergence(docs: DataFrame, min_docs: int = 3, top: int = 200, width:
     """
     rows = docs.select(*(text_of(F.col(c)).alias(c) for c in ("lang", "source", "text")))
     found = count_terms(rows, frequency_sketch(rows, min_docs, width, depth))
-    counts = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # tasks have summed up already: to do it once more before the shuffle would save no rows
+    counts = found.repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     # a term has a row for each source of its language by now
     w = Window.partitionBy("lang", "term")
     seen = counts.withColumns({"lang_docs": F.sum("docs").over(w), "lang_n": F.sum("n").over(w), "first": F.col("source") == F.min("source").over(w)})
