@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +14,7 @@ from wakeline.jobs.oracle import SQL as ORACLE
 from wakeline.operators import carry, coding, tracks, voyages
 from wakeline.sources import adapters as A
 from wakeline.sources import tables as S
+from wakeline.sources.staging import shared_path
 from wakeline.streaming import snapshots as R
 
 #: Kilometres within which a port counts as near: the synthetic positions lie far apart.
@@ -131,17 +130,6 @@ def update_from(spark, d):
     return carry.update_from(A.snapshots(spark, d), past, "imo", ["dest_code"], "snapshot_ts").select("o_orderkey", "imo", "dest_code")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that `spark.checkpoint.dir` names; on one machine, where that is unset, in a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="wakeline-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def read_history(spark, d):
     """A month-partitioned copy, from the second day on for 40 days: months after the data have no partition."""
     path = shared_path(spark, "history")

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.functions.geo import geo_distance_km
+from wakeline.functions.geo import EARTH_KM, geo_distance_km
+from wakeline.sources.staging import staged
+
+#: Doublings from the finest grid, with cells of about 10 km, to one cell for the whole earth.
+LEVELS = 12
+#: Rows of the finest grid; it has twice as many columns.
+ROWS = 2 ** (LEVELS - 1)
+#: Levels by which rings grow at a time.
+BURST = 7
 
 
 def port_position(requests: DataFrame, ports: DataFrame, code: str = "destination") -> DataFrame:
@@ -21,16 +31,87 @@ def every_nth(tracks: DataFrame, n: int = 4) -> DataFrame:
     return tracks.withColumn("__at", at).filter(F.col("__at") % n == 0).drop("__at")
 
 
+def place(latitude: Column, longitude: Column) -> tuple[Column, Column]:
+    """Row and column of the finest grid, null without a coordinate; halving both gives those of the next coarser one."""
+    row = F.floor((latitude + 90) / 180 * ROWS).cast("int")
+    column = F.floor(F.pmod(longitude + 180, F.lit(360.0)) / 180 * ROWS).cast("int")
+    return F.when(row < ROWS, row).when(row.isNotNull(), ROWS - 1), F.when(column < 2 * ROWS, column).when(column.isNotNull(), 2 * ROWS - 1)
+
+
+def coarser(column: Column | str, level: Column) -> Column:
+    return F.call_function("shiftright", column, level)
+
+
+def ring_levels(requests: DataFrame, tracks: DataFrame, k: int) -> DataFrame:
+    """Add `level` to the requests that have a position and a past track: the finest grid in whose cell around them `k` tracks pass, or all there are.
+
+    Those tracks lie within the diagonal of that cell, so what lies beyond it
+    cannot be among the `k` nearest. The rings grow by a few levels at a time,
+    each time only for pairs of ports for which a request is still open.
+    """
+    pair, spot = ["origin", "destination"], ["origin", "destination", "row", "column"]
+    row, column = place(F.col("latitude"), F.col("longitude"))
+    placed = requests.withColumns({"row": row, "column": column}).filter(F.col("row").isNotNull() & F.col("column").isNotNull())
+    cells = tracks.select(*pair, "track_id", row.alias("row"), column.alias("column")).na.drop(subset=["row", "column"]).distinct()
+    cells = staged(cells.join(placed.select(*pair).distinct(), pair, "left_semi"), "cells")
+    there = cells.select(*pair, "track_id").distinct().groupBy(*pair).agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("enough"))
+    open_ = staged(placed.select(*spot).distinct().join(there, pair), "spots")
+    done = None
+    for first in range(0, LEVELS + 1, BURST):
+        levels = F.explode(F.array(*map(F.lit, range(first, min(first + BURST, LEVELS + 1)))))
+        ring = {c: coarser(c, F.col("level")) for c in ("row", "column")}
+        passing = cells.withColumn("level", levels).withColumns(ring).distinct().groupBy(*spot, "level").agg(F.count(F.lit(1)).alias("passing"))
+        asked = open_.withColumn("level", levels).select(*spot, "enough", "level", *(c.alias(f"ring_{n}") for n, c in ring.items()))
+        met = asked.join(passing.withColumnsRenamed({c: f"ring_{c}" for c in ring}), [*pair, "ring_row", "ring_column", "level"])
+        found = staged(met.filter("passing >= enough").groupBy(*spot).agg(F.min("level").alias("level")), "rings")
+        done = found if done is None else done.unionByName(found)
+        open_ = open_.join(found, spot, "left_anti")
+        if open_.isEmpty():
+            break
+        cells = cells.join(open_.select(*pair).distinct(), pair, "left_semi")
+    return placed.join(done, spot).drop("row", "column")
+
+
+def around(levelled: DataFrame) -> DataFrame:
+    """The requests once for each cell of their level that a point within the cell's diagonal can lie in, and `reach`, that diagonal in km."""
+    side = F.lit(180.0 / ROWS) * F.call_function("shiftleft", F.lit(1), F.col("level"))
+    reach = F.least(side * (math.pi / 180 * EARTH_KM * math.sqrt(2) * 1.001), F.lit(math.pi * EARTH_KM * 1.001))
+    rows = levelled.withColumn("reach", reach).withColumn("__wide", F.degrees(F.col("reach") / EARTH_KM))
+    rows = rows.withColumn("__polar", F.abs("latitude") + F.col("__wide") >= 90)
+    rows = rows.withColumn("__span", F.when(~F.col("__polar"), F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.col("reach") / EARTH_KM) / F.cos(F.radians("latitude"))))) * 1.001))
+    rows = rows.withColumn("__columns", F.greatest(F.lit(1), coarser(F.lit(2 * ROWS), F.col("level"))))
+    at = lambda latitude: F.least(F.floor((latitude + 90) / side).cast("int"), F.greatest(F.lit(1), coarser(F.lit(ROWS), F.col("level"))) - 1)
+    bands = F.sequence(at(F.greatest(F.lit(-90.0), F.col("latitude") - F.col("__wide"))), at(F.least(F.lit(90.0), F.col("latitude") + F.col("__wide"))))
+    low, high = (F.floor((F.col("longitude") + 180 + sign * F.col("__span")) / 360 * F.col("__columns")).cast("int") for sign in (-1, 1))
+    some = F.transform(F.sequence(low, F.least(high, low + F.col("__columns") - 1)), lambda c: F.pmod(c, F.col("__columns")))
+    columns = F.when(F.col("__polar"), F.sequence(F.lit(0), F.col("__columns") - 1)).otherwise(F.array_distinct(some))
+    rows = rows.withColumn("row", F.explode(bands)).withColumn("column", F.explode(columns))
+    return rows.drop("__wide", "__polar", "__span", "__columns")
+
+
+def near_nodes(requests: DataFrame, tracks: DataFrame, k: int) -> DataFrame:
+    """The nodes, with their distance in km, that the `k` nearest tracks of each request are chosen from: those in the cells around it."""
+    levelled = staged(ring_levels(requests, tracks, k), "levels")
+    used = [r["level"] for r in levelled.select("level").distinct().collect()]  # at most LEVELS + 1
+    row, column = place(F.col("latitude"), F.col("longitude"))
+    nodes = tracks.withColumn("level", F.explode(F.array(*map(F.lit, used)) if used else F.array().cast("array<int>")))
+    nodes = nodes.withColumns({"row": coarser(row, F.col("level")), "column": coarser(column, F.col("level"))})
+    asked = around(levelled).withColumnsRenamed({"latitude": "__lat", "longitude": "__lon"})
+    near = asked.join(nodes, ["origin", "destination", "level", "row", "column"])
+    return near.withColumn("km", geo_distance_km(F.col("__lat"), F.col("__lon"), F.col("latitude"), F.col("longitude")))
+
+
 def similar_tracks(requests: DataFrame, tracks: DataFrame, k: int = 3) -> DataFrame:
     """For each request the `k` tracks of its origin and destination that pass nearest to its position, from that node on.
 
     Requests hold request_id, origin, destination, latitude, longitude. Rows:
     request_id, track_id, rank, seq, latitude, longitude. Of nodes at one
-    distance the first counts, of tracks the one with the smaller id.
+    distance the first counts, of tracks the one with the smaller id. Requests
+    without a position get no rows; nodes without one are near to nothing.
     """
-    asked = requests.select("request_id", "origin", "destination", F.col("latitude").alias("__lat"), F.col("longitude").alias("__lon"))
-    nodes = asked.join(tracks, ["origin", "destination"]).withColumn("km", geo_distance_km(F.col("__lat"), F.col("__lon"), F.col("latitude"), F.col("longitude")))
-    nearest = nodes.groupBy("request_id", "origin", "destination", "track_id").agg(F.min(F.struct("km", "seq")).alias("near"))
+    asked = requests.select("request_id", "origin", "destination", "latitude", "longitude")
+    near = near_nodes(asked, tracks.select("origin", "destination", "track_id", "seq", "latitude", "longitude"), k).filter(F.col("km") <= F.col("reach"))
+    nearest = near.groupBy("request_id", "origin", "destination", "track_id").agg(F.min(F.struct("km", "seq")).alias("near"))
     rank = F.row_number().over(Window.partitionBy("request_id").orderBy("near.km", "track_id"))
     best = nearest.withColumn("rank", rank).filter(F.col("rank") <= k).select("request_id", "origin", "destination", "track_id", "rank", F.col("near.seq").alias("__from"))
     rest = best.join(tracks, ["origin", "destination", "track_id"]).filter(F.col("seq") >= F.col("__from"))
