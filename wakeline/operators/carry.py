@@ -45,8 +45,8 @@ def changed_departures(carried: DataFrame) -> DataFrame:
 
 
 def departure_strict(cur: DataFrame, last: DataFrame, key: str = "mmsi") -> DataFrame:
-    """Ships on both sides: the last destination as departure where it changed, '' where not; rows with any null are dropped."""
-    old = last.select(F.col(key), F.col("dest_code").alias("__last"))
+    """Ships with a number on both sides: the last destination as departure where it changed, '' where not; rows with any null are dropped."""
+    old = last.filter(known_ship(key)).select(F.col(key), F.col("dest_code").alias("__last"))
     joined = cur.drop("dept_code").join(old, key)
     out = joined.withColumn("dept_code", F.when(F.col("dest_code") != F.col("__last"), F.col("__last")).when(F.col("dest_code") == F.col("__last"), ""))
     return drop_incomplete(out.drop("__last"))
@@ -66,9 +66,10 @@ def code_delta(updates: DataFrame, rows: DataFrame) -> DataFrame:
 def previous_destination(history: DataFrame, asks: DataFrame, key: str = "imo", code: str = "dest_code", order: tuple[str, ...] = ("snapshot_ts",)) -> DataFrame:
     """For rows (key, asked): the newest code that differs from the one asked about, or the oldest of all if none does.
 
-    A null code differs from every other one. `asks` holds a row for each key.
+    A null code differs from every other one. `asks` holds a row for each key;
+    ships without a number (null, 0) get no answer.
     """
-    joined = history.select(key, F.struct(F.col(code).alias("c")).alias("__code"), F.struct(*order).alias("__at")).join(asks, key)
+    joined = history.filter(known_ship(key)).select(key, F.struct(F.col(code).alias("c")).alias("__code"), F.struct(*order).alias("__at")).join(asks, key)
     differs = ~F.col("__code.c").eqNullSafe(F.col("asked"))
     newest = F.max_by("__code", F.when(differs, F.col("__at")))
     return joined.groupBy(key, "asked").agg(F.coalesce(newest, F.min_by("__code", "__at"))["c"].alias("previous_code"))
@@ -92,8 +93,8 @@ def departure_history(df: DataFrame, key: str = "imo", order: tuple[str, ...] =
 
 
 def update_from(target: DataFrame, source: DataFrame, key: str, columns: list[str], order: str) -> DataFrame:
-    """`target` with `columns` taken from the matching source row, nulls included; the last source row by `order` counts."""
-    new = source.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("__new"))
+    """`target` with `columns` taken from the matching source row, nulls included; the last source row by `order` counts, and rows without a key (null, 0) match nothing."""
+    new = source.filter(known_ship(key)).groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("__new"))
     out = target.join(new, key, "left")
     for c in columns:
         out = out.withColumn(c, F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions.destination import clean_destination, code_candidates, country_prefix, is_numeric_text, is_valid_destination, last_word, noise_full, noise_part
+from wakeline.operators.carry import known_ship
+from wakeline.sources.staging import staged
 
 Scorer = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -56,16 +58,31 @@ def match_name(texts: DataFrame, ports: DataFrame, column: str = "clean_dest") -
     by_code = words.filter(n == 5).join(p, F.col("word") == F.upper("portcode")).groupBy("word").agg(least)
     by_country = words.filter(n == 2).join(p, F.col("word") == p["country_code"]).groupBy("word").agg(least)
     by_city = words.filter(n == 3).join(p, F.col("word") == p["city_code"]).groupBy("word").agg(least)
-    # a word inside a name: equal trigrams lead to the few names that can hold it
-    named = words.filter((n >= 4) & (n != 5))
-    grams = p.select("pos", "portcode", "country_name", "city_name", F.explode(F.array_distinct(F.concat(trigrams(F.col("country_name")), trigrams(F.col("city_name"))))).alias("gram"))
-    inside = F.contains(F.col("country_name"), F.col("word")) | F.contains(F.col("city_name"), F.col("word"))
-    by_name = named.withColumn("gram", F.substring("word", 1, 3)).join(grams, "gram").filter(inside).groupBy("word").agg(least)
+    by_name = names_holding(words.filter((n >= 4) & (n != 5)), p).groupBy("word").agg(least)
     hits = by_code.union(by_country).union(by_city).union(by_name)
     found = tries.withColumn("word", up).join(hits, "word").groupBy(column).agg(F.min_by("hit", "try").alias("hit"))
     return distinct.join(found, column, "left").select(column, "hit.pos", "hit.portcode")
 
 
+def names_holding(words: DataFrame, ports: DataFrame) -> DataFrame:
+    """Rows (word, pos, portcode): the ports whose country or city name holds the word, of three letters or more.
+
+    A name that holds a word holds all of its trigrams. The one that fewest
+    different names hold leads to the names to look into; words with a trigram
+    that no name holds go at once.
+    """
+    names = ports.select(F.explode(F.array("country_name", "city_name")).alias("name"), "pos", "portcode").filter(F.col("name").isNotNull())
+    distinct = names.select("name").distinct()
+    grams = staged(distinct.select("name", F.explode(trigrams(F.col("name"))).alias("gram")), "name_grams")
+    held = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    asked = words.select("word", F.explode(trigrams(F.col("word"))).alias("gram")).join(held, "gram", "left")
+    rarest = asked.groupBy("word").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram")).alias("r")).filter("r.held > 0")
+    found = rarest.select("word", "r.gram").join(grams, "gram").filter(F.contains(F.col("name"), F.col("word"))).select("word", "name")
+    # a country's name stands for many ports: the first of each name is all that is asked for
+    first = names.groupBy("name").agg(F.min(F.struct("pos", "portcode")).alias("first"))
+    return found.join(first, "name").select("word", "first.pos", "first.portcode")
+
+
 def trigrams(text: Column) -> Column:
     """Distinct runs of three characters; none of a shorter text."""
     n = F.length(text)
@@ -73,20 +90,56 @@ def trigrams(text: Column) -> Column:
     return F.when(n >= 3, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 
-def ngram_scorer(texts: DataFrame, ports: DataFrame) -> DataFrame:
+def by_rarity(sets: DataFrame, ports: DataFrame, key: str) -> DataFrame:
+    """Rows (key, n, gram, at) of rows (key, grams): the grams of each set from the one that fewest ports hold to the one that most do."""
+    frequency = ports.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    rows = sets.select(key, F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(frequency, "gram", "left")
+    order = Window.partitionBy(key).orderBy(F.coalesce("held", F.lit(0)), "gram")
+    return rows.select(key, "n", "gram", F.row_number().over(order).alias("at"), F.col("held").isNotNull().alias("met"))
+
+
+def prefix_pairs(texts: DataFrame, ports: DataFrame) -> DataFrame:
+    """Rows (clean_dest, pos), each once, of rows (clean_dest, n, gram, at, least) and (pos, n, gram, at): the pairs that can be as alike as `least`.
+
+    Sets with a Jaccard similarity of t share one of the first n - ceil(t n) + 1
+    grams of either, in any one order; with the rare ones first few pairs meet.
+    Their sizes also differ by a factor of 1 / t at most.
+    """
+    p = ports.select("pos", "gram", F.col("n").alias("m"), F.col("at").alias("port_at"))
+    # a little less than `least`, so that rounding loses no pair
+    t = F.col("least") - 1e-9
+    prefix = lambda n: F.col(n) - F.ceil(t * F.col(n)) + 1
+    met = texts.join(p, "gram").filter((F.col("at") <= prefix("n")) & (F.col("port_at") <= prefix("m")) & (t * F.col("n") <= F.col("m")) & (t * F.col("m") <= F.col("n")))
+    return met.select("clean_dest", "pos").distinct()
+
+
+def ngram_scorer(texts: DataFrame, ports: DataFrame, steps: tuple[float, ...] = (0.6, 0.3, 0.0)) -> DataFrame:
     """Rows (clean_dest, code, confidence): the port whose city's name has the greatest trigram Jaccard similarity, ties by `pos`.
 
     Confidence is that similarity times 100; texts that share no trigram have
-    code null and confidence 0.
+    code null and confidence 0. The similarity asked for falls step by step; a
+    text is done as soon as its best port is as alike as that, and what it has
+    found by then bounds its next step.
     """
-    left = texts.select("clean_dest", trigrams(F.col("clean_dest")).alias("grams"))
-    right = ports.select("pos", "portcode", trigrams(F.lower("city_name")).alias("grams"))
-    a = left.select("clean_dest", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    b = right.select("pos", "portcode", F.size("grams").alias("m"), F.explode("grams").alias("gram"))
-    shared = a.join(b, "gram").groupBy("clean_dest", "pos", "portcode", "n", "m").agg(F.count(F.lit(1)).alias("both"))
-    scored = shared.withColumn("score", F.col("both") / (F.col("n") + F.col("m") - F.col("both")))
-    best = scored.groupBy("clean_dest").agg(F.min_by(F.struct("portcode", "score"), F.struct((-F.col("score")).alias("s"), "pos")).alias("best"))
-    joined = texts.join(best, "clean_dest", "left")
+    left = staged(texts.select("clean_dest", trigrams(F.col("clean_dest")).alias("grams")), "texts")
+    right = staged(ports.select("pos", "portcode", trigrams(F.lower("city_name")).alias("grams")), "ports")
+    index = staged(by_rarity(right, right, "pos").drop("met"), "port_grams")
+    asked = staged(by_rarity(left, right, "clean_dest").filter("met").drop("met"), "text_grams")
+    bound = left.select("clean_dest", F.lit(0.0).alias("least"))
+    done, best = None, None
+    for step in steps:
+        open_ = asked.join(bound.withColumn("least", F.greatest("least", F.lit(step))), "clean_dest")
+        pairs = prefix_pairs(open_, index).join(left, "clean_dest").join(right.select("pos", "portcode", F.col("grams").alias("port_grams")), "pos")
+        both = F.size(F.array_intersect("grams", "port_grams"))
+        scored = pairs.select("clean_dest", "pos", "portcode", (both / (F.size("grams") + F.size("port_grams") - both)).alias("score"))
+        best = staged(scored.groupBy("clean_dest").agg(F.min_by(F.struct("portcode", "score"), F.struct((-F.col("score")).alias("s"), "pos")).alias("best")), "best")
+        found = best.filter(F.col("best.score") >= step)
+        done = found if done is None else done.unionByName(found)
+        bound = bound.join(found, "clean_dest", "left_anti").select("clean_dest").join(best, "clean_dest", "left").select("clean_dest", F.coalesce("best.score", F.lit(0.0)).alias("least"))
+        bound = staged(bound, "bound")
+        if bound.isEmpty():
+            break
+    joined = texts.join(done, "clean_dest", "left")
     return joined.select("clean_dest", F.col("best.portcode").alias("code"), F.coalesce(F.round(F.col("best.score") * 100, 2), F.lit(0.0)).alias("confidence"))
 
 
@@ -131,35 +184,34 @@ def code_batch(df: DataFrame, ports: DataFrame, scorer: Scorer = ngram_scorer, c
     return hybrid_code(score_destinations(cleaned, ports, scorer), ports)
 
 
-def with_clean_destination(df: DataFrame, column: str = "destination") -> DataFrame:
-    """Add clean_dest; each distinct raw text is cleaned once and joined back."""
-    distinct = df.select(F.col(column).alias("__raw")).filter(F.col(column).isNotNull()).distinct()
-    cleaned = distinct.withColumn("clean_dest", clean_destination(F.col("__raw")))
-    return df.join(cleaned, F.col(column) == F.col("__raw"), "left").drop("__raw")
-
-
 def code_texts(texts: DataFrame, ports: DataFrame, registered: DataFrame, scorer: Scorer = ngram_scorer) -> DataFrame:
     """Rows (clean_dest, code, resolution, confidence) of the distinct valid texts: registered ones first, the others by the ladder."""
-    found = registered_lookup(texts.select("clean_dest").filter(F.length("clean_dest") >= 3).distinct(), registered)
+    found = staged(registered_lookup(texts.select("clean_dest").filter(F.length("clean_dest") >= 3).distinct(), registered), "valid")
     known = found.filter(F.col("registered_code").isNotNull()).select("clean_dest", F.col("registered_code").alias("code"), F.lit("registered").alias("resolution"), F.lit(None).cast("double").alias("confidence"))
     rest = found.filter(F.col("registered_code").isNull()).select("clean_dest")
     return known.unionByName(hybrid_code(score_destinations(rest, ports, scorer), ports).select("clean_dest", "code", "resolution", "confidence"))
 
 
+def code_raw(df: DataFrame, ports: DataFrame, registered: DataFrame, scorer: Scorer = ngram_scorer, column: str = "destination") -> DataFrame:
+    """Rows (__raw, clean_dest, code, resolution, confidence), one for each raw text: the rows are read once, all coding works on these."""
+    raw = df.select(F.col(column).alias("__raw")).filter(F.col(column).isNotNull()).distinct()
+    cleaned = staged(raw.withColumn("clean_dest", clean_destination(F.col("__raw"))), "cleaned")
+    return staged(cleaned.join(code_texts(cleaned, ports, registered, scorer), "clean_dest", "left"), "coded")
+
+
 def code_destinations(df: DataFrame, ports: DataFrame, registered: DataFrame, scorer: Scorer = ngram_scorer, order: str = "event_id") -> DataFrame:
     """Rows with `dest_code`, `resolution` and `confidence`: registered texts first, the others by the ladder.
 
     Rows whose destination is not valid keep the code they have. Of several rows
     of a ship the last one counts for all of its valid rows: registered ones
-    first, then the others, each in `order`. Ships without a number keep the
-    codes of their own rows.
+    first, then the others, each in `order`. Ships without a number (null, 0)
+    keep the codes of their own rows.
     """
     given = df if "dest_code" in df.columns else df.withColumn("dest_code", F.lit(None).cast("string"))
-    cleaned = with_clean_destination(given)
-    coded = code_texts(cleaned, ports, registered, scorer).withColumnRenamed("code", "__code")
-    joined = cleaned.join(coded, "clean_dest", "left")
+    coded = code_raw(given, ports, registered, scorer).withColumnRenamed("code", "__code")
+    joined = given.drop("clean_dest", "resolution", "confidence").join(coded, F.col("destination") == F.col("__raw"), "left").drop("__raw")
     rank = F.struct((F.col("resolution") != "registered").alias("model"), F.col(order).alias("o"))
-    ships = joined.filter(F.col("resolution").isNotNull() & F.col("mmsi").isNotNull())
+    ships = joined.filter(F.col("resolution").isNotNull() & known_ship("mmsi"))
     last = ships.groupBy(F.col("mmsi").alias("__mmsi")).agg(F.max_by(F.struct("__code"), rank).alias("__last"))
     done = joined.join(last, F.col("mmsi") == F.col("__mmsi"), "left")
     final = F.when(F.col("__last").isNull(), F.col("__code")).otherwise(F.col("__last.__code"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from wakeline.operators.carry import known_ship
-from wakeline.operators.coding import Scorer, code_texts, ngram_scorer, with_clean_destination
+from wakeline.operators.coding import Scorer, code_raw, ngram_scorer
 
 
 def stream_snapshots(positions: DataFrame, width: str = "30 minutes", late: str = "30 minutes", columns: tuple[str, ...] = ("event_id", "imo", "sog", "destination")) -> DataFrame:
@@ -22,30 +23,87 @@ def stream_snapshots(positions: DataFrame, width: str = "30 minutes", late: str
     return done.select(F.col("w.start").alias("window_start"), "mmsi", "row.*")
 
 
-def stream_departures(coded: DataFrame, key: str = "imo", time: str = "snapshot_ts", order: str = "o_orderkey", code: str = "dest_code") -> DataFrame:
-    """Rows (key, time, order, code, dept_code) with the departure carried in state by ship.
+class DepartureProcessor(StatefulProcessor):
+    """Carries a ship's departure over rows that come out of order.
 
-    Rows of a ship are put in order within a batch. State is (destination,
-    departure) and stays for good. Rows without a ship number are left out.
+    Rows wait in state until the watermark has passed their time; a timer at the
+    earliest of them then puts all that are due in order. What stays is the last
+    destination and departure, and that only until `expire_us` after the last
+    row. A ship silent for longer starts anew, whether its timer has fired or not.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in coded.schema}
-    out = f"{key} {kinds[key]}, {time} {kinds[time]}, {order} {kinds[order]}, {code} string, dept_code string"
 
-    def carry(ship: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values([time, order], ignore_index=True)
-        seen, (dest, dept) = state.exists, state.get if state.exists else (None, None)
-        depts = []
-        for c in rows[code]:
-            c = None if pd.isna(c) else c
-            if seen and c != dest:
-                dept = dest
-            seen, dest = True, c
-            depts.append(dept)
-        state.update((dest, dept))
-        yield rows.assign(dept_code=pd.Series(depts, dtype=object))[[key, time, order, code, "dept_code"]]
+    CARRIED, WAITING = "us long, ord long, dest string, dept string", "us long, ord long, dest string"
+
+    def __init__(self, key: str, expire_us: int):
+        self.key, self.expire_us = key, expire_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.carried = handle.getValueState("carried", self.CARRIED)
+        self.waiting = handle.getListState("waiting", self.WAITING)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """Rows wait; those that are too late to come before what is already carried are dropped."""
+        new = pd.concat(list(rows), ignore_index=True)
+        if self.carried.exists():
+            us, ord_ = self.carried.get()[:2]
+            new = new[(new["us"] > us) | ((new["us"] == us) & (new["ord"] > ord_))]
+        if len(new):
+            self.waiting.appendList([(int(u), int(o), None if pd.isna(d) else d) for u, o, d in zip(new["us"], new["ord"], new["dest"], strict=True)])
+            self.handle.registerTimer(int(new["us"].min()) // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        due, rest = sorted((r for r in rows if r[0] <= now), key=lambda r: r[:2]), [r for r in rows if r[0] > now]
+        last = self.carried.get() if self.carried.exists() else None
+        if due:
+            us, order, dest = (np.array(c, kind) for c, kind in zip(zip(*due, strict=True), (np.int64, np.int64, object), strict=True))
+            dept = self.carry(us, dest, last)
+            last = (int(us[-1]), int(order[-1]), dest[-1], dept[-1])
+            self.carried.update(last)
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+            yield pd.DataFrame({self.key: key[0], "us": us, "ord": order, "dest": dest, "dept": dept})
+        if rest:
+            self.handle.registerTimer(min(r[0] for r in rest) // 1000)
+        elif last and last[0] + self.expire_us > now:
+            self.handle.registerTimer((last[0] + self.expire_us) // 1000 + 1)
+        elif last:
+            self.carried.clear()
+
+    def carry(self, us: np.ndarray, dest: np.ndarray, last: tuple | None) -> np.ndarray:
+        """The departure of each row, in order: the destination before its run of equal ones; a new start has none."""
+        if last:
+            us, dest = np.append(last[0], us), np.append(np.array([last[2]], object), dest)
+        gap = np.diff(us) > self.expire_us
+        told = np.append(np.array([last[3] if last else None], object), np.where(gap, None, dest[:-1]))
+        begins = np.flatnonzero(np.append(True, gap | (dest[1:] != dest[:-1])))
+        dept = told[np.repeat(begins, np.diff(np.append(begins, len(dest))))]
+        return dept[1:] if last else dept
+
+    def close(self) -> None:
+        pass
+
+
+def stream_departures(coded: DataFrame, key: str = "imo", time: str = "snapshot_ts", order: str = "o_orderkey", code: str = "dest_code", late: str = "1 hour", expire_days: int = 400) -> DataFrame:
+    """Rows (key, time, order, code, dept_code) with the departure carried in state by ship.
 
-    ships = coded.filter(known_ship(key)).select(key, time, order, code)
-    return ships.groupBy(key).applyInPandasWithState(carry, out, "dest string, dept string", "append", GroupStateTimeout.NoTimeout)
+    A row comes out once the watermark, `late` behind the newest time, has
+    passed it: rows up to that late are put in their place, later ones are
+    dropped. A ship that is silent for more than `expire_days` starts anew and
+    leaves no state. Rows without a ship number are left out. The state is held
+    by RocksDB.
+    """
+    coded.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kinds = {f.name: f.dataType.simpleString() for f in coded.schema}
+    rows = coded.filter(known_ship(key)).withColumn("__at", F.col(time).cast("timestamp")).withWatermark("__at", late)
+    rows = rows.select(key, "__at", F.unix_micros("__at").alias("us"), F.col(order).cast("long").alias("ord"), F.col(code).alias("dest"))
+    done = rows.groupBy(key).transformWithStateInPandas(DepartureProcessor(key, expire_days * 86_400_000_000), f"{key} {kinds[key]}, us long, ord long, dest string, dept string", "append", "EventTime")
+    return done.select(key, F.timestamp_micros("us").cast(kinds[time]).alias(time), F.col("ord").cast(kinds[order]).alias(order), F.col("dest").alias(code), F.col("dept").alias("dept_code"))
 
 
 def stream_update(stream: DataFrame, apply: Callable[[DataFrame, str], None], target: str, checkpoint: str):
@@ -70,8 +128,7 @@ def stream_code(positions: DataFrame, ports: DataFrame, registered: DataFrame, t
     """
 
     def apply(df: DataFrame, folder: str) -> None:
-        cleaned = with_clean_destination(df)
-        coded = cleaned.join(code_texts(cleaned, ports, registered, scorer), "clean_dest")
-        coded.write.mode("overwrite").parquet(folder)
+        coded = code_raw(df, ports, registered, scorer).filter("resolution is not null")
+        df.join(coded, F.col("destination") == F.col("__raw")).drop("__raw").write.mode("overwrite").parquet(folder)
 
     return stream_update(positions, apply, target, checkpoint)
