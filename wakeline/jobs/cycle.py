@@ -6,28 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.operators import carry, coding
-from wakeline.sources import tables
+from wakeline.sources import tables, versions
 
 
 def coding_cycle(positions: DataFrame, prefix: str, watch_list: DataFrame, ports: DataFrame, registered: DataFrame, past: DataFrame, out: str, past_order: str = "snapshot_ts", order: str = "event_id") -> tuple[DataFrame, DataFrame]:
-    """(result, updated snapshot) of one cycle, both written under `out` and read back.
+    """(result, updated snapshot) of one cycle: tables `result` and `snapshot` of one new version of `out`, read back.
 
     The newest snapshot with `prefix` is taken, cut down to the watch list, its
-    destinations are coded and the departures of `past` carried on. The result
-    replaces the table `result` and is exported as CSV; then the whole snapshot
-    takes over the codes of its ships.
+    destinations are coded and the departures of `past` carried on; then the
+    whole snapshot takes over the codes of its ships. Both tables are committed
+    at once, so readers never meet those of different cycles. The result is also
+    exported as CSV under `csv`, after the commit: a crash before that leaves
+    the older file, and the next cycle writes it.
     """
     spark = positions.sparkSession
     snapshot = tables.latest_snapshot(positions, prefix)
     listed = carry.watch_list_filter(snapshot, watch_list)
     coded = tables.with_wkt_point(coding.code_destinations(listed, ports, registered, order=order))
     done = carry.carry_departure(coded.withColumn("dept_code", F.lit(None).cast("string")), past, past_order)
-    tables.replace_table(done, f"{out}/result")
-    result = tables.read_table(spark, f"{out}/result")
-    tables.export_csv(result, f"{out}/csv")
+    draft = versions.Draft(spark, out)
+    result = draft.replace(done, "result")
     blank = snapshot.withColumns({c: F.lit(None).cast("string") for c in ("dest_code", "dept_code")})
-    tables.replace_table(carry.update_from(blank, result, "imo", ["dest_code", "dept_code"], order), f"{out}/snapshot")
-    return result, tables.read_table(spark, f"{out}/snapshot")
+    draft.replace(carry.update_from(blank, result, "imo", ["dest_code", "dept_code"], order), "snapshot")
+    draft.commit()
+    result = versions.read(spark, out, "result")
+    tables.export_csv(result, f"{out}/csv")
+    return result, versions.read(spark, out, "snapshot")
 
 
 def fleet_extract(spark: SparkSession, snapshots: DataFrame, prefix: str, fleet: DataFrame, out: str, schema: str) -> DataFrame:

@@ -280,6 +280,21 @@ from cur c join snapshots s on s.imo=c.imo group by c.imo, c.dest_code""",
     ),
     "stream_code": query([*TEXTS, REGISTERED, SCORES, LADDER, CODED], "select event_id, clean_dest, code0 as code, resolution from coded where resolution is not null"),
     "coding_report": query([*TEXTS, REGISTERED, SCORES, LADDER, CODED], f"select mmsi, destination as input, clean_dest as destination, {LAST_CODE} as port_code, percent, resolution from coded where resolution is not null"),
+    "keyed_update": query([SNAPSHOTS, RANKED], "select s.o_orderkey, s.imo, case when p.imo is not null then p.dest_code else s.dest_code end as dest_code, strftime(s.snapshot_ts, '%Y%m') as month from snapshots s left join past p on s.imo=p.imo"),
+    "stream_upsert": query([SNAPSHOTS, RANKED], "select imo, dest_code from cur"),
+    "port_dictionary": query([PORTS], "select pos, portcode, country_code, city_code, country_name, city_name from ports"),
+    "read_watch_list": query([WATCH], "select distinct imo from watch_list"),
+    "carry_etd": query(
+        [SNAPSHOTS, RANKED],
+        """select c.imo, c.dest_code, case when p.imo is null then c.dept_code when c.dest_code is not distinct from p.dest_code then p.dept_code else p.dest_code end as dept_code,
+ case when p.imo is not null and c.dest_code is distinct from p.dest_code then 'eta '||p.o_orderkey else 'own' end as etd, p.imo is not null and c.dest_code is distinct from p.dest_code as changed from cur c left join past p on c.imo=p.imo""",
+    ),
+    "plugin_scorer": query(TEXTS, f"select clean_dest, case when length(trim(clean_dest))<=2 or {numeric('clean_dest')} then '' else upper(substr(clean_dest, 1, 5)) end as pred, round(least(length(clean_dest), 30)/30.0::double*100, 2) as confidence from (select distinct clean_dest from cleaned where clean_dest is not null)"),
+    "coding_csv": query(
+        [*POS, SNAPSHOTS, RANKED, WATCH, DAY, clean("listed", "destination", "cleaned"), REGISTERED, SCORES, LADDER, CODED],
+        f"""select c.event_id, c.imo, c.destination, c.dest_code, case when p.imo is null then null when c.dest_code is not distinct from p.dest_code then p.dept_code else p.dest_code end as dept_code, resolution
+    from (select *, case when resolution is not null then {LAST_CODE} end as dest_code from coded) c left join past p on c.imo=p.imo and c.imo<>0""",
+    ),
     "coding_cycle": query(
         [*POS, SNAPSHOTS, RANKED, WATCH, DAY, clean("listed", "destination", "cleaned"), REGISTERED, SCORES, LADDER, CODED],
         f"""select day.event_id, day.imo, u.x.d as dest_code, u.x.p as dept_code from day left join (select imo, arg_max({{'d': dest_code, 'p': dept_code}}, event_id) as x from

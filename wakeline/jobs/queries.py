@@ -14,6 +14,7 @@ from wakeline.jobs.oracle import SQL as ORACLE
 from wakeline.operators import carry, coding, tracks, voyages
 from wakeline.sources import adapters as A
 from wakeline.sources import tables as S
+from wakeline.sources import versions as V
 from wakeline.sources.staging import shared_path
 from wakeline.streaming import snapshots as R
 
@@ -191,6 +192,60 @@ def table_sinks(spark, d):
     return S.read_table(spark, path)
 
 
+def keyed_update(spark, d):
+    """Snapshots by month as a versioned table; an update by ship writes the months of its ships anew."""
+    root, rows = shared_path(spark, "versions"), A.snapshots(spark, d).select("o_orderkey", "imo", "dest_code", F.date_format("snapshot_ts", "yyyyMM").alias("month"))
+    draft = V.Draft(spark, root)
+    draft.replace(rows.filter("dest_code is not null"), partition="month")
+    draft.append(rows.filter("dest_code is null"))
+    draft.commit()
+    V.update_table(spark, root, A.ranked_snapshots(spark, d)[1], "imo", ["dest_code"], "snapshot_ts")
+    return V.read(spark, root)
+
+
+def stream_upsert(spark, d):
+    """The newest code of each ship, updated by key from a stream, which then runs once more with lost progress."""
+    root = shared_path(spark, "ships")
+    draft = V.Draft(spark, root)
+    draft.replace(A.snapshots(spark, d).select("imo").filter("imo is not null").distinct().withColumn("dest_code", F.lit(None).cast("string")))
+    draft.commit()
+    for name in ("first", "again"):
+        rows = A.snapshots_from(streamed(spark, d, "orders")).withColumn("at", F.struct("snapshot_ts", "o_orderkey"))
+        R.stream_upsert(rows, root, "imo", ["dest_code"], "at", f"{root}/progress/{name}", name).start().awaitTermination()
+    return V.read(spark, root)
+
+
+def port_dictionary(spark, d):
+    """The ports written as a dictionary file and read again."""
+    path = shared_path(spark, "dictionary")
+    rows = A.ports(spark, d).select(F.col("pos").alias("index"), F.col("portcode").alias("port_code"), "country_code", "city_code", "country_name", "city_name", F.lit("x").alias("extra"))
+    rows.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return S.read_port_dictionary(spark, path).select("pos", "portcode", "country_code", "city_code", "country_name", "city_name")
+
+
+def read_watch_list(spark, d):
+    """Ship numbers from a file in which they stand twice, with spaces, beside such as are none."""
+    path, rows = shared_path(spark, "watch"), A.watch_list(spark, d)
+    texts = rows.select(F.concat(F.lit(" "), F.col("imo").cast("string"), F.lit(" ")).alias("IMO No"), F.lit("a").alias("note"))
+    texts.union(rows.select(F.col("imo").cast("string"), F.lit("b"))).union(rows.select(F.concat(F.lit("IMO"), F.col("imo").cast("string")), F.lit("c"))).write.option("header", True).csv(path)
+    return S.read_watch_list(spark, path, "IMO No")
+
+
+def coding_csv(spark, d):
+    """The CSV result of the coding cycle, read back."""
+    out, past = shared_path(spark, "cycle"), A.ranked_snapshots(spark, d)[1]
+    cycle.coding_cycle(day_snapshots(spark, d), "lvi_prm_", A.watch_list(spark, d), A.ports(spark, d), A.registered(spark, d), past, out)
+    # the file quotes empty texts and leaves nulls out
+    rows = spark.read.option("header", True).option("emptyValue", "(empty)").csv(f"{out}/csv").replace("(empty)", "")
+    return rows.select(F.col("event_id").cast("long").alias("event_id"), F.col("imo").cast("long").alias("imo"), "destination", "dest_code", "dept_code", "resolution")
+
+
+def carry_etd(spark, d):
+    cur, past = A.ranked_snapshots(spark, d)
+    past = past.withColumn("eta", F.concat(F.lit("eta "), F.col("o_orderkey").cast("string")))
+    return carry.carry_departure(cur.withColumn("etd", F.lit("own")), past, "snapshot_ts", with_etd=True).select("imo", "dest_code", "dept_code", "etd", "changed")
+
+
 def months_between(spark, d):
     rows = A.positions(spark, d).groupBy("mmsi").agg(F.min("dt_pos_utc").alias("a"), (F.max("dt_pos_utc") + F.expr("interval 70 days")).alias("b"))
     return rows.select("mmsi", F.array_join(geo.months_between(F.col("a"), F.col("b")), ",").alias("months"))
@@ -354,5 +409,11 @@ QUERIES = {
     "fleet_extract": fleet_extract,
     "export_groups": export_groups,
     "table_sinks": table_sinks,
+    "keyed_update": keyed_update,
+    "stream_upsert": stream_upsert,
+    "port_dictionary": port_dictionary,
+    "read_watch_list": read_watch_list,
+    "coding_csv": coding_csv,
+    "carry_etd": carry_etd,
 }
 SQL = {name: sql for name, sql in ORACLE.items() if name in QUERIES}

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from wakeline.operators.carry import known_ship
 from wakeline.operators.coding import Scorer, code_raw, ngram_scorer
+from wakeline.sources.versions import update_table
 
 
 def stream_snapshots(positions: DataFrame, width: str = "30 minutes", late: str = "30 minutes", columns: tuple[str, ...] = ("event_id", "imo", "sog", "destination")) -> DataFrame:
@@ -120,6 +121,19 @@ def stream_update(stream: DataFrame, apply: Callable[[DataFrame, str], None], ta
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+def stream_upsert(stream: DataFrame, root: str, key: str, columns: list[str], order: str, checkpoint: str, name: str):
+    """Update a versioned table by key from each micro-batch; a batch is one version, and counts once also if it runs again.
+
+    Each batch of the stream `name` must find the table committed. Returns the
+    stream's writer, not started.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        update_table(df.sparkSession, root, df, key, columns, order, (name, number))
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
 def stream_code(positions: DataFrame, ports: DataFrame, registered: DataFrame, target: str, checkpoint: str, scorer: Scorer = ngram_scorer):
     """Write every valid row with clean_dest, code and resolution: registered texts, then the whole ladder, as a batch has them.
 
