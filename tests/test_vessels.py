@@ -116,6 +116,16 @@ def test_times_and_sides(spark):
     assert list(row) == ["lvi_prm_20220906071000", "lvi_prm_20220906074000", ["202211", "202212", "202301"], [], "pacific", "atlantic", "pacific"]
 
 
+def test_first_rows_have_no_step(spark):
+    rows = [(i, 1, T0 + timedelta(hours=i), 0.0, lon) for i, lon in enumerate([10.0, 11.0, 11.0])]
+    df = spark.createDataFrame(rows, "event_id long, mmsi long, dt_pos_utc timestamp, latitude double, longitude double")
+    first, *rest = voyages.with_steps(df).orderBy("event_id").collect()
+    assert first["step_km"] is None and [round(r["step_km"], 2) for r in rest] == [111.2, 0.0]
+    assert 111 < voyages.voyage_summary(df.withColumn("voyage_id", F.lit(1))).first()["km"] < 112
+    row = spark.range(1).select(geo.geo_distance_km(F.lit(None).cast("double"), F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("a"), geo.geo_distance_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0)).alias("b")).first()
+    assert row["a"] is None and round(row["b"], 3) == 20015.115
+
+
 def test_port_position_last_wins(spark):
     p = spark.createDataFrame([(0, "A", "", "", "", "", 1.0, 1.0), (1, "A", "", "", "", "", 2.0, 2.0)], PORTS)
     asked = spark.createDataFrame([("A",), ("B",), (None,)], "destination string")

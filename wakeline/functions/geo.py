@@ -15,7 +15,8 @@ def geo_distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
     a = F.sin(F.radians(lat2 - lat1) / 2)
     b = F.sin(F.radians(lon2 - lon1) / 2)
     h = a * a + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * b * b
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    # least() would take 1 for null
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def wkt_point(longitude: Column, latitude: Column) -> Column:

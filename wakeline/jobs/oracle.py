@@ -132,7 +132,7 @@ h8 as (select * exclude (la, lo, lt, km_, hr_) from (select *, 2*6371.0088*asin(
 SUMMARY = """
 s2 as (select *, lag(latitude) over v as la, lag(longitude) over v as lo from h8 window v as (partition by mmsi, voyage_id order by dt_pos_utc, event_id)),
 summary as (select mmsi, voyage_id, count(*) as n_points,
-  coalesce(sum(2*6371.0088*asin(sqrt(least(1.0, sin(radians(latitude-la)/2)**2+cos(radians(la))*cos(radians(latitude))*sin(radians(longitude-lo)/2)**2)))), 0.0) as km,
+  coalesce(sum(2*6371.0088*asin(sqrt(least(1.0, sin(radians(latitude-la)/2)**2+cos(radians(la))*cos(radians(latitude))*sin(radians(longitude-lo)/2)**2)))) filter (la is not null), 0.0) as km,
   min(dt_pos_utc) as started, max(dt_pos_utc) as ended,
   arg_min(latitude, (dt_pos_utc, event_id)) as first_latitude, arg_min(longitude, (dt_pos_utc, event_id)) as first_longitude,
   arg_max(latitude, (dt_pos_utc, event_id)) as last_latitude, arg_max(longitude, (dt_pos_utc, event_id)) as last_longitude from s2 group by mmsi, voyage_id)"""
@@ -249,7 +249,7 @@ from cur c join snapshots s on s.imo=c.imo group by c.imo, c.dest_code""",
     "nav_status_values": query(POS, "select nav_status, count(*) as n_rows from positions group by nav_status"),
     "months_between": query(POS, "select mmsi, array_to_string(list_transform(range(date_trunc('month', min(dt_pos_utc)), date_trunc('month', max(dt_pos_utc)+interval 70 day)+interval 1 day, interval 1 month), lambda d: strftime(d, '%Y%m')), ',') as months from positions group by mmsi"),
     "fill_speed": query([*POS, VOYAGES], "select event_id, round(sog, 6) as sog from h2"),
-    "with_steps": query(POS, "select event_id, round(2*6371.0088*asin(sqrt(least(1.0, sin(radians(latitude-la)/2)**2+cos(radians(la))*cos(radians(latitude))*sin(radians(longitude-lo)/2)**2))), 3) as step_km, round(epoch_us(dt_pos_utc-lt)/3.6e9, 6) as step_hours from (select *, lag(latitude) over w as la, lag(longitude) over w as lo, lag(dt_pos_utc) over w as lt from positions window w as (partition by mmsi order by dt_pos_utc, event_id))"),
+    "with_steps": query(POS, "select event_id, case when la is not null then round(2*6371.0088*asin(sqrt(least(1.0, sin(radians(latitude-la)/2)**2+cos(radians(la))*cos(radians(latitude))*sin(radians(longitude-lo)/2)**2))), 3) end as step_km, round(epoch_us(dt_pos_utc-lt)/3.6e9, 6) as step_hours from (select *, lag(latitude) over w as la, lag(longitude) over w as lo, lag(dt_pos_utc) over w as lt from positions window w as (partition by mmsi order by dt_pos_utc, event_id))"),
     "nearest_port": query([*POS, nearest("positions", "event_id", "latitude", "longitude", "n")], "select event_id, portcode, round(port_km, 3) as port_km from n"),
     "cut_voyages": query([*POS, VOYAGES], "select event_id, mmsi, cut, voyage_id from h5"),
     "voyage_slices": query([*POS, VOYAGES, SLICES], "select event_id, mmsi, voyage_id from h7"),
@@ -280,6 +280,8 @@ from cur c join snapshots s on s.imo=c.imo group by c.imo, c.dest_code""",
     ),
     "stream_code": query([*TEXTS, REGISTERED, SCORES, LADDER, CODED], "select event_id, clean_dest, code0 as code, resolution from coded where resolution is not null"),
     "coding_report": query([*TEXTS, REGISTERED, SCORES, LADDER, CODED], f"select mmsi, destination as input, clean_dest as destination, {LAST_CODE} as port_code, percent, resolution from coded where resolution is not null"),
+    "points_by_month": query([*POS, VOYAGES, SLICES], "select event_id, mmsi, voyage_id from h8"),
+    "voyages_by_month": query([*VOY, NAMED], "select mmsi, voyage_id, origin, destination, n_points, round(km, 3) as km, started, ended from named"),
     "keyed_update": query([SNAPSHOTS, RANKED], "select s.o_orderkey, s.imo, case when p.imo is not null then p.dest_code else s.dest_code end as dest_code, strftime(s.snapshot_ts, '%Y%m') as month from snapshots s left join past p on s.imo=p.imo"),
     "stream_upsert": query([SNAPSHOTS, RANKED], "select imo, dest_code from cur"),
     "port_dictionary": query([PORTS], "select pos, portcode, country_code, city_code, country_name, city_name from ports"),

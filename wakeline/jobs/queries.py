@@ -11,7 +11,7 @@ from wakeline.functions import destination as D
 from wakeline.functions import geo
 from wakeline.jobs import cycle
 from wakeline.jobs.oracle import SQL as ORACLE
-from wakeline.operators import carry, coding, tracks, voyages
+from wakeline.operators import carry, coding, segments, tracks, voyages
 from wakeline.sources import adapters as A
 from wakeline.sources import tables as S
 from wakeline.sources import versions as V
@@ -409,6 +409,8 @@ QUERIES = {
     "fleet_extract": fleet_extract,
     "export_groups": export_groups,
     "table_sinks": table_sinks,
+    "points_by_month": lambda spark, d: segments.extract_voyages(A.positions(spark, d), A.ports(spark, d), RADIUS, unit="day")[0].select("event_id", "mmsi", "voyage_id"),
+    "voyages_by_month": lambda spark, d: segments.extract_voyages(A.positions(spark, d), A.ports(spark, d), RADIUS, min_points=MIN_POINTS)[1].withColumn("km", F.round("km", 3)).select("mmsi", "voyage_id", "origin", "destination", "n_points", "km", "started", "ended"),
     "keyed_update": keyed_update,
     "stream_upsert": stream_upsert,
     "port_dictionary": port_dictionary,
