@@ -123,7 +123,7 @@ def test_first_rows_have_no_step(spark):
     assert first["step_km"] is None and [round(r["step_km"], 2) for r in rest] == [111.2, 0.0]
     assert 111 < voyages.voyage_summary(df.withColumn("voyage_id", F.lit(1))).first()["km"] < 112
     row = spark.range(1).select(geo.geo_distance_km(F.lit(None).cast("double"), F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("a"), geo.geo_distance_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0)).alias("b")).first()
-    assert row["a"] is None and round(row["b"], 3) == 20015.115
+    assert row["a"] is None and round(row["b"], 3) == 20015.114
 
 
 def test_port_position_last_wins(spark):

@@ -138,6 +138,24 @@ summary as (select mmsi, voyage_id, count(*) as n_points,
   arg_max(latitude, (dt_pos_utc, event_id)) as last_latitude, arg_max(longitude, (dt_pos_utc, event_id)) as last_longitude from s2 group by mmsi, voyage_id)"""
 
 
+def geodesics(source: str, rounds: int = 40) -> list[str]:
+    """Common tables gd0 to gd_end: `source` (latitude, longitude, la, lo) with km on the WGS84 ellipsoid, a table a round."""
+    f = "(1/298.257223563::double)"
+    first = f"""gd0 as (select *, sin(u1) as s1, cos(u1) as c1, sin(u2) as s2, cos(u2) as c2, l as t0 from (select *, radians((longitude-lo+540)-360*floor((longitude-lo+540)/360)-180) as l,
+  atan((1-{f})*tan(radians(la))) as u1, atan((1-{f})*tan(radians(latitude))) as u2 from {source} where la is not null))"""
+    sides = "(c2*sin(t{0}))**2+(c1*s2-s1*c2*cos(t{0}))**2"
+    tables = [first]
+    for i in range(rounds):
+        tables.append(f"""gd{i + 1} as (select * exclude (t{i}, ss, cs, sa, up, mid, c), l+(1-c)*{f}*sa*(atan2(ss, cs)+c*ss*(mid+c*cs*(2*mid**2-1))) as t{i + 1}, t{i} as before_ from
+  (select *, {f}/16*up*(4+{f}*(4-3*up)) as c from (select *, case when up>1e-14 then cs-2*s1*s2/up else 0 end as mid from (select *, 1-sa**2 as up from
+  (select *, case when ss>0 then c1*c2*sin(t{i})/ss else 0 end as sa from (select * {"exclude (before_)" if i else ""}, sqrt({sides.format(i)}) as ss, s1*s2+c1*c2*cos(t{i}) as cs from gd{i}))))))""")
+    t = f"t{rounds}"
+    tables.append(f"""gd_end as (select *, case when abs({t}-before_)<=1e-12 and abs({t})<=pi() then 6378.137*(1-{f})*(1+v/16384*(4096+v*(v*(320-175*v)-768)))*(sg-q*ss*(mid+q/4*(cs*(2*mid**2-1)-q/6*mid*(4*ss**2-3)*(4*mid**2-3)))) end as km from
+  (select *, v/1024*(256+v*(v*(74-47*v)-128)) as q from (select *, up*(1/(1-{f})**2-1) as v, atan2(ss, cs) as sg, case when up>1e-14 then cs-2*s1*s2/up else 0 end as mid from
+  (select *, 1-(case when ss>0 then c1*c2*sin({t})/ss else 0 end)**2 as up from (select *, sqrt({sides.format(rounds)}) as ss, s1*s2+c1*c2*cos({t}) as cs from gd{rounds})))))""")
+    return tables
+
+
 def nearest(source: str, key: str, lat: str, lon: str, name: str, radius: int = 500) -> str:
     d = distance("q.", "p.")
     return f"""
@@ -250,6 +268,10 @@ from cur c join snapshots s on s.imo=c.imo group by c.imo, c.dest_code""",
     "months_between": query(POS, "select mmsi, array_to_string(list_transform(range(date_trunc('month', min(dt_pos_utc)), date_trunc('month', max(dt_pos_utc)+interval 70 day)+interval 1 day, interval 1 month), lambda d: strftime(d, '%Y%m')), ',') as months from positions group by mmsi"),
     "fill_speed": query([*POS, VOYAGES], "select event_id, round(sog, 6) as sog from h2"),
     "with_steps": query(POS, "select event_id, case when la is not null then round(2*6371.0088*asin(sqrt(least(1.0, sin(radians(latitude-la)/2)**2+cos(radians(la))*cos(radians(latitude))*sin(radians(longitude-lo)/2)**2))), 3) end as step_km, round(epoch_us(dt_pos_utc-lt)/3.6e9, 6) as step_hours from (select *, lag(latitude) over w as la, lag(longitude) over w as lo, lag(dt_pos_utc) over w as lt from positions window w as (partition by mmsi order by dt_pos_utc, event_id))"),
+    "geodesic_steps": query(
+        [*POS, "lagged as (select event_id, latitude, longitude, lag(latitude) over w as la, lag(longitude) over w as lo from positions window w as (partition by mmsi order by dt_pos_utc, event_id))", *geodesics("lagged")],
+        "select l.event_id, round(g.km, 4) as km from lagged l left join gd_end g on l.event_id=g.event_id",
+    ),
     "nearest_port": query([*POS, nearest("positions", "event_id", "latitude", "longitude", "n")], "select event_id, portcode, round(port_km, 3) as port_km from n"),
     "cut_voyages": query([*POS, VOYAGES], "select event_id, mmsi, cut, voyage_id from h5"),
     "voyage_slices": query([*POS, VOYAGES, SLICES], "select event_id, mmsi, voyage_id from h7"),

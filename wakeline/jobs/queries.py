@@ -271,6 +271,13 @@ def with_steps(spark, d):
     return voyages.with_steps(A.positions(spark, d)).select("event_id", F.round("step_km", 3).alias("step_km"), F.round("step_hours", 6).alias("step_hours"))
 
 
+def geodesic_steps(spark, d):
+    """The way from each ship's previous position on the ellipsoid."""
+    w = voyages.ship_window()
+    lagged = A.positions(spark, d).select("event_id", "latitude", "longitude", F.lag("latitude").over(w).alias("la"), F.lag("longitude").over(w).alias("lo"))
+    return lagged.select("event_id", F.round(geo.geodesic_km(F.col("la"), F.col("lo"), F.col("latitude"), F.col("longitude")), 4).alias("km"))
+
+
 def nearest_port(spark, d):
     return voyages.nearest_port(A.positions(spark, d), A.ports(spark, d), RADIUS).withColumn("port_km", F.round("port_km", 3))
 
@@ -380,6 +387,7 @@ QUERIES = {
     "fill_speed": lambda spark, d: filled(spark, d).select("event_id", F.round("sog", 6).alias("sog")),
     "with_steps": with_steps,
     "nearest_port": nearest_port,
+    "geodesic_steps": geodesic_steps,
     "cut_voyages": lambda spark, d: cut(spark, d).select("event_id", "mmsi", "cut", "voyage_id"),
     "voyage_slices": lambda spark, d: voyages.voyage_slices(cut(spark, d)).select("event_id", "mmsi", "voyage_id"),
     "drop_position_errors": lambda spark, d: points(spark, d).select("event_id", "mmsi", "voyage_id"),
