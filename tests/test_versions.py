@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from wakeline.operators import carry
+from wakeline.sources import tables as S
 from wakeline.sources import versions as V
 from wakeline.streaming import snapshots as R
 
@@ -105,3 +107,37 @@ def test_stream_of_updates_that_crashes_and_runs_again(spark, tmp_path, monkeypa
     assert {r[0]: r[2] for r in state(spark, root) if r[1] == "a"}.items() >= {0: "a0", 1: "batch 0", 2: "batch 1", 3: "batch 2", 5: "batch 2"}.items()
     assert V.current(spark, root)[1]["batches"] == {"codes": 2}
     assert V.current(spark, root)[0] == 4
+
+
+def test_exports_of_skewed_tables(spark, tmp_path):
+    rows = [(1, "KRPUS", i) for i in range(5000)] + [(2 + i % 40, "GRPIR", i) for i in range(200)] + [(None, "JPTYO", 1)]
+    df = spark.createDataFrame(rows, "mmsi long, dest_code string, n long").repartition(8)
+    S.export_by_vessel(df, str(tmp_path / "ships"), 1000)
+    files = {d.name: len(list(d.glob("*.csv"))) for d in (tmp_path / "ships").iterdir() if d.is_dir()}
+    assert len(files) == 42 and 5 <= files.pop("mmsi=1") <= 10 and set(files.values()) == {1}
+    assert spark.read.option("header", True).csv(str(tmp_path / "ships")).count() == len(rows)
+    S.export_by_country_group(df, str(tmp_path / "groups"), max_rows_a_file=1000)
+    back = spark.read.option("header", True).csv(str(tmp_path / "groups"))
+    assert back.count() == df.filter("dest_code = 'GRPIR'").count() + back.filter("dest_code <> 'GRPIR'").count()
+    assert all(len(list(d.glob("*.csv"))) <= 10 for d in (tmp_path / "groups").iterdir() if d.is_dir())
+
+
+def test_history_is_read_backwards_as_far_as_needed(spark, tmp_path):
+    rows = [(ship, day, "A" if day < 3 * ship else "B") for ship in range(1, 9) for day in range(30)]
+    rows += [(20, 29, "B"), (21, 5, None), (21, 29, "B"), (0, 1, "A"), (22, 0, "Z"), (22, 1, "B")]
+    path = str(tmp_path / "days")
+    kind = "imo long, day int, dest_code string"
+    spark.createDataFrame(rows, kind).withColumn("snapshot_ts", F.col("day")).write.partitionBy("day").parquet(path)
+    history = spark.read.parquet(path)
+
+    def ask(ships):
+        df, read = carry.previous_destination_back(history, spark.createDataFrame([(s, "B") for s in ships], "imo long, asked string"), "day")
+        plain = carry.previous_destination(history, spark.createDataFrame([(s, "B") for s in ships], "imo long, asked string"))
+        got = {r["imo"]: r["previous_code"] for r in df.collect()}
+        assert got == {r["imo"]: r["previous_code"] for r in plain.collect()}
+        return got, read
+
+    assert ask([8]) == ({8: "A"}, list(range(29, 22, -1)))  # 1 + 2 + 4 days
+    got, read = ask([8, 7, 20, 21, 22, 0, 99])
+    assert got == {8: "A", 7: "A", 20: "B", 21: None, 22: "Z"} and len(read) == 30
+    assert ask([])[0] == {}

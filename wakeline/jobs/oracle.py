@@ -209,7 +209,7 @@ DAY = """
 day as (select * from positions where strftime(dt_pos_utc, '%Y%m%d')=(select max(strftime(dt_pos_utc, '%Y%m%d')) from positions)),
 listed as (select * from day where imo in (select imo from watch_list))"""
 
-SQL = {
+SQL: dict[str, str] = {
     "clean_destination": query(TEXTS, "select event_id, destination, clean_dest, coalesce(length(clean_dest)>=3, false) as valid from cleaned"),
     "valid_split_counts": query(TEXTS, "select count(*) as n_rows, count(*) filter (coalesce(length(clean_dest)>=3, false)) as n_valid, count(*) filter (not coalesce(length(clean_dest)>=3, false)) as n_invalid from cleaned"),
     "noise_flags": query(TEXTS, f"select clean_dest, {noise_full('clean_dest')} as is_noise, case when not {noise_full('clean_dest')} then {noise_part('clean_dest')} end as has_noise from (select distinct clean_dest from cleaned where clean_dest is not null)"),
@@ -327,3 +327,4 @@ from cur c join snapshots s on s.imo=c.imo group by c.imo, c.dest_code""",
     ),
     "code_destinations": query([*TEXTS, REGISTERED, SCORES, LADDER, CODED], f"select event_id, mmsi, clean_dest, case when resolution is not null then {LAST_CODE} end as dest_code, resolution from coded"),
 }
+SQL["previous_destination_back"] = SQL["previous_destination"]

@@ -126,6 +126,14 @@ def previous_destination(spark, d):
     return carry.previous_destination(A.snapshots(spark, d), asks, order=("snapshot_ts", "o_orderkey"))
 
 
+def previous_destination_back(spark, d):
+    """The same over snapshots stored by month, read backwards from the newest one."""
+    path = shared_path(spark, "months")
+    A.snapshots(spark, d).withColumn("month", F.date_format("snapshot_ts", "yyyyMM")).write.partitionBy("month").parquet(path)
+    asks = A.ranked_snapshots(spark, d)[0].select("imo", F.col("dest_code").alias("asked"))
+    return carry.previous_destination_back(spark.read.parquet(path), asks, "month", order=("snapshot_ts", "o_orderkey"))[0]
+
+
 def update_from(spark, d):
     past = A.ranked_snapshots(spark, d)[1]
     return carry.update_from(A.snapshots(spark, d), past, "imo", ["dest_code"], "snapshot_ts").select("o_orderkey", "imo", "dest_code")
@@ -419,6 +427,7 @@ QUERIES = {
     "table_sinks": table_sinks,
     "points_by_month": lambda spark, d: segments.extract_voyages(A.positions(spark, d), A.ports(spark, d), RADIUS, unit="day")[0].select("event_id", "mmsi", "voyage_id"),
     "voyages_by_month": lambda spark, d: segments.extract_voyages(A.positions(spark, d), A.ports(spark, d), RADIUS, min_points=MIN_POINTS)[1].withColumn("km", F.round("km", 3)).select("mmsi", "voyage_id", "origin", "destination", "n_points", "km", "started", "ended"),
+    "previous_destination_back": previous_destination_back,
     "keyed_update": keyed_update,
     "stream_upsert": stream_upsert,
     "port_dictionary": port_dictionary,

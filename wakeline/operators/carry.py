@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wakeline.sources.staging import staged
+
 
 def known_ship(column: str):
     """A ship number that tells ships apart: neither null nor 0."""
@@ -75,6 +77,34 @@ def previous_destination(history: DataFrame, asks: DataFrame, key: str = "imo",
     return joined.groupBy(key, "asked").agg(F.coalesce(newest, F.min_by("__code", "__at"))["c"].alias("previous_code"))
 
 
+def previous_destination_back(history: DataFrame, asks: DataFrame, partition: str, key: str = "imo", code: str = "dest_code", order: tuple[str, ...] = ("snapshot_ts",)) -> tuple[DataFrame, list]:
+    """(`previous_destination`, the partitions read): the history is read backwards, as far as there are questions open.
+
+    `partition` is a column that grows with `order` and by which the history is
+    stored, such as the day. Each round reads twice as many partitions as the
+    one before. A ship whose newest other code is found is done; only if there is
+    none, which takes all of the history, its oldest code counts.
+    """
+    values = sorted((r[0] for r in history.select(partition).distinct().collect()), reverse=True)  # as many as folders
+    at, own = F.struct(*order), F.struct(F.col(code).alias("c"))
+    open_ = asks.filter(known_ship(key)).select(key, "asked", F.lit(None).cast(f"struct<c:{history.schema[code].dataType.simpleString()}>").alias("oldest"))
+    done, read, width = None, [], 1
+    while len(read) < len(values):
+        part = values[len(read) : len(read) + width]
+        read, width = read + part, width * 2
+        rows = history.filter(F.col(partition).isin(part)).select(key, own.alias("__own"), at.alias("__at")).join(open_.select(key, "asked"), key)
+        differs = ~F.col("__own.c").eqNullSafe(F.col("asked"))
+        met = rows.groupBy(key).agg(F.max_by("__own", F.when(differs, F.col("__at"))).alias("newest"), F.min_by("__own", "__at").alias("first"))
+        state = staged(open_.join(met, key, "left").select(key, "asked", "newest", F.coalesce("first", "oldest").alias("oldest")), "asks")
+        found = state.filter("newest is not null").select(key, "asked", F.col("newest.c").alias("previous_code"))
+        done = found if done is None else done.unionByName(found)
+        open_ = state.filter("newest is null").select(key, "asked", "oldest")
+        if open_.isEmpty():
+            break
+    rest = open_.filter("oldest is not null").select(key, "asked", F.col("oldest.c").alias("previous_code"))
+    return (rest if done is None else done.unionByName(rest)), read
+
+
 def departure_history(df: DataFrame, key: str = "imo", order: tuple[str, ...] = ("snapshot_ts", "o_orderkey"), code: str = "dest_code", adjacent: str | None = None) -> DataFrame:
     """Add dept_code for all snapshots at once: the destination before the present run of equal ones.
 

@@ -98,15 +98,24 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def dealt_by_size(df: DataFrame, key: str, rows_a_file: int) -> DataFrame:
+    """`df` dealt to tasks so that each value of `key` is written by as many as its rows need, small ones by one each."""
+    sizes = df.groupBy(F.col(key).alias("__key")).agg(F.ceil(F.count(F.lit(1)) / rows_a_file).cast("int").alias("__writers"))
+    rows = df.join(sizes, F.col(key).eqNullSafe(F.col("__key")))
+    return rows.withColumn("__writer", F.pmod(F.xxhash64(*df.columns), F.col("__writers"))).repartition(key, "__writer").drop("__key", "__writers", "__writer")
+
+
 def export_by_country_group(df: DataFrame, path: str, code: str = "dest_code", max_rows_a_file: int = 1_000_000) -> None:
-    """One folder of CSV files for each country group; rows of no group are left out."""
+    """One folder of CSV files for each country group, of about `max_rows_a_file` rows each; rows of no group are left out."""
     grouped = df.withColumn("country_group", country_group(F.col(code))).filter(F.col("country_group").isNotNull())
-    grouped.write.mode("overwrite").option("header", True).option("maxRecordsPerFile", max_rows_a_file).partitionBy("country_group").csv(path)
+    dealt = dealt_by_size(grouped, "country_group", max_rows_a_file)
+    dealt.write.mode("overwrite").option("header", True).option("maxRecordsPerFile", max_rows_a_file).partitionBy("country_group").csv(path)
 
 
-def export_by_vessel(df: DataFrame, path: str) -> None:
-    """One folder of CSV files for each ship, without `geom`."""
-    df.drop("geom").repartition("mmsi").write.mode("overwrite").option("header", True).partitionBy("mmsi").csv(path)
+def export_by_vessel(df: DataFrame, path: str, max_rows_a_file: int = 1_000_000) -> None:
+    """One folder of CSV files for each ship, of about `max_rows_a_file` rows each, without `geom`."""
+    dealt = dealt_by_size(df.drop("geom"), "mmsi", max_rows_a_file)
+    dealt.write.mode("overwrite").option("header", True).option("maxRecordsPerFile", max_rows_a_file).partitionBy("mmsi").csv(path)
 
 
 def register_snapshots(df: DataFrame, time: str = "dt_pos_utc", column: str = "snapshot_id") -> DataFrame:
