@@ -234,3 +234,11 @@ def test_toxicity_without_labels(spark, labels):
     known = spark.createDataFrame(labels, "doc_id long, toxic int")
     got = toxicity.score(docs.withColumn("toxic", F.lit("x")), toxicity.train(docs, known)).collect()
     assert len(got) == 4 and all(0 <= r["score"] <= 1 and r["held_out"] is not None for r in got)
+
+
+def test_spellings_that_hide_words():
+    same = toxicity.canonical("You are an awful idiot, so-called")
+    for text in ("You are an aw-ful id.i*ot, so_called", "YOU  are an\nawful i d i o t, so--called", "You are an aw​ful 1d10t, socalled", "Ｙｏｕ are an @wful idi­ot, so-called"):
+        assert toxicity.canonical(text) == same.replace(b"so-called", b"socalled")
+    assert toxicity.canonical("a b - c. d, e -f") == b" a b - c. d, e -f "
+    assert toxicity.canonical("") == b"  "

@@ -18,6 +18,7 @@ under both.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -46,11 +47,17 @@ FILLER = b"\xff"
 BANDS = 3
 
 
+#: Marks put between the letters of a word, and letters that stand alone one after the other.
+INSIDE = re.compile("(?<=[^\\W_])[-._*~'’·\u00ad\u200b-\u200d\u2060]+(?=[^\\W_])")
+SPELLED = re.compile(r"(?<![^\W_])[^\W_](?: [^\W_]){2,}(?![^\W_])")
+
+
 def canonical(text: str) -> bytes:
-    """Lower case, lookalikes as letters, single spaces; a space at both ends."""
+    """Lower case, lookalikes as letters, no marks inside words, spelled words put together, single spaces; a space at both ends."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    return f" {' '.join(text.lower().translate(LOOKALIKES).split())} ".encode()
+    text = INSIDE.sub("", " ".join(text.lower().translate(LOOKALIKES).split()))
+    return f" {SPELLED.sub(lambda m: m[0].replace(' ', ''), text)} ".encode()
 
 
 def windows(data: bytes) -> list[bytes]:
@@ -288,7 +295,7 @@ def train(
     min_docs: int = 3,
     min_evidence: float = 30.0,
     min_ratio: float = 3.0,
-    toxic_weight: float = 3.0,
+    toxic_weight: float = 6.0,
 ) -> Model:
     """Fit on at most `max_rows` labelled documents that are not held out.
 
