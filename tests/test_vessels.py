@@ -154,3 +154,9 @@ def test_normalise_history(spark):
     raw = spark.createDataFrame([("2024-01-01T00:00:00", "123", 9, 1.0, 2.0, 3.0, 4.0, "moored", "X"), ("bad", "x", None, None, None, None, None, None, None)], schemas.HISTORY_RAW)
     rows = S.normalise_history(raw).collect()
     assert rows[0]["mmsi"] == 123 and rows[0]["imo"] == 9 and rows[1]["mmsi"] is None and rows[1]["dt_pos_utc"] is None
+
+
+def test_history_is_sorted(spark):
+    rows = [(i, imo, T0 + timedelta(hours=h)) for i, (imo, h) in enumerate([(2, 1), (1, 5), (None, 9), (2, 0), (1, 5), (1, 2)])]
+    df = spark.createDataFrame(rows, "event_id long, imo long, dt_pos_utc timestamp").repartition(3)
+    assert [r["event_id"] for r in voyages.sort_history(df).collect()] == [2, 5, 1, 4, 3, 0]
