@@ -242,3 +242,10 @@ def test_spellings_that_hide_words():
         assert toxicity.canonical(text) == same.replace(b"so-called", b"socalled")
     assert toxicity.canonical("a b - c. d, e -f") == b" a b - c. d, e -f "
     assert toxicity.canonical("") == b"  "
+
+
+def test_dictionary_knows_whole_records():
+    head, tail = bytes(random.Random(1).choices(range(97, 123), k=70_000)), b"".join(b"<li>entry of the footer of the site, number %d</li>" % (i % 7) for i in range(4000))
+    records = [head[i:] + head[:i] + tail for i in range(40)]
+    content = warc.build_dictionary(records, 16_384, 50_000_000).as_bytes()
+    assert b"footer of the site" in content  # it begins behind the first 65,536 bytes of every record

@@ -92,12 +92,16 @@ def from_record(record: bytes) -> dict:
     return {"page_id": page_of(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": refers and page_of(refers)}
 
 
+#: Bytes of a training sample; the trainer takes no longer ones.
+PIECE = 65536
+
+
 def build_dictionary(records: list[bytes], dictionary_bytes: int, sample_bytes: int):
-    """A dictionary from records spread evenly over the archive, about `sample_bytes` of them; raw content where there is too little to train on."""
+    """A dictionary from whole records spread evenly over the archive, about `sample_bytes` of them, long ones in pieces; raw content where there is too little to train on."""
     import zstandard
 
     step = max(1, round(sum(map(len, records)) / sample_bytes))
-    samples = [r[:65536] for r in records[::step]]
+    samples = [r[i : i + PIECE] for r in records[::step] for i in range(0, len(r), PIECE)]
     try:
         return zstandard.train_dictionary(dictionary_bytes, samples, k=256, d=8)
     except zstandard.ZstdError:
