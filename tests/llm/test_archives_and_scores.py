@@ -238,8 +238,9 @@ def test_toxicity_without_labels(spark, labels):
 
 def test_spellings_that_hide_words():
     same = toxicity.canonical("You are an awful idiot, so-called")
-    for text in ("You are an aw-ful id.i*ot, so_called", "YOU  are an\nawful i d i o t, so--called", "You are an aw​ful 1d10t, socalled", "Ｙｏｕ are an @wful idi­ot, so-called"):
+    for text in ("You are an aw-ful id.i*ot, so_called", "YOU  are an\nawful idiot, so--called", "You are an aw​ful 1d10t, socalled", "Ｙｏｕ are an @wful idi­ot, so-called"):
         assert toxicity.canonical(text) == same.replace(b"so-called", b"socalled")
+    assert toxicity.canonical("you i d i o t\nthere") == toxicity.canonical("you idiot there")
     assert toxicity.canonical("a b - c. d, e -f") == b" a b - c. d, e -f "
     assert toxicity.canonical("") == b"  "
 

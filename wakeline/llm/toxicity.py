@@ -49,7 +49,7 @@ BANDS = 3
 
 #: Marks put between the letters of a word, and letters that stand alone one after the other.
 INSIDE = re.compile("(?<=[^\\W_])[-._*~'’·\u00ad\u200b-\u200d\u2060]+(?=[^\\W_])")
-SPELLED = re.compile(r"(?<![^\W_])[^\W_](?: [^\W_]){2,}(?![^\W_])")
+SPELLED = re.compile(r"(?<!\S)[^\W_](?: [^\W_]){2,}(?!\S)")
 
 
 def canonical(text: str) -> bytes:
