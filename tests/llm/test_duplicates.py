@@ -74,6 +74,26 @@ def test_vectors_recall(spark):
     assert vectors.link_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_recall_near_the_threshold(spark):
+    """Pairs planted at cosines from 0.92 to 0.95, in one label that is hashed."""
+    rng = np.random.default_rng(9)
+    a = rng.standard_normal((3000, 48))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    other = rng.standard_normal((3000, 48))
+    other -= (other * a).sum(axis=1, keepdims=True) * a
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = rng.uniform(0.92, 0.95, (3000, 1))
+    b = cosine * a + np.sqrt(1 - cosine**2) * other
+    rows = [(k, [float(x) for x in v], 1) for k, v in enumerate(np.concatenate([a, b]))]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    e = np.array([r[1] for r in rows])
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    linked = [k for k in range(3000) if e[k] @ e[k + 3000] >= 0.93]
+    found = sum(got[k] == (1, k) and got[k + 3000] == (1, k) for k in linked)
+    assert 1500 < len(linked) < 2500 and found >= 0.995 * len(linked)
+    assert all(got[k] == (0, k) and got[k + 3000] == (0, k + 3000) for k in set(range(3000)) - set(linked))
+
+
 def test_vectors_with_one_label_of_most_rows(spark):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((900, 16))
