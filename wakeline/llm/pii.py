@@ -2,10 +2,10 @@
 
 Patterns find the protected entities: e-mail and IP addresses, card and phone
 numbers. What the corpus tells then decides about the words of their texts: a
-term that co-occurs with an entity far more often than chance would have it gives
-the entity away. The share of the entity's information content that the term
-discloses is PMI(entity; term) / IC(entity); terms beyond a threshold become
-spans of kind `term`. Sanitising generalises entities to their kind and terms to
+term that co-occurs with an entity in other texts far more often than chance would
+have it gives the entity away. The share of the entity's information content that
+the term discloses is PMI(entity; term) / IC(entity); terms beyond a threshold
+become spans of kind `term`. Sanitising generalises entities to their kind and terms to
 a mark.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.llm.store import materialise
@@ -119,33 +119,58 @@ def document_frequency(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return terms.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
 
 
-def disclosing_terms(held: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """Rows (text_key, wanted): the keys of the terms that disclose `threshold` or more of an entity of the text.
+def disclosing_terms(held: DataFrame, rows: DataFrame, threshold: float, chance: float) -> DataFrame:
+    """Rows (text_key, term): the keys of the terms that disclose `threshold` or more of an entity of the text, each once.
 
-    Counts are of different texts, n in all: P(entity) = (n_entity + 1) / n,
-    P(term) = (n_term + 1) / n, P(both) = n_both / n, so that what was seen once
-    proves less. As n_both is n_entity at most, a term of a text can only count
-    while n_term + 1 <= n_entity * (n / (n_entity + 1)) ** (1 - threshold): the
-    others are left out before terms are paired with entities, which loses none.
+    What a text reveals is judged by the other texts alone: of all counts of
+    different texts (n, n_entity, n_term, n_both) the text itself is taken off.
+    A word met nowhere else, or an entity met nowhere else, thus proves nothing.
+    P(entity) = (n_entity - 1 + 1) / (n - 1), P(term) likewise and P(both) =
+    (n_both - 1) / (n - 1): the added one makes what was seen seldom prove less.
+    Then the number of other texts with both must not be chance: the logarithm of
+    its Poisson tail (Chernoff's bound) has to stay below `chance` divided by the
+    number of pairs of an entity and a term in the text, so that fewer than
+    `chance` terms of a text are expected to be spans by accident, however many
+    words it has.
+
+    As n_both is n_entity at most, a term can only count while n_term <=
+    (n_entity - 1) * ((n - 1) / n_entity) ** (1 - threshold); others, and what occurs
+    in one text only, are left out before terms meet entities, which loses none.
     """
-    n = float(rows.select(F.xxhash64("text").alias("of")).distinct().count())
-    content = F.log2(F.lit(n) / (F.col("n_entity") + 1))
+    others = float(rows.select(F.xxhash64("text").alias("of")).distinct().count() - 1)
+    content = F.log2(F.lit(others) / F.col("n_entity"))
     of_text = held.select("text_key", F.explode("entities").alias("entity"))
-    entities = of_text.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(content > 0)
+    entities = of_text.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter((F.col("n_entity") > 1) & (content > 0))
     of_text = materialise(of_text.join(entities, "entity"), "entities")
-    most = of_text.groupBy("text_key").agg(F.max(F.col("n_entity") * F.pow(F.lit(n) / (F.col("n_entity") + 1), F.lit(1 - threshold))).alias("most"))
-    terms = held.select("text_key", F.explode("terms").alias("term")).join(most, "text_key")
-    candidates = materialise(held.select(F.explode("terms").alias("term")).distinct(), "candidate-terms")
-    frequency = materialise(document_frequency(rows, candidates), "term-frequency")
+    bound = (F.col("n_entity") - 1) * F.pow(F.lit(others) / F.col("n_entity"), F.lit(1 - threshold))
+    per_text = of_text.groupBy("text_key").agg(F.max(bound).alias("most"), F.count(F.lit(1)).alias("n_entities"))
+    terms = held.join(per_text, "text_key").select("text_key", "most", (F.col("n_entities") * F.size("terms")).alias("tests"), F.explode("terms").alias("term"))
+    candidates = materialise(terms.select("term").distinct(), "candidate-terms")
+    frequency = materialise(document_frequency(rows, candidates).filter("n_term > 1"), "term-frequency")
     # terms of one text in 200 and more are few; without them no key of the next join is large
-    frequent = materialise(frequency.filter(F.col("n_term") > n / 200).select("term", F.col("n_term").alias("n_frequent")), "frequent-terms")
-    rare = terms.join(frequent, "term", "left").filter(F.col("n_frequent").isNull() | (F.col("n_frequent") + 1 <= F.col("most") + 1e-6)).drop("n_frequent")
-    rare = rare.join(frequency, "term").filter(F.col("n_term") + 1 <= F.col("most") + 1e-6).select("text_key", "term", "n_term")
+    frequent = materialise(frequency.filter(F.col("n_term") > others / 200).select("term", F.col("n_term").alias("n_frequent")), "frequent-terms")
+    rare = terms.join(frequent, "term", "left").filter(F.col("n_frequent").isNull() | (F.col("n_frequent") <= F.col("most") + 1e-6)).drop("n_frequent")
+    rare = rare.join(frequency, "term").filter(F.col("n_term") <= F.col("most") + 1e-6).select("text_key", "tests", "term", "n_term")
     pairs = materialise(rare.join(of_text, "text_key"), "pairs")
-    pmi = F.log2(F.col("n_both") * F.lit(n) / ((F.col("n_entity") + 1) * (F.col("n_term") + 1)))
-    scored = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count(F.lit(1)).alias("n_both"))
-    flagged = scored.filter(pmi / content >= threshold).select("entity", "term")
-    return pairs.join(flagged, ["entity", "term"]).groupBy("text_key").agg(F.collect_set("term").alias("wanted"))
+    k, expected = F.col("n_both") - 1, (F.col("n_entity") - 1) * (F.col("n_term") - 1) / F.lit(others)
+    pmi = F.log2(k * F.lit(others) / (F.col("n_entity") * F.col("n_term")))
+    scored = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count(F.lit(1)).alias("n_both")).filter((k > 0) & (k > expected))
+    flagged = scored.filter(pmi / content >= threshold).select("entity", "term", (k * F.log(k / expected) - k + expected).alias("evidence"))
+    proved = pairs.join(flagged, ["entity", "term"]).filter(F.col("evidence") >= F.log(F.col("tests") / F.lit(chance)))
+    return proved.select("text_key", "term").distinct()
+
+
+def clear_of(terms: DataFrame, base: DataFrame) -> DataFrame:
+    """The rows (text_key, start, end) of `terms` that overlap no row of `base` in their text.
+
+    A term overlaps a base span just when, of those that begin before its end, the
+    furthest end lies beyond its start: a running maximum in one sorted pass.
+    """
+    events = terms.select("text_key", "start", "end", F.col("end").alias("at"), F.lit(0).alias("is_base"))
+    events = events.union(base.select("text_key", "start", "end", F.col("start").alias("at"), F.lit(1).alias("is_base")))
+    order = Window.partitionBy("text_key").orderBy("at", "is_base").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(F.col("is_base") == 1, F.col("end"))).over(order)
+    return events.withColumn("reach", F.coalesce(reach, F.lit(0))).filter("is_base = 0 and reach <= start").select("text_key", "start", "end")
 
 
 def text_key(text: Column) -> Column:
@@ -153,14 +178,18 @@ def text_key(text: Column) -> Column:
     return F.md5(text_of(text))
 
 
-def find_spans(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def find_spans(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", chance: float = 0.05) -> DataFrame:
     """Rows (doc_id, text_key, base, terms), one for each input row: base spans and the method's own.
 
     A term becomes a span wherever it stands, outside base spans, in a text that
-    holds an entity of which it discloses `threshold` or more. Copies of one
-    text count once and have the same spans, whatever their ids; a null id stays
-    null. Null text counts as empty and has no spans; an empty table gives an
-    empty one. Base spans are computed once and written.
+    holds an entity of which it discloses `threshold` or more, provided that the
+    other texts' evidence is no accident (`chance`, see `disclosing_terms`).
+    Copies of one text count once and have the same spans, whatever their ids; a
+    null id stays null. Null text counts as empty and has no spans; an empty
+    table gives an empty one; other columns, also ones named like those of the
+    result, are not looked at. Terms with equal scores are all spans: there is
+    no ranking. The work grows with the length of a text, and with its
+    terms times those of its entities that other texts hold too.
     """
     t = text_of(F.col(text))
     rows = docs.select(F.col(key).alias("doc_id"), text_key(F.col(text)).alias("text_key"), t.alias("text"))
@@ -169,11 +198,12 @@ def find_spans(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", tex
     own = based.filter(F.size("base") > 0).dropDuplicates(["text_key"])
     entities = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
     held = materialise(own.select("text_key", "text", "base", entities.alias("entities"), terms_of(F.col("text")).alias("terms")), "entity-texts")
-    wanted = materialise(disclosing_terms(held, rows, threshold), "disclosing-terms")
-    spans = found(F.col("text"), TERM, lambda v: F.array_contains("wanted", term_key(v)))
-    clear = F.filter(spans, lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    marked = F.transform(clear, lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), s["end"].alias("end")))
-    placed = held.select("text_key", "text", "base").join(wanted, "text_key").select("text_key", marked.alias("terms"))
+    wanted = materialise(disclosing_terms(held, rows, threshold, chance), "disclosing-terms")
+    texts = held.join(wanted.select("text_key").distinct(), "text_key", "left_semi")
+    met = texts.select("text_key", F.explode(found(F.col("text"), TERM)).alias("t")).select("text_key", "t.start", "t.end", term_key(F.col("t.value")).alias("term"))
+    marked = clear_of(met.join(wanted, ["text_key", "term"], "left_semi"), texts.select("text_key", F.explode("base").alias("b")).select("text_key", "b.start", "b.end"))
+    span = F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end")
+    placed = marked.groupBy("text_key").agg(F.sort_array(F.collect_list(span)).alias("terms"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     return based.select("doc_id", "text_key", "base").join(placed, "text_key", "left").select("doc_id", "text_key", "base", F.coalesce("terms", none).alias("terms"))
 
@@ -217,13 +247,14 @@ def sanitised(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(done)
 
 
-def sanitise(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sanitise(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", chance: float = 0.05) -> DataFrame:
     """The rows with entities and disclosing terms in `text` generalised; all other columns as they are.
 
-    Null text stays null. What is generalised depends on the texts alone, so
-    rows with a null or repeated id are cleaned like any other.
+    Null text stays null, an empty table gives an empty one. What is generalised
+    depends on the texts alone, so rows with a null or repeated id are cleaned like
+    any other, and other columns keep their values whatever their names.
     """
-    found = find_spans(docs, threshold, key, text).select("text_key", all_spans(F.col("base"), F.col("terms")).alias("spans")).filter(F.size("spans") > 0)
+    found = find_spans(docs, threshold, key, text, chance).select("text_key", all_spans(F.col("base"), F.col("terms")).alias("spans")).filter(F.size("spans") > 0)
     per_text = materialise(found.groupBy("text_key").agg(F.first("spans").alias("spans")), "spans-by-text")
     joined = docs.select(F.struct("*").alias("row"), text_key(docs[text]).alias("text_key")).join(per_text, "text_key", "left")
     clean = F.when(F.col("spans").isNull(), F.col("row").getField(text)).otherwise(sanitised(F.col("row").getField(text), F.col("spans")))
