@@ -115,7 +115,8 @@ def document_frequency(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Keys are shuffled, not texts: of terms first thinned out to the wanted ones, of which the copies of a text have one each.
     """
-    terms = rows.select(F.xxhash64("text").alias("of"), F.explode(terms_of(F.col("text"))).alias("term"))
+    # hashed before the terms become rows: in one select with the explode the text would be hashed again for each term
+    terms = rows.select(F.xxhash64("text").alias("of"), terms_of(F.col("text")).alias("terms")).select("of", F.explode("terms").alias("term"))
     return terms.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
 
 
@@ -144,7 +145,7 @@ def disclosing_terms(held: DataFrame, rows: DataFrame, threshold: float, chance:
     of_text = materialise(of_text.join(entities, "entity"), "entities")
     bound = (F.col("n_entity") - 1) * F.pow(F.lit(others) / F.col("n_entity"), F.lit(1 - threshold))
     per_text = of_text.groupBy("text_key").agg(F.max(bound).alias("most"), F.count(F.lit(1)).alias("n_entities"))
-    terms = held.join(per_text, "text_key").select("text_key", "most", (F.col("n_entities") * F.size("terms")).alias("tests"), F.explode("terms").alias("term"))
+    terms = held.join(per_text, "text_key").select("text_key", "most", (F.col("n_entities") * F.col("n_terms")).alias("tests"), F.explode("terms").alias("term"))
     candidates = materialise(terms.select("term").distinct(), "candidate-terms")
     frequency = materialise(document_frequency(rows, candidates).filter("n_term > 1"), "term-frequency")
     # terms of one text in 200 and more are few; without them no key of the next join is large
@@ -197,7 +198,8 @@ def find_spans(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", tex
     based = materialise(based.select("doc_id", "text_key", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "base-spans")
     own = based.filter(F.size("base") > 0).dropDuplicates(["text_key"])
     entities = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
-    held = materialise(own.select("text_key", "text", "base", entities.alias("entities"), terms_of(F.col("text")).alias("terms")), "entity-texts")
+    own = own.select("text_key", "text", "base", entities.alias("entities"), terms_of(F.col("text")).alias("terms"))
+    held = materialise(own.withColumn("n_terms", F.size("terms")), "entity-texts")  # counted here: beside an explode of the terms each row would carry all of them
     wanted = materialise(disclosing_terms(held, rows, threshold, chance), "disclosing-terms")
     texts = held.join(wanted.select("text_key").distinct(), "text_key", "left_semi")
     met = texts.select("text_key", F.explode(found(F.col("text"), TERM)).alias("t")).select("text_key", "t.start", "t.end", term_key(F.col("t.value")).alias("term"))
