@@ -192,6 +192,17 @@ def test_texts_of_very_many_terms(spark):
     assert all("Zorntal" in [rows[i][1][s["start"] : s["end"]] for s in got[i]["terms"]] for i in (40, 43))
 
 
+@pytest.mark.parametrize("bits", [64, 2**20])
+def test_document_frequency(spark, bits):
+    texts = [f"a b{i % 7} c{i % 50} d{i}" for i in range(400)] + ["a b1 c1 d1"] * 3 + [""]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    keys = {r["k"]: r["w"] for r in spark.createDataFrame([(w,) for w in ("a", "b3", "c9", "d1", "none")], "w string").select("w", pii.term_key(F.col("w")).alias("k")).collect()}
+    wanted = spark.createDataFrame([(k,) for k in keys], "term long")
+    got = {keys[r["term"]]: r["n_term"] for r in pii.document_frequency(rows, wanted, bits).collect()}
+    assert got == {w: sum(w in t.split() for t in set(texts)) for w in ("a", "b3", "c9", "d1")}
+    assert pii.document_frequency(rows, wanted.limit(0), bits).count() == 0
+
+
 def test_clear_of(spark):
     rng = random.Random(4)
     spans = lambda n: [(rng.randrange(3), s, s + rng.randrange(1, 9)) for s in (rng.randrange(60) for _ in range(n))]

@@ -110,14 +110,29 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), term_key))
 
 
-def document_frequency(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def bit_set(keys: DataFrame, bits: int) -> DataFrame:
+    """One row with one array of longs: bit `key mod bits` is set for each of the keys. Its size is `bits`, however many keys there are."""
+    at = F.pmod("term", F.lit(bits))
+    own = keys.select(F.shiftright(at, 6).alias("word"), at.alias("at")).select("word", F.expr("shiftleft(1L, cast(at & 63 as int))").alias("set"))
+    every = keys.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("set")).union(own)
+    words = every.groupBy("word").agg(F.bit_or("set").alias("set"))
+    return words.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "set"))), lambda w: w["set"]).alias("sets"))
+
+
+def document_frequency(rows: DataFrame, wanted: DataFrame, bits: int = 2**25) -> DataFrame:
     """Rows (term, n_term): in how many different texts of the whole corpus each of the terms in `wanted` occurs.
 
-    Keys are shuffled, not texts: of terms first thinned out to the wanted ones, of which the copies of a text have one each.
+    Keys are shuffled, not texts, and of the copies of a text one each. Most terms
+    that are not wanted go before the shuffle, by a set of bits of a fixed size
+    (4 MB); what it lets through by chance goes in the join, so the result is exact
+    whatever the number of wanted terms.
     """
     # hashed before the terms become rows: in one select with the explode the text would be hashed again for each term
     terms = rows.select(F.xxhash64("text").alias("of"), terms_of(F.col("text")).alias("terms")).select("of", F.explode("terms").alias("term"))
-    return terms.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    at = F.pmod("term", F.lit(bits))
+    sets = bit_set(wanted, bits).scalar()
+    may_be = terms.filter(F.getbit(F.get(sets, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1)
+    return may_be.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
 
 
 def disclosing_terms(held: DataFrame, rows: DataFrame, threshold: float, chance: float) -> DataFrame:
