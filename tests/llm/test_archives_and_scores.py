@@ -47,6 +47,30 @@ def test_archive_layout(spark):
     assert len(glob(path)) == 1
 
 
+def test_record_ids_are_unique_and_revisits_name_a_record(spark, tmp_path):
+    """Repeated and null page ids, repeated rows, a record of 10 MB, and a store that only its own opener knows."""
+    big, huge = "<p>" + "y" * 2000, "".join(f"<p>{i}" for i in range(1_200_000))
+    rows = [(7, "a", big)] * 3 + [(7, "b", "other"), (None, "c", big), (None, "c", big), (None, "d", "n"), (3, "e", big), (9, "f", huge), (2, "g", huge)]
+
+    def opener(uri):
+        return warc.fs.FileSystem.from_uri(uri.replace("store://box", f"file://{tmp_path}"))
+
+    listed = warc.write_archives(warc.plan_records(spark.createDataFrame(rows, PAGES)), "store://box/archives", opener=opener)
+    ids, refers = [], []
+    for r in listed.collect():
+        system, path = opener(r["path"])
+        with system.open_input_stream(path, compression=None) as file:
+            for record in warc.read_archive(file):
+                fields = warc.headers(record.partition(b"\r\n\r\n")[0])
+                ids.append(fields["WARC-Record-ID"])
+                refers += [fields["WARC-Refers-To"]] if fields["WARC-Type"] == "revisit" else []
+    assert len(ids) == len(set(ids)) == len(rows) and len(refers) == 4
+    assert set(refers) <= set(ids) and sorted(map(warc.page_of, set(refers))) == [7, 9]
+    got = sorted((r["page_id"] or 0, r["payload_bytes"], r["refers_to"] or 0) for r in warc.read_archives(listed, opener).collect())
+    keeper = {big: 7, huge: 9}
+    assert got == sorted((i or 0, len(h), 0 if keeper.get(h, i) == i else keeper[h]) for i, _, h in rows)
+
+
 def base(text):
     text, out = text or "", []
     patterns = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")

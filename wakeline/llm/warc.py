@@ -2,7 +2,9 @@
 
 Each archive begins with a skippable frame that holds a Zstandard dictionary
 built from records of that archive; every record follows as a frame of its own,
-compressed with the dictionary, so that any record can be read alone.
+compressed with the dictionary, so that any record can be read alone. Responses
+are written first; revisits follow in archives of their own, as they name the
+record that they refer to.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import hashlib
 import io
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -26,12 +28,15 @@ DICTIONARY_MAGIC = 0x184D2A5D
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-ROLES = "page_id long, url string, payload binary, payload_digest string, payload_bytes long, refers_to long"
+#: Gives the file system of a URI and the path in it; for stores that `pyarrow` does not know, pass one that does.
+Opener = Callable[[str], tuple[fs.FileSystem, str]]
+
+ROLES = "page_id long, url string, payload binary, payload_digest string, payload_bytes long, refers_to long, referred boolean"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def plan_records(pages: DataFrame, min_revisit_bytes: int = 1000, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Rows of ROLES: what each page's record holds; refers_to is set for revisits.
+    """Rows of ROLES: what each page's record holds; refers_to is set for revisits, referred for responses that revisits may name.
 
     Of pages with equal payloads of at least `min_revisit_bytes` the largest id
     is the response. Null html is an empty payload; a null id is below all
@@ -47,27 +52,29 @@ def plan_records(pages: DataFrame, min_revisit_bytes: int = 1000, page_id: str =
     joined = rows.join(shared, F.col("payload_digest") == F.col("digest"), "left")
     refers = F.when(F.col("keeper").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("keeper"))), F.col("keeper"))
     revisit = refers.isNotNull()
-    return joined.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_digest", "payload_bytes", refers.alias("refers_to"))
+    referred = F.coalesce(F.col("page_id") == F.col("keeper"), F.lit(False))
+    return joined.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_digest", "payload_bytes", refers.alias("refers_to"), referred.alias("referred"))
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def new_record_id(page_id: int | None) -> str:
+    """An id that no other record has, also of the same page; it tells the page."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{uuid.uuid4()}>"
 
 
 def page_of(record: str) -> int | None:
-    number = record.removeprefix("<urn:page:").removesuffix(">")
+    number = record.split(":")[2]
     return int(number) if number else None
 
 
-def to_record(row: dict, date: str) -> bytes:
-    """One WARC record: response with the payload, or revisit without it."""
+def to_record(row: dict, record_id: str, date: str) -> bytes:
+    """One WARC record: response with the payload, or revisit without it that names the record `refers_to`."""
     digest = "sha1:" + base64.b32encode(bytes.fromhex(row["payload_digest"])).decode()
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % row["payload_bytes"]
-    fields = {"WARC-Type": "response", "WARC-Record-ID": record_id(row["page_id"]), "WARC-Date": date, "WARC-Payload-Digest": digest}
+    fields = {"WARC-Type": "response", "WARC-Record-ID": record_id, "WARC-Date": date, "WARC-Payload-Digest": digest}
     if row["url"] is not None:
         fields["WARC-Target-URI"] = row["url"].replace("\r", "%0D").replace("\n", "%0A")
     if row["refers_to"] is not None:
-        fields |= {"WARC-Type": "revisit", "WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": record_id(row["refers_to"])}
+        fields |= {"WARC-Type": "revisit", "WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": row["refers_to"]}
     block = head + (row["payload"] or b"")
     fields |= {"Content-Type": "application/http;msgtype=response", "Content-Length": str(len(block))}
     lines = [VERSION, *(f"{k}: {v}".encode() for k, v in fields.items()), b"", block, b"", b""]
@@ -139,45 +146,71 @@ def read_archive(file) -> Iterator[bytes]:
         yield record
 
 
-def write_archives(records: DataFrame, folder: str, archive_mb: int = 16, level: int = 6, dictionary_bytes: int = 65536, sample_bytes: int = 2_000_000, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Write rows of ROLES as archives of at most about `archive_mb` of records each; return their list (path, n_records, bytes).
+#: What a list of archives tells of each; `referred` holds the records in it that revisits may name.
+ARCHIVES = "path string, n_records long, bytes long, referred array<struct<payload_digest: string, record_id: string>>"
+REFERRED = pa.list_(pa.struct([("payload_digest", pa.string()), ("record_id", pa.string())]))
 
-    The list is written before it is returned. A task that runs again writes
-    other files, and only those of the attempt that counted are in the list, so
-    a lost executor leaves nothing behind that would be read.
-    """
+
+def store_records(records: DataFrame, folder: str, archive_mb: float, level: int, dictionary_bytes: int, sample_bytes: int, date: str, opener: Opener) -> DataFrame:
+    """Write the records of one task after the other into archives; rows of ARCHIVES, written before they are returned."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def stored(held: list[bytes]) -> pa.RecordBatch:
-            system, path = fs.FileSystem.from_uri(folder)
+        def stored(held: list[bytes], referred: list[dict]) -> pa.RecordBatch:
+            system, path = opener(folder)
             system.create_dir(path, recursive=True)
             name = f"{uuid.uuid4().hex}.warc.zst"
             content = archive_bytes(held, level, dictionary_bytes, sample_bytes)
             with system.open_output_stream(f"{path}/{name}", compression=None) as out:
                 out.write(content)
-            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n_records": pa.array([len(held)], pa.int64()), "bytes": pa.array([len(content)], pa.int64())})
+            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n_records": pa.array([len(held)], pa.int64()), "bytes": pa.array([len(content)], pa.int64()), "referred": pa.array([referred], REFERRED)})
 
-        held, size = [], 0
+        held, referred, size = [], [], 0
         for batch in batches:
             for i in range(batch.num_rows):
-                held.append(to_record(batch.slice(i, 1).to_pylist()[0], date))
+                row = batch.slice(i, 1).to_pylist()[0]
+                record_id = new_record_id(row["page_id"])
+                held.append(to_record(row, record_id, date))
+                if row["referred"]:
+                    referred.append({"payload_digest": row["payload_digest"], "record_id": record_id})
                 size += len(held[-1])
                 if size >= archive_mb * 1_000_000:
-                    yield stored(held)
-                    held, size = [], 0
+                    yield stored(held, referred)
+                    held, referred, size = [], [], 0
         if held:
-            yield stored(held)
+            yield stored(held, referred)
 
-    return materialise(records.mapInArrow(work, "path string, n_records long, bytes long"), "archives")
+    return materialise(records.mapInArrow(work, ARCHIVES), "archives")
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
+def write_archives(
+    records: DataFrame, folder: str, archive_mb: float = 16, level: int = 6, dictionary_bytes: int = 65536, sample_bytes: int = 2_000_000, date: str = "2024-01-01T00:00:00Z", opener: Opener = fs.FileSystem.from_uri
+) -> DataFrame:
+    """Write rows of ROLES as archives of at most about `archive_mb` of records each; return their list, rows of ARCHIVES.
+
+    Every record has an id of its own, also where page ids repeat or are null,
+    so a revisit can only be written when the record that it refers to has got
+    its id: the list of the responses' archives is written first and tells them.
+    Of several responses with the payload and id of a page, revisits name the one
+    of the smallest record id. A task that runs again writes other files with
+    other ids, and only those of the attempt that counted are in the list, so a
+    lost executor leaves nothing behind that would be read or referred to. An
+    empty table gives an empty list. `opener` runs in the tasks.
+    """
+    options = (folder, archive_mb, level, dictionary_bytes, sample_bytes, date, opener)
+    responses = store_records(records.filter("refers_to is null").withColumn("refers_to", F.lit(None).cast("string")), *options)
+    named = responses.select(F.explode("referred").alias("r")).groupBy(F.col("r.payload_digest").alias("digest")).agg(F.min("r.record_id").alias("record_id"))
+    later = records.filter("refers_to is not null").drop("payload").join(named, F.col("payload_digest") == F.col("digest"))
+    later = later.select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "payload_digest", "payload_bytes", F.col("record_id").alias("refers_to"), "referred")
+    return responses.unionByName(store_records(later, *options))
+
+
+def read_archives(archives: DataFrame, opener: Opener = fs.FileSystem.from_uri) -> DataFrame:
     """Rows of RECORDS from the archives listed in `archives`, one archive at a time in a task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch["path"].to_pylist():
-                system, path = fs.FileSystem.from_uri(uri)
+                system, path = opener(uri)
                 with system.open_input_stream(path, compression=None) as file:
                     rows = [from_record(r) for r in read_archive(io.BytesIO(file.read()))]
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
@@ -189,5 +222,3 @@ def read_archives(archives: DataFrame) -> DataFrame:
 def archive_pages(pages: DataFrame, **options) -> DataFrame:
     """Write the pages into archives in the shared folder; return the list of archives."""
     return write_archives(plan_records(pages), new_path(pages.sparkSession, "warc"), **options)
-
-
