@@ -62,6 +62,15 @@ def clean_up(spark: SparkSession) -> None:
     WRITTEN.clear()
 
 
+def conclude(df: DataFrame, name: str, before: int) -> DataFrame:
+    """`df` written, once all is computed; tables written since `WRITTEN` had `before` entries are deleted then, as nothing reads them any more."""
+    done = materialise(df, name)
+    for path in WRITTEN[before:-1]:
+        delete(df.sparkSession, path)
+    del WRITTEN[before:-1]
+    return done
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Let Spark drop the shuffle files of finished steps now, rather than when the driver happens to collect garbage, and delete tables of `materialise` that nothing reads any more."""
     for t in tables:
