@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import boilerplate, darts, packing, pii, quality
+from wakeline.llm import boilerplate, darts, packing, pii, quality, store
 from wakeline.llm.store import materialise
 
 
@@ -26,20 +26,34 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id; rows without an id all stay."""
+    """Of each class of near duplicates the document with the smallest id; rows without an id all stay.
+
+    Of rows that repeat id and text one stays. Texts without a word form one class,
+    null ones included; an empty table gives an empty one; other columns pass.
+    """
     first = darts.near_duplicates(docs).filter("doc_id = class_id").select("doc_id")
     kept = docs.join(first, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"])
     return kept.select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data generalised."""
+    """All documents, with personal data generalised.
+
+    Null and empty texts stay as they are; repeated rows and null ids are cleaned
+    like any other; an empty table gives an empty one, and other columns keep
+    their values whatever their names.
+    """
     clean = pii.sanitise(docs)
     return with_text(docs, clean, F.col("text"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of all documents with their places in the packed sequences."""
+    """The token pieces of all documents with their places in the packed sequences.
+
+    A null or empty text is one piece that holds its end mark alone; repeated rows
+    and null ids have pieces of their own; equal lengths may take each other's
+    place; an empty table gives an empty one. Other columns are not read.
+    """
     pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return packing.pack(pieces)
 
@@ -60,13 +74,18 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: No stage but the line dedup can be said in SQL; tests hold each stage's operator against a brute-force version.
+#: No stage but the line dedup can be said in SQL; tests hold each stage's operator, and all of them together, against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole pipeline over `documents`; what a stage returns is written before the next one reads it."""
+    """The whole pipeline over `documents`; what a stage returns is written before the next one reads it.
+
+    The result is written as well, and then all tables that led to it are deleted.
+    """
+    before = len(store.WRITTEN)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    name, stage = STAGES[-1]
+    return store.conclude(stage(spark, docs, sf_dir), name, before)
