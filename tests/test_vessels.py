@@ -160,3 +160,11 @@ def test_history_is_sorted(spark):
     rows = [(i, imo, T0 + timedelta(hours=h)) for i, (imo, h) in enumerate([(2, 1), (1, 5), (None, 9), (2, 0), (1, 5), (1, 2)])]
     df = spark.createDataFrame(rows, "event_id long, imo long, dt_pos_utc timestamp").repartition(3)
     assert [r["event_id"] for r in voyages.sort_history(df).collect()] == [2, 5, 1, 4, 3, 0]
+
+
+def test_ports_on_one_spot_meet_points_once(spark):
+    rows = [(i, f"P{i}", "", "", "", "", float(i % 3), 0.0) for i in range(3000, 0, -1)]
+    p, df = spark.createDataFrame(rows, PORTS), spark.createDataFrame([(1, 0.1, 0.1), (2, 1.9, 0.0), (3, 40.0, 0.0)], "event_id long, latitude double, longitude double")
+    assert voyages.port_spots(p).count() == 3
+    got = {r["event_id"]: r["portcode"] for r in voyages.nearest_port(df, p, 200.0).collect()}
+    assert got == {1: "P3", 2: "P2"}
