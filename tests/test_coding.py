@@ -61,3 +61,12 @@ def test_ships_without_a_number_keep_their_own_codes(spark):
     df = spark.createDataFrame([(*r, "kept") for r in rows], "event_id long, mmsi long, destination string, dest_code string")
     got = {r["event_id"]: r["dest_code"] for r in coding.code_destinations(df, ports, registered).collect()}
     assert got == {1: "KRPUS", 2: "CNSHA", 3: "KRPUS", 4: "CNSHA", 5: "CNSHA", 6: "CNSHA", 7: "kept", 8: "kept"}
+
+
+def test_a_batch_reads_its_rows_once_to_code_them(spark):
+    ports = spark.createDataFrame([(i, f"AB{i:03}", "AB", f"{i:03}", "Land", "Busan" if i % 2 else "Ulsan") for i in range(9, 0, -1)], "pos long, portcode string, country_code string, city_code string, country_name string, city_name string")
+    rows = spark.createDataFrame([(1, "Busan"), (2, "BUSAN"), (3, None), (4, "ulsan port"), (4, "ulsan port")], "event_id long, destination string")
+    done = coding.code_batch(rows, ports)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    assert sorted((r["event_id"], r["clean_dest"], r["pred"]) for r in done.collect()) == [(1, "busan", "AB001"), (2, "busan", "AB001"), (3, "", ""), (4, "ulsan port", "AB002"), (4, "ulsan port", "AB002")]

@@ -122,7 +122,9 @@ def ngram_scorer(texts: DataFrame, ports: DataFrame, steps: tuple[float, ...] =
     found by then bounds its next step.
     """
     left = staged(texts.select("clean_dest", trigrams(F.col("clean_dest")).alias("grams")), "texts")
-    right = staged(ports.select("pos", "portcode", trigrams(F.lower("city_name")).alias("grams")), "ports")
+    # of ports with one name, which are as alike to every text, the first counts
+    named = ports.groupBy(F.lower("city_name").alias("name")).agg(F.min(F.struct("pos", "portcode")).alias("first"))
+    right = staged(named.select("first.pos", "first.portcode", trigrams(F.col("name")).alias("grams")), "ports")
     index = staged(by_rarity(right, right, "pos").drop("met"), "port_grams")
     asked = staged(by_rarity(left, right, "clean_dest").filter("met").drop("met"), "text_grams")
     bound = left.select("clean_dest", F.lit(0.0).alias("least"))
@@ -179,9 +181,16 @@ def hybrid_code(df: DataFrame, ports: DataFrame) -> DataFrame:
 
 
 def code_batch(df: DataFrame, ports: DataFrame, scorer: Scorer = ngram_scorer, column: str = "destination") -> DataFrame:
-    """Add clean_dest, pred, confidence, code and resolution to every row, valid or not; null text counts as empty."""
-    cleaned = df.withColumn("clean_dest", F.coalesce(clean_destination(F.col(column)), F.lit("")))
-    return hybrid_code(score_destinations(cleaned, ports, scorer), ports)
+    """Add clean_dest, pred, confidence, code and resolution to every row, valid or not; null text counts as empty.
+
+    Each distinct raw text is cleaned and coded once and joined back to the rows.
+    """
+    raw = df.select(F.col(column).alias("__raw")).distinct()
+    cleaned = staged(raw.withColumn("clean_dest", F.coalesce(clean_destination(F.col("__raw")), F.lit(""))), "cleaned")
+    texts = hybrid_code(score_destinations(cleaned.select("clean_dest").distinct(), ports, scorer), ports)
+    coded = staged(cleaned.join(texts, "clean_dest"), "coded")
+    rows = df.drop(*(c for c in coded.columns if c != column))
+    return rows.join(coded, F.col(column).eqNullSafe(F.col("__raw"))).drop("__raw")
 
 
 def code_texts(texts: DataFrame, ports: DataFrame, registered: DataFrame, scorer: Scorer = ngram_scorer) -> DataFrame:
