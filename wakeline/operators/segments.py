@@ -66,7 +66,7 @@ def with_cuts(df: DataFrame) -> DataFrame:
 
 def sailed_points(history: DataFrame, ports: DataFrame, radius_km: float = 50.0, max_sog: float = 3.0, min_score: int = 2, error_sog: float = 40.0, unit: str = "month", key: str = "event_id") -> DataFrame:
     """The points of all voyages, as the extraction by ship has them: speeds filled, voyages cut and sliced, position errors dropped."""
-    rows = with_neighbours(in_pieces(drop_ambiguous(drop_missing_key(history, "all")), unit))
+    rows = with_neighbours(staged(in_pieces(drop_ambiguous(drop_missing_key(history, "all")), unit), "pieces"))
     mean = (F.coalesce("__sog_before", "__sog_after") + F.coalesce("__sog_after", "__sog_before")) / 2
     rows = staged(rows.withColumn("sog", F.coalesce("sog", mean)).drop("__sog_before", "__sog_after"), "filled")
     slow = F.coalesce(F.col("sog") <= max_sog, F.lit(False))
