@@ -47,3 +47,11 @@ def test_a_ship_with_half_the_rows_is_split(spark):
     assert n > df.count() / 2 and max(r["count"] for r in spread) < 0.6 * n
     groups = df.groupBy("mmsi", segments.PIECE).count().agg(F.max("count")).first()[0]
     assert groups < 0.05 * n  # what must meet in one task
+
+
+def test_rows_given_are_read_by_written_steps_only(spark):
+    ports = spark.createDataFrame([(i, f"P{i:03}", "", "", "", "", 0.0, float(i * 3 - 180)) for i in range(120)], PORTS)
+    df = spark.createDataFrame(history(100), ROWS)
+    for build in (voyages.extract_voyages, segments.extract_voyages):
+        plan = build(df, ports, 100.0, 10.0, 2)[1]._jdf.queryExecution().optimizedPlan().toString()
+        assert "LogicalRDD" not in plan and "LocalRelation" not in plan
