@@ -1,5 +1,7 @@
 import os
+import random
 from datetime import datetime, timedelta
+from unittest import mock
 
 from wakeline.streaming import snapshots as R
 
@@ -46,3 +48,60 @@ def test_silent_ships_leave_no_state(spark, tmp_path):
     # ship 1 came back in time, ship 2 too late
     assert got[1, 101] == "A" and got[2, 102] is None and len(got) == 42
     assert left <= 6
+
+
+def test_state_is_held_for_buckets_not_for_ships(spark, tmp_path):
+    """A ship with an entry of its own costs calls between JVM and Python in every batch."""
+    ships = range(1, 5001)
+    batches = [[(i, h, 10 * i + h, "AB"[h % 2]) for i in ships] for h in (0, 1)] + [[(1, 9, 9, "A")], [(1, 10, 8, "A")]]
+    got, left = streamed(spark, tmp_path, batches)
+    assert len(got) == 10_001 and all(got[i, 10 * i + 1] == "A" and got[i, 10 * i] is None for i in ships)
+    assert left < 5000
+
+
+def walked(rows, expire):
+    """Plain walk over rows (imo, hours, order, destination): departure by (imo, order)."""
+    out, last = {}, {}
+    for imo, hour, order, dest in sorted(rows, key=lambda r: r[:3]):
+        if imo in last and hour - last[imo][0] <= expire:
+            dept = last[imo][2] if dest == last[imo][1] else last[imo][1]
+        else:
+            dept = None
+        out[imo, order] = dept
+        last[imo] = (hour, dest, dept)
+    return out
+
+
+def test_ships_of_a_bucket_do_not_mix(spark, tmp_path):
+    """Rows out of order, nulls and long silences of many ships in three buckets, small chunks of state, against a plain walk."""
+    draw = random.Random(7)
+    batches, order = [], 0
+    for n in range(5):
+        batch = []
+        for _ in range(300):
+            order += 1
+            # within the 40 hours of a batch and the ten before: never later than the watermark
+            batch.append((draw.randint(-2, 60) or None, 40 * n + draw.randint(-10 if n else 0, 39), order, draw.choice(["A", "B", "C", "", None])))
+        batches.append(batch + [(99, 40 * n + 39, order + 10_000, "Z")])
+    ends = [[(99, 400, 90_000, "Z")], [(99, 401, 90_001, "Z")]]
+    with mock.patch.object(R.DepartureProcessor, "CHUNK", 7):
+        got, _ = streamed(spark, tmp_path, batches + ends, late="50 hours", expire_days=2, buckets=3)
+    want = walked([r for b in batches for r in b if r[0]], 48)
+    assert got == want and len({i for i, _ in want}) > 55
+
+
+def test_ships_with_text_keys_and_a_row_between_milliseconds(spark, tmp_path):
+    """The watermark has whole milliseconds: a row just behind it waits for the next, and comes out though its ship sends no more."""
+    kind = KIND.replace("imo long", "imo string")
+    batches = [[("7", timedelta(hours=1), 1, "A"), ("8", timedelta(hours=1, microseconds=500), 2, "B")], [("9", timedelta(hours=2), 3, "C")], [("9", timedelta(hours=9), 4, "D")], [("9", timedelta(hours=10), 5, "D")]]
+    for n, rows in enumerate(batches):
+        part = tmp_path / f"part{n}"
+        spark.createDataFrame([(i, T0 + at, o, d) for i, at, o, d in rows], kind).coalesce(1).write.parquet(str(part))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (file,) = part.glob("*.parquet")
+        file.rename(tmp_path / "in" / f"{n}.parquet")
+        os.utime(tmp_path / "in" / f"{n}.parquet", (1_000_000 + n * 10, 1_000_000 + n * 10))
+    stream = R.stream_departures(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect()
+    assert {(r["imo"], r["o_orderkey"], r["dept_code"]) for r in rows} == {("7", 1, None), ("8", 2, None), ("9", 3, None), ("9", 4, "C")}
