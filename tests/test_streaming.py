@@ -3,6 +3,11 @@ import random
 from datetime import datetime, timedelta
 from unittest import mock
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
+
+from wakeline.jobs.queries import QUERIES, SQL
 from wakeline.streaming import snapshots as R
 
 KIND = "imo long, snapshot_ts timestamp, o_orderkey long, dest_code string"
@@ -105,3 +110,61 @@ def test_ships_with_text_keys_and_a_row_between_milliseconds(spark, tmp_path):
     stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect()
     assert {(r["imo"], r["o_orderkey"], r["dept_code"]) for r in rows} == {("7", 1, None), ("8", 2, None), ("9", 3, None), ("9", 4, "C")}
+
+
+def run_to_end(spark, tmp_path, batches, **more):
+    """Batches of rows (imo, hours or None, order, destination), read one after the other: (what came out, what waits) as rows (imo, order, time, departure)."""
+    for n, rows in enumerate(batches):
+        file = tmp_path / "in" / f"{n}.parquet"
+        file.parent.mkdir(exist_ok=True)
+        at = [None if h is None else T0 + timedelta(hours=h) for _, h, _, _ in rows]
+        table = {"imo": pa.array([r[0] for r in rows], pa.int64()), "snapshot_ts": pa.array(at, pa.timestamp("us", "UTC")), "o_orderkey": pa.array([r[2] for r in rows], pa.int64()), "dest_code": pa.array([r[3] for r in rows], pa.string())}
+        pq.write_table(pa.table(table), file)
+        os.utime(file, (1_000_000 + n * 10, 1_000_000 + n * 10))
+    stream = R.stream_departures(spark.readStream.schema(KIND).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), **more)
+    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    parts = spark.read.schema(stream.schema).parquet(str(tmp_path / "out")), R.waiting_departures(stream, str(tmp_path / "state"), more.get("expire_days", 400))
+    assert parts[0].schema == parts[1].schema
+    return tuple(sorted(((r["imo"], r["o_orderkey"], r["snapshot_ts"], r["dept_code"]) for r in part.collect()), key=repr) for part in parts)
+
+
+def row(imo, order, hours, dept):
+    return imo, order, None if hours is None else T0 + timedelta(hours=hours), dept
+
+
+def test_rows_that_wait_when_the_input_ends_are_had_from_the_state(spark, tmp_path):
+    """They carry on from what has come out, the stream's state stays, and a stream that goes on sends them out itself."""
+    batches = [[(1, 0, 1, "A"), (1, 5, 2, "B"), (2, 5, 3, "X")], [(1, 4.5, 4, "C"), (2, 5.5, 5, None)]]
+    out, waits = run_to_end(spark, tmp_path, batches)
+    assert out == [row(1, 1, 0, None), row(1, 4, 4.5, "A")]
+    assert waits == [row(1, 2, 5, "C"), row(2, 3, 5, None), row(2, 5, 5.5, "X")]
+    out, waits = run_to_end(spark, tmp_path, [*batches, [(1, 4.75, 6, "D"), (3, 9, 7, "Z")]])
+    assert out == [row(1, 1, 0, None), row(1, 2, 5, "D"), row(1, 4, 4.5, "A"), row(1, 6, 4.75, "C"), row(2, 3, 5, None), row(2, 5, 5.5, "X")]
+    assert waits == [row(3, 7, 9, None)]
+
+
+def test_no_row_is_left_out(spark, tmp_path):
+    """Rows without a ship, time or order, before 1970, and ships silent for years."""
+    year = 24 * 365
+    batches = [[(1, -60 * year, 1, "A"), (1, -54 * year, 2, "B"), (1, 0, 3, "C"), (None, 0, 4, "A"), (0, 1, 5, "B"), (1, None, 6, "D"), (2, None, 7, "E")], [(1, 0, None, "D"), (1, 3 * year, 8, "E"), (None, None, 9, "F")]]
+    out, waits = run_to_end(spark, tmp_path, batches, every=True, expire_days=None)
+    assert out == sorted([row(1, 1, -60 * year, None), row(1, 2, -54 * year, "A"), row(1, 3, 0, "B"), row(1, None, 0, "C"), row(None, 4, 0, None), row(0, 5, 1, None), row(None, 9, None, None)], key=repr)
+    assert waits == [row(1, 6, None, "E"), row(1, 8, 3 * year, "D"), row(2, 7, None, None)]
+
+
+def test_nothing_waits_in_a_stream_without_rows(spark, tmp_path):
+    assert run_to_end(spark, tmp_path, [[]], every=True) == ([], [])
+
+
+def test_stream_departures_has_all_orders(spark, sf_dir, tmp_path):
+    """Every order once, in two files: the newest, those of no ship, without a date, before 1970, and ships silent for years; as the SQL has them."""
+    (tmp_path / "orders.parquet").mkdir()
+    con = duckdb.connect()
+    con.execute("set TimeZone='UTC'")
+    odd = "case when o_orderkey%97=0 then null when o_orderkey%89=0 then o_orderdate-interval 40 year else o_orderdate end as o_orderdate, case when o_orderkey%83=0 then null else o_custkey end as o_custkey"
+    for n in range(2):
+        con.execute(f"copy (select * replace ({odd}) from '{sf_dir}/orders.parquet' where o_orderkey%2={n}) to '{tmp_path}/orders.parquet/{n}.parquet' (format parquet)")
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    got = QUERIES["stream_departures"](spark, str(tmp_path)).select("o_orderkey", "imo", "dest_code", "dept_code").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.execute(SQL["stream_departures"]).fetchall()))
+    assert sorted((r["o_orderkey"],) for r in got) == con.execute("select o_orderkey from orders order by all").fetchall()
